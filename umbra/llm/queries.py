@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, pii
-from .common import table
+from . import bpe, langid, licenses, mixing, pii, quality
+from .common import crc_fold, table
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,16 +19,29 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.array("source"), mixing.words(F.col("text")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(crc_fold() != 0))
+    return langid.predict(docs, model, keep=[(crc_fold() == 0).alias("held_out")])
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = quality.learn(docs.where(crc_fold() != 0), labels.where(crc_fold() != 0))
+    scored = quality.score(docs, machine, keep=[(crc_fold() == 0).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_license_scan, op4_mixing, op6_pii, op8_bpe)}
+    return {f.__name__: f for f in (op2_license_scan, op4_mixing, op5_language_id, op6_pii, op7_quality, op8_bpe)}
 
 
 def oracle_sql() -> dict:
