@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, mixing, pii, quality
+from . import bpe, html, langid, licenses, mixing, pii, quality
 from .common import crc_fold, table
 
 
@@ -40,8 +40,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_license_scan, op4_mixing, op5_language_id, op6_pii, op7_quality, op8_bpe)}
+    return {f.__name__: f for f in (op2_license_scan, op4_mixing, op5_language_id, op6_pii, op7_quality, op8_bpe, op9_html)}
 
 
 def oracle_sql() -> dict:
