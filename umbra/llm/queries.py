@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, licenses, mixing, pii, quality
+from . import ann, bpe, html, langid, licenses, mixing, pii, quality, topk
 from .common import crc_fold, table
 
 
@@ -14,6 +14,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, F.array("source"), mixing.words(F.col("text")))
@@ -44,8 +48,12 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_license_scan, op4_mixing, op5_language_id, op6_pii, op7_quality, op8_bpe, op9_html)}
+    return {f.__name__: f for f in (op2_license_scan, op3_ann, op4_mixing, op5_language_id, op6_pii, op7_quality, op8_bpe, op9_html, op10_exact_topk)}
 
 
 def oracle_sql() -> dict:
