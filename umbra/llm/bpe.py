@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import column, lists, pieces
 
@@ -240,6 +241,22 @@ def decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     return df.selectExpr(f"`{id_col}` as id", f"`{ids_col}` as ids").mapInArrow(run, "id long, bytes binary").withColumnRenamed("id", id_col)
 
 
+def tokens(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kept columns, n_tokens, ids, exact): the ids of every text, and whether they decode to it."""
+    shared = _share(df, rank_path, pattern)
+    base = df.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
+
+    def run(batches):
+        codec = _codec(shared)
+        for b in pieces(batches):
+            texts = column(b, "text").to_pylist()
+            ids, size = codec.encode_block(texts)
+            exact = [codec.decode(x) == (t or "").encode() for x, t in zip(np.split(ids, np.cumsum(size)[:-1]), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("id", *keep)), pa.array(size, pa.int64()), lists(ids, size, pa.int32()), pa.array(exact)], names=["id", *keep, "n_tokens", "ids", "exact"])
+
+    return base.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in base.dtypes[:-1]) + ", n_tokens long, ids array<int>, exact boolean").withColumnRenamed("id", id_col)
+
+
 def digests(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode the ids again and digest both, in one pass: ids never leave the worker."""
     shared = _share(df, rank_path, pattern)

@@ -145,14 +145,17 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] = ()) -> DataFrame:
     """(id, kept columns, score) of every whole text. The machine has a fixed size (some 1 MB), so it may be broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(machine)
-    base = df.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).alias("__text"))
-    kept = base.columns[:-1]
+    base = df.select(F.col(id_col), *keep)
+    kept = base.columns
+    name = text_col if text_col in kept else "__text"
+    if name not in kept:
+        base = df.select(F.col(id_col), *keep, F.col(text_col).alias(name))
 
     def run(batches):
-        for b in pieces(batches, text="__text"):
-            each = [features(t) for t in column(b, "__text").to_pylist()]
+        for b in pieces(batches, text=name):
+            each = [features(t) for t in column(b, name).to_pylist()]
             size = np.fromiter((len(a) for a, _ in each), np.int64, len(each))
             at, x = (np.fromiter(chain.from_iterable(e[k] for e in each), kind, int(size.sum())) for k, kind in ((0, np.int64), (1, np.float64)))
             yield pa.RecordBatch.from_arrays([column(b, c) for c in kept] + [pa.array(shared.value.score(at, x, np.cumsum(size) - size))], names=[*kept, "score"])
 
-    return base.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in base.dtypes[:-1]) + ", score double")
+    return base.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in base.dtypes if c in kept) + ", score double")

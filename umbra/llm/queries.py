@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, langid, licenses, mixing, pii, quality, topk
+from . import ann, bpe, html, jaccard, langid, licenses, mixing, pii, quality, topk
 from .common import crc_fold, table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_license_scan, op3_ann, op4_mixing, op5_language_id, op6_pii, op7_quality, op8_bpe, op9_html, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_ann, op4_mixing, op5_language_id, op6_pii, op7_quality, op8_bpe, op9_html, op10_exact_topk)}
 
 
 def oracle_sql() -> dict:
