@@ -2,14 +2,753 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import draws, keyed
+from ..operators import dp, identifiers, quasi, risk, text, utility
+from ..sources import io
+from ..streaming import ops
 
-def queries() -> dict:
-    return {}
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+KEY = b"umbra demonstration key"
+QI = ["r_name", "c_mktsegment", "bal"]
+u_sql = draws.uniform_sql
 
 
-def oracle_sql() -> dict:
-    return {}
+def query(sql: str | None = None):
+    """Register a function of `t`, which gives a table by its name; sql None: rows-only check."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def t(name: str) -> DataFrame:
+                return io.read(spark, sf_dir, name)
+
+            t.spark, t.dir = spark, sf_dir
+            return f(t)
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def r(c, d: int = 6):
+    return F.round(c, d)
+
+
+def customers(t) -> DataFrame:
+    """Customers with region, market segment and 5000-wide balance bins."""
+    nation, region = t("nation"), t("region")
+    small = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
+    c = t("customer")
+    return c.join(small, c.c_nationkey == small.n_nationkey).withColumn("bal", quasi.bin_("c_acctbal", 5000)).select("c_custkey", "c_name", "n_name", "r_name", "c_mktsegment", "bal", "c_acctbal")
+
+
+CUST = "(SELECT c_custkey, c_name, n_name, r_name, c_mktsegment, (floor(c_acctbal / 5000::double) * 5000)::bigint AS bal, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+INNER, OUTER = keyed.pads(KEY)
+
+
+def hmac_sql(x: str) -> str:
+    return f"sha256(from_hex('{OUTER}') || from_hex(sha256(from_hex('{INNER}') || encode(({x})::varchar))))"
+
+
+# A. Sources and sinks
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def a1_parquet_scan(t):
+    return t("region")
+
+
+def _through(t, fmt: str, **options) -> DataFrame:
+    df = t("events").select("event_id", "event_type", "value", "props")
+    path = io.scratch(t.spark, fmt)
+    io.release(df, path, fmt)
+    return io.read_as(t.spark, fmt, path, df.schema, **options)
+
+
+EVENTS = "SELECT event_id, event_type, value, props FROM events"
+
+
+@query(EVENTS)
+def a2_json_scan(t):
+    return _through(t, "json")
+
+
+@query(EVENTS)
+def a2_orc_scan(t):
+    return _through(t, "orc")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def a2_csv_scan(t):
+    df = t("customer").select("c_custkey", "c_name", "c_mktsegment")
+    path = io.scratch(t.spark, "csv")
+    io.release(df, path, "csv")
+    return io.read_as(t.spark, "csv", path, df.schema)
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def a4_partitioned_sink(t):
+    path = io.scratch(t.spark, "release")
+    io.release(t("customer").select("c_custkey", "c_mktsegment"), path, partition_by=("c_mktsegment",))
+    return t.spark.read.parquet(path).groupBy(F.col("c_mktsegment").cast("string").alias("c_mktsegment")).agg(F.count("*").alias("n"))
+
+
+# B. Relational substrate
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'")
+def b1_b2_project_filter(t):
+    return t("customer").where("c_acctbal > 5000 and c_mktsegment = 'BUILDING'").select("c_custkey", "c_nationkey")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def b3_inner_join(t):
+    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def b4_semi_join(t):
+    return t("customer").join(t("orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def b4_anti_join(t):
+    return t("customer").join(t("orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000 GROUP BY 1")
+def b5_left_join(t):
+    return t("customer").join(t("orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
+
+
+@query("SELECT p_partkey, b.lo FROM part JOIN (VALUES (1, 10), (11, 30), (31, 50)) AS b(lo, hi) ON p_size BETWEEN b.lo AND b.hi")
+def b6_range_join(t):
+    bands = t.spark.createDataFrame([(1, 10), (11, 30), (31, 50)], "lo int, hi int")
+    return t("part").join(F.broadcast(bands), F.col("p_size").between(F.col("lo"), F.col("hi"))).select("p_partkey", "lo")
+
+
+@query("SELECT e.event_id, p.event_id AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'view') AS e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) AS p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def b7_asof_join(t):
+    """The last purchase at or before each view of the same user: one ordered window over both sides, no pairs."""
+    e = t("events").where("event_type in ('view', 'purchase')")
+    mark = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") != "purchase", "event_id")
+    return e.withColumn("last_purchase", F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("event_type = 'view'").select("event_id", "last_purchase")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY 1, 2")
+def b8_group_aggregate(t):
+    return t("lineitem").where("l_shipdate <= timestamp_ntz '2000-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r(F.sum("l_quantity"), 2).alias("qty"), r(F.avg("l_discount")).alias("disc"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def b9_distinct_aggregate(t):
+    return t("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+
+
+@query(f"SELECT r_name, c_mktsegment, grouping_id(r_name, c_mktsegment)::bigint AS g, count(*) AS n FROM {CUST} GROUP BY CUBE (r_name, c_mktsegment)")
+def b10_cube(t):
+    return customers(t).cube("r_name", "c_mktsegment").agg(F.grouping_id().cast("bigint").alias("g"), F.count("*").alias("n"))
+
+
+@query(f"SELECT r_name, c_mktsegment, count(*) AS n FROM {CUST} GROUP BY GROUPING SETS ((r_name), (c_mktsegment))")
+def b10_grouping_sets(t):
+    return customers(t).groupingSets([[F.col("r_name")], [F.col("c_mktsegment")]], "r_name", "c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT r_name, n_name, count(*) AS n FROM {CUST} GROUP BY ROLLUP (r_name, n_name)")
+def b11_rollup(t):
+    return customers(t).rollup("r_name", "n_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, row_number() OVER w AS rn, ntile(4) OVER w AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)")
+def b12_ranking(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+    return t("orders").select("o_orderkey", F.row_number().over(w).cast("bigint").alias("rn"), F.ntile(4).over(w).cast("bigint").alias("q"))
+
+
+@query("SELECT event_id, lag(value) OVER w AS prev, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS running FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def b13_analytic(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t("events").select("event_id", F.lag("value").over(w).alias("prev"), r(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+def b14_topk_per_group(t):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return t("orders").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("o_custkey", "o_orderkey")
+
+
+@query("(SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)")
+def b15_set_operations(t):
+    c, s = t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").select(F.col("s_nationkey").alias("k"))
+    return c.exceptAll(s).unionAll(c.intersect(s))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
+def b16_percentile(t):
+    return t("events").groupBy("event_type").agg(r(F.percentile("value", 0.9)).alias("p90"))
+
+
+@query()
+def b17_approx_distinct(t):
+    return t("events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("hll"))
+
+
+@query()
+def b18_approx_quantile(t):
+    return t("events").groupBy("event_type").agg(F.percentile_approx("value", [0.5, 0.9, 0.99]).alias("quantiles"))
+
+
+@query("SELECT user_id, s AS session, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::bigint AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY 1, 2")
+def b19_sessions(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 6 hours"), 0).otherwise(1)
+    return t("events").withColumn("f", gap).withColumn("session", F.sum("f").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def b20_global_topk(t):
+    return t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) AS a, substring(c_name, 10, 4) AS b, length(trim(c_name))::bigint AS n FROM customer WHERE c_name LIKE '%7'")
+def b21_string_functions(t):
+    return t("customer").where("c_name like '%7'").select("c_custkey", F.upper("c_mktsegment").alias("a"), F.substring("c_name", 10, 4).alias("b"), F.length(F.trim("c_name")).cast("bigint").alias("n"))
+
+
+@query("SELECT s_suppkey, round(sqrt(abs(s_acctbal)), 5) AS a, round(power(s_acctbal / 1000, 2), 5) AS b FROM supplier")
+def b22_math_functions(t):
+    return t("supplier").select("s_suppkey", r(F.sqrt(F.abs("s_acctbal")), 5).alias("a"), r(F.pow(F.col("s_acctbal") / 1000, F.lit(2)), 5).alias("b"))
+
+
+@query("SELECT p_partkey, len(list_distinct(string_split(p_name, ' ')))::bigint AS n, array_to_string(list_sort(string_split(upper(p_name), ' ')), '-') AS s FROM part")
+def b23_array_functions(t):
+    return t("part").select("p_partkey", F.size(F.array_distinct(F.split("p_name", " "))).cast("bigint").alias("n"), F.array_join(F.array_sort(F.transform(F.split("p_name", " "), F.upper)), "-").alias("s"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS rule FROM events")
+def b24_map_lookup(t):
+    return t("events").select("event_id", F.try_element_at(F.create_map(F.lit("click"), F.lit(1), F.lit("view"), F.lit(2)), F.col("event_type")).alias("rule"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::bigint AS y, (date_trunc('month', o_orderdate))::timestamp AS m, o_orderdate + INTERVAL 3 DAY AS later FROM orders")
+def b25_date_functions(t):
+    return t("orders").select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("y"), quasi.trunc_date("o_orderdate", "month").alias("m"), (F.col("o_orderdate") + F.expr("interval 3 days")).alias("later"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::bigint AS k FROM events")
+def b26_json_functions(t):
+    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+# C. Direct identifiers
+
+
+@query("SELECT c_custkey, NULL::varchar AS c_name FROM customer")
+def c1_suppress_columns(t):
+    return identifiers.suppress_columns(t("customer"), ["c_name"]).select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') AS c_name FROM customer")
+def c2_mask(t):
+    return t("customer").select("c_custkey", keyed.mask_chars("c_name").alias("c_name"))
+
+
+@query("SELECT c_custkey, repeat('*', length(c_name) - 4) || right(c_name, 4) AS c_name FROM customer")
+def c3_keep_last(t):
+    return t("customer").select("c_custkey", keyed.keep_last("c_name", 4).alias("c_name"))
+
+
+@query("SELECT sha256('pepper' || c_name) AS h FROM customer")
+def c4_salted_hash(t):
+    return t("customer").select(keyed.salted("c_name", "pepper").alias("h"))
+
+
+@query(f"SELECT {hmac_sql('c_custkey')} AS id, {hmac_sql('c_name')} AS name FROM customer")
+def c5_keyed_hash(t):
+    return identifiers.pseudonymize(t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), ["id", "name"], KEY)
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def c6_encrypt_decrypt(t):
+    key = "0123456789abcdef"
+    return identifiers.decrypt(identifiers.encrypt(t("customer").select("c_custkey", "c_name"), "c_name", key), "c_name", key)
+
+
+@query(f"SELECT c_custkey, substring({hmac_sql('c_name')}, 1, 16) AS c_name FROM customer")
+def c7_tokenize(t):
+    c = t("customer").select("c_custkey", "c_name")
+    return identifiers.tokenize(c, "c_name", identifiers.new_vault(c, "c_name", KEY))
+
+
+# D. Free text
+
+
+def _redact_sql(kinds: list[str]) -> str:
+    out = "text"
+    for k in kinds:
+        out = f"regexp_replace({out}, '{text.KINDS[k]}', '[{k.upper()}]', 'g')"
+    return out
+
+
+@query(f"SELECT doc_id, {_redact_sql(['email', 'phone', 'ipv4', 'secret', 'card'])} AS text FROM documents")
+def d1_d5_redact(t):
+    return text.redact(t("documents"), "text", ["email", "phone", "ipv4", "secret", "card"]).select("doc_id", "text")
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '{text.KINDS['email']}'))::bigint AS n_email, len(regexp_extract_all(text, '{text.KINDS['phone']}'))::bigint AS n_phone FROM documents")
+def d6_count_pii(t):
+    return text.count_pii(t("documents"), "text", ["email", "phone"]).select("doc_id", "n_email", "n_phone")
+
+
+@query(f"SELECT doc_id, 'ipv4' AS kind, unnest(regexp_extract_all(text, '{text.KINDS['ipv4']}')) AS value FROM documents UNION ALL SELECT doc_id, 'email', unnest(regexp_extract_all(text, '{text.KINDS['email']}')) FROM documents")
+def d7_findings(t):
+    return text.find_pii(t("documents"), "doc_id", "text", ["ipv4", "email"])
+
+
+@query()
+def d5_valid_cards(t):
+    return text.valid_cards(t("documents"), "doc_id", "text")
+
+
+@query("SELECT event_id, '{\"k\":' || (floor(json_extract_string(props, '$.k')::double / 10) * 10)::bigint || '}' AS props FROM events")
+def d8_generalize_json(t):
+    return text.generalize_json(t("events"), "props", "$.k", "k", lambda c: quasi.bin_(c.cast("double"), 10)).select("event_id", "props")
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \n\t]+', ' ', 'g')) AS html FROM pages")
+def d9_strip_html(t):
+    return text.strip_html(t("pages"), "html").select("page_id", "html")
+
+
+# E. Quasi-identifiers
+
+
+@query("SELECT c_custkey, (floor(c_acctbal / 1000::double) * 1000)::bigint AS b FROM customer")
+def e1_bin(t):
+    return t("customer").select("c_custkey", quasi.bin_("c_acctbal", 1000).alias("b"))
+
+
+@query("SELECT o_orderkey, date_trunc('quarter', o_orderdate)::timestamp AS o_orderdate FROM orders")
+def e2_truncate_date(t):
+    return t("orders").select("o_orderkey", quasi.trunc_date("o_orderdate", "quarter").alias("o_orderdate"))
+
+
+@query("SELECT s_suppkey, r_name AS n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def e3_hierarchy(t):
+    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("level0"), F.col("r_name").alias("level1"))
+    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    return quasi.generalize(s, "n_name", n, 1)
+
+
+@query("SELECT o_orderkey, round(o_totalprice, -3) AS p FROM orders")
+def e4_round(t):
+    return t("orders").select("o_orderkey", quasi.round_to("o_totalprice", -3).alias("p"))
+
+
+@query("SELECT event_id, least(greatest(value, 5.0::double), 150.0::double) AS value FROM events")
+def e5_clip(t):
+    return t("events").select("event_id", quasi.clip("value", 5, 150).alias("value"))
+
+
+@query("SELECT event_id, round(least(greatest(value, lo), hi), 6) AS value FROM events, (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM events)")
+def e6_winsorize(t):
+    return quasi.winsorize(t("events"), "value", 0.05).select("event_id", r("value").alias("value"))
+
+
+@query("""SELECT c_custkey, round(avg(c_acctbal) OVER (PARTITION BY c_nationkey, g), 4) AS bal FROM (SELECT *, least((rn - 1) // 5, greatest(n // 5 - 1, 0)) AS g
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS rn, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer))""")
+def e7_microaggregate(t):
+    return quasi.microaggregate(t("customer"), "c_acctbal", 5, ["c_nationkey"], "c_custkey").select("c_custkey", r("c_acctbal", 4).alias("bal"))
+
+
+@query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY {u_sql('sa', 'c_custkey')}, c_custkey) AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY {u_sql('sb', 'c_custkey')}, c_custkey) AS y FROM customer)
+SELECT l.c_custkey, k.c_mktsegment FROM a AS l JOIN a AS k ON l.c_nationkey = k.c_nationkey AND l.x = k.y""")
+def e8_swap(t):
+    return quasi.swap(t("customer"), "c_mktsegment", ["c_nationkey"], "c_custkey", "s").select("c_custkey", "c_mktsegment")
+
+
+@query(f"SELECT o_orderkey, o_orderdate - to_days(floor({u_sql('d', 'o_custkey')} * 30)::int) AS o_orderdate FROM orders")
+def e9_shift_dates(t):
+    return quasi.shift_dates(t("orders"), "o_orderdate", "o_custkey", 30, "d").select("o_orderkey", "o_orderdate")
+
+
+@query(f"SELECT c_custkey, round(c_acctbal + 100 * (sqrt(-2 * ln({u_sql('na', 'c_custkey')})) * cos(2 * pi() * {u_sql('nb', 'c_custkey')})), 5) AS bal FROM customer")
+def e10_add_noise(t):
+    return quasi.add_noise(t("customer"), "c_acctbal", 100.0, "c_custkey", "n").select("c_custkey", r("c_acctbal", 5).alias("bal"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN u < 0.8::double THEN o_orderstatus ELSE (['F', 'O', 'P'])[(floor((u - 0.8::double) / (1 - 0.8::double) * 3) + 1)::int] END AS s FROM (SELECT *, {u_sql('p', 'o_orderkey')} AS u FROM orders)")
+def e11_pram(t):
+    return quasi.pram(t("orders"), "o_orderstatus", ["F", "O", "P"], 0.8, "o_orderkey", "p").select("o_orderkey", F.col("o_orderstatus").alias("s"))
+
+
+@query(f"SELECT c_custkey, CASE WHEN count(*) OVER (PARTITION BY r_name, c_mktsegment, bal) >= 20 THEN bal END AS bal FROM {CUST}")
+def e13_suppress_cells(t):
+    return quasi.suppress_cells(customers(t), QI, 20, ["bal"]).select("c_custkey", "bal")
+
+
+@query(f"SELECT event_id FROM events WHERE {u_sql('s', 'user_id')} < 0.25")
+def e14_sample(t):
+    return quasi.sample(t("events"), 0.25, "user_id", "s").select("event_id")
+
+
+@query("SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w), 6) AS a FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
+def e15_minmax(t):
+    return quasi.normalize(t("customer"), "c_acctbal", "minmax", ["c_nationkey"]).select("c_custkey", r("c_acctbal").alias("a"))
+
+
+@query("SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / stddev_samp(c_acctbal) OVER w, 5) AS a FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
+def e15_zscore(t):
+    return quasi.normalize(t("customer"), "c_acctbal", "z", ["c_nationkey"]).select("c_custkey", r("c_acctbal", 5).alias("a"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum([x::double * x::double FOR x IN embedding])), 5) AS norm FROM embeddings")
+def e16_vector_norm(t):
+    v = F.col("embedding").cast("array<double>")
+    return t("embeddings").select("vec_id", r(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 5).alias("norm"))
+
+
+@query()
+def e16_noise_vector(t):
+    return quasi.noise_vector(t("embeddings"), "embedding", 1.0, 0.05, "vec_id", "v").select("vec_id", "embedding")
+
+
+# F. Risk, G. models
+
+
+@query(f"SELECT c_custkey, count(*) OVER (PARTITION BY r_name, c_mktsegment, bal) AS k FROM {CUST}")
+def f1_class_size(t):
+    return risk.class_size(customers(t), QI).select("c_custkey", "k")
+
+
+@query(f"SELECT count(*) FILTER (k = 1) AS n_unique, sum(k)::bigint AS n_rows FROM (SELECT count(*) AS k FROM {CUST} GROUP BY n_name, c_mktsegment, bal)")
+def f2_uniqueness(t):
+    return risk.uniqueness(customers(t), ["n_name", "c_mktsegment", "bal"])
+
+
+KMAP = f"SELECT r_name, c_mktsegment, count(*) FILTER (c_custkey % 3 = 0) AS k, count(*) AS k_population FROM {CUST} GROUP BY 1, 2 HAVING k > 0"
+
+
+@query(KMAP)
+def f3_k_map(t):
+    c = customers(t)
+    return risk.k_map(c.where("c_custkey % 3 = 0"), c, ["r_name", "c_mktsegment"])
+
+
+@query(f"SELECT *, round(k / k_population, 6) AS delta FROM ({KMAP})")
+def f4_delta_presence(t):
+    c = customers(t)
+    return risk.delta_presence(c.where("c_custkey % 3 = 0"), c, ["r_name", "c_mktsegment"]).withColumn("delta", r("delta"))
+
+
+@query(f"SELECT round(1 / min(k), 6) AS max_risk, round(count(*) / sum(k), 6) AS avg_risk FROM (SELECT count(*) AS k FROM {CUST} GROUP BY r_name, c_mktsegment, bal)")
+def f5_reidentification_risk(t):
+    return risk.reidentification_risk(customers(t), QI).select(r("max_risk").alias("max_risk"), r("avg_risk").alias("avg_risk"))
+
+
+@query(f"SELECT min(k) >= 5 AS safe FROM (SELECT count(*) AS k FROM {CUST} GROUP BY r_name, c_mktsegment, bal)")
+def g1_k_anonymity_check(t):
+    return t.spark.createDataFrame([(risk.is_k_anonymous(customers(t), QI, 5),)], "safe boolean")
+
+
+def _release(t) -> DataFrame:
+    safe = risk.k_anonymize_by_suppression(customers(t), QI, 5)
+    return identifiers.pseudonymize(safe.select(F.col("c_custkey").alias("id"), *QI), ["id"], KEY)
+
+
+@query(f"SELECT {hmac_sql('c_custkey')} AS id, r_name, c_mktsegment, bal FROM {CUST} QUALIFY count(*) OVER (PARTITION BY r_name, c_mktsegment, bal) >= 5")
+def g2_k_anonymous_release(t):
+    """The flagship: joined, generalized, keyed, classes below 5 suppressed."""
+    return _release(t)
+
+
+@query()
+def g3_full_domain(t):
+    c = customers(t)
+    levels = {"n_name": [F.col("n_name"), F.col("r_name"), F.lit("*")], "bal": [quasi.bin_("c_acctbal", 1000), F.col("bal"), F.lit(0).cast("bigint")], "c_mktsegment": [F.col("c_mktsegment"), F.lit("*")]}
+    return risk.k_anonymize_full_domain(c, levels, 5)[0].select("c_custkey", "n_name", "c_mktsegment", "bal")
+
+
+@query()
+def g4_mondrian(t):
+    parts = risk.mondrian(t("customer"), ["c_nationkey", "c_acctbal"], 10)
+    return parts.groupBy("part").agg(F.count("*").alias("k"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+
+
+BY = "(SELECT r_name, bal, c_mktsegment, count(*) AS n FROM {} GROUP BY 1, 2, 3)".format(CUST)
+
+
+@query(f"SELECT r_name, bal, count(*) AS l FROM {BY} GROUP BY 1, 2")
+def g5_distinct_l_diversity(t):
+    return risk.l_diversity(customers(t), ["r_name", "bal"], "c_mktsegment")
+
+
+@query(f"SELECT r_name, bal, round(0 - sum(p * ln(p)), 6) AS entropy FROM (SELECT *, n / sum(n) OVER (PARTITION BY r_name, bal) AS p FROM {BY}) GROUP BY 1, 2")
+def g6_entropy_l_diversity(t):
+    return risk.l_diversity(customers(t), ["r_name", "bal"], "c_mktsegment", "entropy").withColumn("entropy", r("entropy"))
+
+
+@query(f"SELECT r_name, bal, max(n) FILTER (i = 1) < 2.0 * coalesce(sum(n) FILTER (i >= 2), 0) AS safe FROM (SELECT *, row_number() OVER (PARTITION BY r_name, bal ORDER BY n DESC, c_mktsegment) AS i FROM {BY}) GROUP BY 1, 2")
+def g7_recursive_l_diversity(t):
+    return risk.l_diversity(customers(t), ["r_name", "bal"], "c_mktsegment", "recursive", 2.0, 2)
+
+
+TC = f"""(SELECT g.r_name, w.c_mktsegment, coalesce(n, 0) / g.k - q AS d FROM (SELECT r_name, count(*) AS k FROM {CUST} GROUP BY 1) AS g CROSS JOIN (SELECT c_mktsegment, count(*) / sum(count(*)) OVER () AS q FROM {CUST} GROUP BY 1) AS w
+LEFT JOIN (SELECT r_name, c_mktsegment, count(*) AS n FROM {CUST} GROUP BY 1, 2) AS c ON c.r_name = g.r_name AND c.c_mktsegment = w.c_mktsegment)"""
+
+
+@query(f"SELECT r_name, round(sum(abs(d)) / 2, 6) AS t FROM {TC} GROUP BY 1")
+def g8_t_closeness(t):
+    return risk.t_closeness(customers(t), ["r_name"], "c_mktsegment").withColumn("t", r("t"))
+
+
+@query(f"SELECT r_name, round(sum(c) / 4, 6) AS t FROM (SELECT r_name, abs(sum(d) OVER (PARTITION BY r_name ORDER BY c_mktsegment)) AS c FROM {TC}) GROUP BY 1")
+def g9_ordered_t_closeness(t):
+    return risk.t_closeness(customers(t), ["r_name"], "c_mktsegment", ordered=True).withColumn("t", r("t"))
+
+
+# H. Differential privacy
+
+BOUND = f"(SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {u_sql('bound', 'event_id')}, event_id) <= 10)"
+
+
+def _lap(u: str, scale: float) -> str:
+    return f"(sign({u} - 0.5) * -{scale!r}::double * ln(1 - 2 * abs({u} - 0.5)))"
+
+
+@query(f"SELECT event_id FROM {BOUND}")
+def h1_bound_contributions(t):
+    return dp.bound_contributions(t("events"), "user_id", 10, "event_id").select("event_id")
+
+
+@query("SELECT event_type, round(sum(least(greatest(value, 0), 100)), 4) AS s FROM events GROUP BY 1")
+def h2_clamped_sum(t):
+    return t("events").groupBy("event_type").agg(r(F.sum(quasi.clip("value", 0, 100)), 4).alias("s"))
+
+
+AGG = f"(SELECT event_type, count(*) AS n, sum(least(greatest(value, 0), 100)) AS s FROM {BOUND} GROUP BY 1)"
+
+
+@query(f"SELECT event_type, round(c, 5) AS noisy_count, round(s, 4) AS noisy_sum, round(least(greatest(s / greatest(c, 1), 0), 100), 5) AS noisy_mean FROM (SELECT event_type, n + {_lap(u_sql('aggn', 'event_type'), 20.0)} AS c, s + {_lap(u_sql('aggs', 'event_type'), 2000.0)} AS s FROM {AGG})")
+def h3_h4_laplace(t):
+    out = dp.private_agg(t("events"), ["event_type"], "user_id", "event_id", "value", (0, 100), 10, 1.0, ledger=dp.Ledger(1.0))
+    return out.select("event_type", r("noisy_count", 5).alias("noisy_count"), r("noisy_sum", 4).alias("noisy_sum"), r("noisy_mean", 5).alias("noisy_mean"))
+
+
+@query(f"SELECT event_type, n + (floor(ln({u_sql('aggn', 'event_type')}) / (-0.5::double / 10)) - floor(ln({u_sql('aggm', 'event_type')}) / (-0.5::double / 10)))::bigint AS noisy_count FROM {AGG}")
+def h5_geometric(t):
+    return dp.private_agg(t("events"), ["event_type"], "user_id", "event_id", "value", (0, 100), 10, 1.0, "geometric").select("event_type", "noisy_count")
+
+
+@query(f"SELECT event_type, round(n + (sqrt(2 * ln(1.25::double / 1e-6::double)) / 0.5::double * 10) * (sqrt(-2 * ln({u_sql('aggn', 'event_type')})) * cos(2 * pi() * {u_sql('aggm', 'event_type')})), 4) AS noisy_count FROM {AGG}")
+def h6_gaussian(t):
+    return dp.private_agg(t("events"), ["event_type"], "user_id", "event_id", "value", (0, 100), 10, 1.0, "gaussian").select("event_type", r("noisy_count", 4).alias("noisy_count"))
+
+
+@query(f"SELECT max_by(event_type, n * 0.1::double / 2 - ln(-ln({u_sql('max', 'event_type')}))) AS event_type FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+def h7_noisy_max(t):
+    return dp.noisy_max(t("events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n", 1.0, 0.1)
+
+
+@query(f"""SELECT (max_by(cell, -abs(below - 0.5::double * total) * 1.0::double / 2 - ln(-ln({u_sql('quantile', 'cell')}))) + 0.5::double) * 0.5 AS quantile
+FROM (SELECT cell, sum(n) OVER (ORDER BY cell) - n / 2 AS below, sum(n) OVER () AS total FROM (SELECT g.cell, coalesce(n, 0) AS n FROM (SELECT unnest(range(1000))::int AS cell) AS g LEFT JOIN (SELECT least(floor(least(greatest(value, 0), 500) / 0.5), 999)::int AS cell, count(*) AS n FROM events GROUP BY 1) AS c ON c.cell = g.cell))""")
+def h8_private_quantile(t):
+    return dp.private_quantile(t("events"), "value", 0.5, 0.0, 500.0, 1.0)
+
+
+@query(f"SELECT props, round(c, 5) AS noisy_units FROM (SELECT props, n + {_lap(u_sql('partitions', 'props'), 1.0)} AS c FROM (SELECT props, count(DISTINCT user_id) AS n FROM events GROUP BY 1)) WHERE c > 9")
+def h9_select_partitions(t):
+    return dp.select_partitions(t("events"), ["props"], "user_id", 1.0, 9.0).withColumn("noisy_units", r("noisy_units", 5))
+
+
+@query(f"SELECT round((avg(CASE WHEN CASE WHEN u < 0.75 THEN value > 100 ELSE v < 0.5 END THEN 1.0::double ELSE 0.0::double END) - 0.125::double) / 0.75::double, 6) AS share FROM (SELECT *, {u_sql('w1', 'event_id')} AS u, {u_sql('w2', 'event_id')} AS v FROM events)")
+def h10_randomized_response(t):
+    said = dp.warner(F.col("value") > 100, 0.75, draws.uniform("w1", "event_id"), draws.uniform("w2", "event_id"))
+    return t("events").agg(r((F.avg(F.when(said, 1.0).otherwise(0.0)) - 0.125) / 0.75).alias("share"))
+
+
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query()
+def h11_local_frequencies(t):
+    said = dp.randomize(t("events"), "event_type", TYPES, 2.0, "event_id")
+    return dp.estimate_frequencies(said, "event_type", TYPES, 2.0)
+
+
+@query()
+def h12_bloom_reports(t):
+    return dp.bloom_report(t("events"), "event_type", 32, 2, 2.0, "event_id").groupBy("event_type").agg(F.sum(F.aggregate("report", F.lit(0), lambda a, x: a + x)).alias("bits"))
+
+
+@query()
+def h13_local_hashing(t):
+    return dp.local_hash_report(t("events"), "event_type", 2.0, "event_id").select("event_id", "cell")
+
+
+# I. Linkage and utility
+
+
+@query(f"SELECT DISTINCT {hmac_sql('c_nationkey')} AS h FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def i1_hashed_intersection(t):
+    return utility.hashed_intersection(t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").select(F.col("s_nationkey").alias("k")), "k", KEY)
+
+
+@query()
+def i2_bloom_dice(t):
+    n = utility.bloom_encode(t("nation"), "n_name", 2, 256, 2, "b").select("n_name", "bloom")
+    return n.select(F.col("n_name").alias("a"), F.col("bloom").alias("x"), F.lit(1).alias("one")).join(n.select(F.col("n_name").alias("b"), F.col("bloom").alias("y")), F.col("a") < F.col("b")).select("a", "b", r(utility.dice(F.col("x"), F.col("y"))).alias("dice"))
+
+
+@query()
+def i3_minhash_blocks(t):
+    return utility.block(t("supplier"), "s_name", 3, 4).select("s_suppkey", "band", "key")
+
+
+@query(f"""SELECT sum(k * k)::bigint AS discernibility, round(sum(k) / count(*), 6) AS average_class, round(1 - sum(k) / (SELECT count(*) FROM customer), 6) AS suppression_rate
+FROM (SELECT count(*) AS k FROM {CUST} GROUP BY r_name, c_mktsegment, bal HAVING k >= 5)""")
+def i4_i5_utility(t):
+    c = customers(t)
+    out = utility.utility_report(c, risk.k_anonymize_by_suppression(c, QI, 5), QI)
+    return out.select("discernibility", r("average_class").alias("average_class"), r("suppression_rate").alias("suppression_rate"))
+
+
+@query(f"SELECT round(sum(s / w * k) / sum(k), 6) AS ncp FROM (SELECT max(c_acctbal) - min(c_acctbal) AS s, count(*) AS k FROM {CUST} GROUP BY r_name, c_mktsegment), (SELECT max(c_acctbal) - min(c_acctbal) AS w FROM customer)")
+def i6_certainty_penalty(t):
+    return utility.certainty_penalty(customers(t), "c_acctbal", ["r_name", "c_mktsegment"]).select(r("ncp").alias("ncp"))
+
+
+@query("""SELECT round(sum(abs(p - q)) / 2, 6) AS tv, round(sum(CASE WHEN p > 0 THEN p * ln(p / greatest(q, 1e-9::double)) ELSE 0 END), 6) AS kl FROM (SELECT coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q FROM
+(SELECT c_mktsegment AS k, count(*) / sum(count(*)) OVER () AS p FROM customer GROUP BY 1) AS a FULL JOIN (SELECT c_mktsegment AS k, count(*) / sum(count(*)) OVER () AS p FROM customer WHERE c_acctbal > 3000 GROUP BY 1) AS b USING (k))""")
+def i7_distance(t):
+    return utility.distance(t("customer"), t("customer").where("c_acctbal > 3000"), "c_mktsegment").select(r("tv").alias("tv"), r("kl").alias("kl"))
+
+
+# J. Streaming
+
+
+def stream(t, name: str = "events", cols: tuple[str, ...] = ("event_id", "ts", "user_id", "event_type", "value")) -> DataFrame:
+    schema = t(name).schema
+    s = io.read_stream(t.spark, f"{t.dir}/{name}.parquet*", schema).select(*cols)
+    return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in cols else s
+
+
+def done(t, df: DataFrame, mode: str = "append") -> DataFrame:
+    out = io.scratch(t.spark, "stream")
+    io.release_stream(df, out, io.scratch(t.spark, "state"), mode)
+    return t.spark.read.schema(df.schema).parquet(out)
+
+
+@query("SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') AS c_name FROM customer")
+def j1_stream_mask(t):
+    return done(t, stream(t, "customer", ("c_custkey", "c_name")).withColumn("c_name", keyed.mask_chars("c_name")))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::timestamp AS window_start, time_bucket(INTERVAL 1 HOUR, ts)::timestamp + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def j2_tumbling_window(t):
+    return _plain(done(t, ops.windowed_counts(stream(t), "ts", "1 hour", by=("event_type",)), "complete"))
+
+
+@query("SELECT w::timestamp AS window_start, w::timestamp + INTERVAL 2 HOUR AS window_end, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1, 2")
+def j3_sliding_window(t):
+    return _plain(done(t, ops.windowed_counts(stream(t), "ts", "2 hours", "1 hour"), "complete"))
+
+
+@query("""SELECT min(ts)::timestamp AS window_start, max(ts)::timestamp + INTERVAL 30 MINUTE AS window_end, user_id, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
+(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, s""")
+def j4_session_window(t):
+    return _plain(done(t, ops.windowed_counts(stream(t), "ts", "", gap="30 minutes", by=("user_id",)), "complete"))
+
+
+@query("SELECT event_id FROM events")
+def j5_dedup(t):
+    s = stream(t)
+    return done(t, ops.dedup(s.union(s), "event_id", "ts").select("event_id"))
+
+
+@query()
+def j6_approx_distinct(t):
+    return done(t, stream(t).groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users")), "complete")
+
+
+@query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3")
+def j7_j8_bound_contributions(t):
+    return done(t, ops.bound_contributions(stream(t), "user_id", 3, ["ts", "event_id"]).select("event_id"))
+
+
+@query("SELECT event_id FROM events WHERE (event_type, floor(value / 50)) IN (SELECT (event_type, floor(value / 50)) FROM events GROUP BY event_type, floor(value / 50) HAVING count(DISTINCT user_id) >= 20)")
+def j9_stream_k_anonymity(t):
+    s = stream(t).withColumn("bin", F.floor(F.col("value") / 50))
+    return done(t, ops.stream_k_anonymize(s, ["event_type", "bin"], "user_id", 20).select("event_id"))
+
+
+@query()
+def j10_continual_count(t):
+    s = stream(t).withColumn("day", F.dayofmonth("ts") - 1)
+    return done(t, ops.continual_count(s.select("event_type", "day"), "event_type", "day", 31, 1.0), "update")
+
+
+# K. UDF surface
+
+
+@query("SELECT c_custkey, (floor(c_acctbal / 100) * 100)::bigint AS b FROM customer")
+def k1_sql_function(t):
+    t.spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION umbra_bin(x DOUBLE, w DOUBLE) RETURNS BIGINT RETURN CAST(floor(x / w) * w AS BIGINT)")
+    return t("customer").selectExpr("c_custkey", "umbra_bin(c_acctbal, 100D) as b")
+
+
+@query("SELECT c_custkey, reverse(c_name) AS c_name FROM customer")
+def k2_pandas_udf(t):
+    return t("customer").select("c_custkey", F.pandas_udf(lambda s: s.str[::-1], "string", F.PandasUDFType.SCALAR)("c_name").alias("c_name"))
+
+
+@query("SELECT c_nationkey, round(max(c_acctbal) - min(c_acctbal), 4) AS spread FROM customer GROUP BY 1")
+def k4_apply_in_pandas(t):
+    import pandas as pd
+
+    def spread(pdf):
+        return pd.DataFrame({"c_nationkey": [pdf.c_nationkey.iloc[0]], "spread": [round(pdf.c_acctbal.max() - pdf.c_acctbal.min(), 4)]})
+
+    return t("customer").select("c_nationkey", "c_acctbal").groupBy("c_nationkey").applyInPandas(spread, "c_nationkey int, spread double")
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def k5_udtf(t):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="word string")
+    class Words:
+        def eval(self, s: str):
+            for w in s.split(" "):
+                yield (w,)
+
+    t.spark.udtf.register("umbra_words", Words)
+    t("part").select("p_partkey", "p_name").createOrReplaceTempView("umbra_part")
+    return t.spark.sql("SELECT p_partkey, word FROM umbra_part, LATERAL umbra_words(p_name)")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["g2_k_anonymous_release"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)

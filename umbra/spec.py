@@ -1,0 +1,21 @@
+"""What a release promises: column roles, thresholds, bounds."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+
+@dataclass(frozen=True)
+class PrivacySpec:
+    """roles: column -> direct_id, quasi_id, sensitive, unit_id or other."""
+
+    roles: dict[str, str] = field(default_factory=dict)
+    k: int = 5
+    l: int = 2  # noqa: E741
+    t: float = 0.2
+    epsilon: float = 1.0
+    delta: float = 1e-6
+    bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    def of(self, role: str) -> list[str]:
+        return [c for c, r in self.roles.items() if r == role]
