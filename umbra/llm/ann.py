@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import column, lists, stash
 from .vectors import Best, chunks, matrix, merge, whole
 
-ROWS, QUERIES = 8192, 4096
+ROWS, QUERIES, BLOCK = 8192, 4096, 256
 BRANCH = 8
 LEAF = 128
 
@@ -177,26 +177,30 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
 
     def block(left, right):
         qid, q = np.asarray(left["id"]), matrix(left["v"], dim)
-        ids, x, leaf = np.asarray(right["xid"]), matrix(right["x"], dim), np.asarray(right["leaf"])
+        order = np.argsort(np.asarray(right["leaf"]), kind="stable")
+        ids, x, leaf = np.asarray(right["xid"])[order], matrix(right["x"], dim)[order], np.asarray(right["leaf"])[order]
+        cut = np.flatnonzero(np.diff(leaf)) + 1
+        spans = [(int(leaf[a]), int(a), int(b)) for a, b in zip(np.append(0, cut), np.append(cut, len(leaf)), strict=True)]
         best = Best(len(qid), k)
         seen = left["leaves"].combine_chunks()
-        who = np.repeat(np.arange(len(qid)), np.diff(np.asarray(seen.offsets)))
-        visited = np.asarray(seen.values)[np.asarray(seen.offsets)[0] :]
-        for one in np.unique(leaf):
-            rows, ask = np.flatnonzero(leaf == one), who[visited == one]
-            for a in range(0, len(ask), 512):
-                qs = ask[a : a + 512]
-                s = q[qs] @ x[rows].T
-                s[qid[qs][:, None] == ids[rows][None, :]] = -np.inf
-                floor = best.worst[qs]
-                if len(rows) > k:
-                    floor = np.maximum(floor, np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k])
-                floor = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), -np.finfo(float).max)
-                i, j = np.nonzero(s >= floor[:, None])
-                for c in range(0, len(i), 100_000):
-                    ii, jj = qs[i[c : c + 100_000]], rows[j[c : c + 100_000]]
-                    best.add(ii, ids[jj], exact(q[ii], x[jj]))
-                best.settle()
+        offsets = np.asarray(seen.offsets)
+        who = np.repeat(np.arange(len(qid)), np.diff(offsets))
+        visited = np.asarray(seen.values)[offsets[0] : offsets[-1]]
+        for a in range(0, len(qid), BLOCK):
+            qs = np.arange(a, min(a + BLOCK, len(qid)))
+            mine = (who >= a) & (who < a + BLOCK)
+            to, at = who[mine] - a, visited[mine]
+            s = np.full((len(qs), len(ids)), -np.inf)  # scores of visited leaves only
+            for one, lo, hi in spans:
+                ask = to[at == one]
+                s[ask, lo:hi] = q[qs[ask]] @ x[lo:hi].T
+            s[qid[qs][:, None] == ids[None, :]] = -np.inf
+            floor = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(qs), -np.inf)
+            floor = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), -np.finfo(float).max)
+            i, j = np.nonzero(s >= floor[:, None])
+            for c in range(0, len(i), 100_000):
+                ii, jj = qs[i[c : c + 100_000]], j[c : c + 100_000]
+                best.add(ii, ids[jj], exact(q[ii], x[jj]))
         i, j, s = best.settle()
         return pa.table({"query_id": qid[i], "vec_id": j, "score": s})
 
