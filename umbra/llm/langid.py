@@ -18,7 +18,6 @@ tables give empty results.
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
 from itertools import chain
 
@@ -52,9 +51,24 @@ def script(word: str) -> int:
     return SCRIPT_AT[bisect_right(STARTS, ord(word[0])) - 1]
 
 
-def grams(word: str) -> list[int]:
-    w = f"<{word}>"
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) & (BUCKETS - 1) for n in GRAMS for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of all words, each between < and >, and the number of the word that each belongs to."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    code = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), size)
+    end = np.cumsum(size)[word]
+    first = end - size[word]
+    at, own = [], []
+    for n in GRAMS:
+        i = np.arange(len(code) - n + 1)
+        i = i[(i + n <= end[i]) & ((n > 1) | ((i > first[i]) & (i + 1 < end[i])))]
+        h = np.full(len(i), n, np.uint64)
+        for j in range(n):
+            h = (h ^ code[i + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        at.append((h >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1))
+        own.append(word[i])
+    return np.concatenate(at), np.concatenate(own)
 
 
 class Model:
@@ -83,11 +97,11 @@ class Model:
     def score_new(self) -> None:
         if not self.new:
             return
-        each = [grams(w) for w in self.new]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter(chain.from_iterable(each), np.int64, int(size.sum()))
-        s = np.add.reduceat(self.log[flat], np.cumsum(size) - size, axis=0) / np.sqrt(size)[:, None]
-        s[~self.allowed[np.fromiter(map(script, self.new), np.int64, len(each))]] = -1e4
+        at, own = grams(self.new)
+        n = len(self.new)
+        size = np.bincount(own, minlength=n)
+        s = np.column_stack([np.bincount(own, self.log[at, k], n) for k in range(len(self.langs))]) / np.sqrt(size)[:, None]
+        s[~self.allowed[np.fromiter(map(script, self.new), np.int64, n)]] = -1e4
         self.scores = np.concatenate([self.scores, s.astype(np.float32)])
         self.new = []
 
@@ -101,19 +115,28 @@ class Model:
         low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), gain[:-1]]), axis=0)
         if (gain - low).max() <= PENALTY:
             return np.full(len(words), top), total
-        n, k = s.shape
-        back = np.empty((n, k), np.int16)
-        best, stay = s[0].copy(), np.arange(k)
-        for t in range(1, n):
-            m = int(best.argmax())
-            jump = best[m] - PENALTY
-            moved = jump > best
-            back[t] = np.where(moved, m, stay)
-            best = np.where(moved, jump, best) + s[t]
-        out = np.empty(n, np.int64)
-        out[-1] = best.argmax()
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+        k = s.shape[1]
+        # The maximum over languages is at most PENALTY above any other, so a language is worth
+        # best - PENALTY at least: that is the switch. back[t][j]: the language before j at word t.
+        rows = s.tolist()
+        best, back, each = rows[0], [], range(k)
+        for row in rows[1:]:
+            top_score = max(best)
+            jump = top_score - PENALTY
+            if min(best) < jump:
+                m = best.index(top_score)
+                back.append([m if best[j] < jump else j for j in each])
+                best = [(jump if best[j] < jump else best[j]) + row[j] for j in each]
+            else:
+                back.append(None)
+                best = [best[j] + row[j] for j in each]
+        at = best.index(max(best))
+        path = [at]
+        for step in reversed(back):
+            if step is not None:
+                at = step[at]
+            path.append(at)
+        out = np.array(path[::-1])
         return out, total
 
     def spans(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
@@ -177,26 +200,20 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     sample = df.where(draw < rate[F.col("lang")]).select("text", "lang")
 
     def count(batches):
-        where, sums, letters = {}, {}, {}
+        sums, letters = {}, {}
         for b in pieces(batches):
+            bags: dict[str, dict[str, int]] = {}
             for text, lang in zip(column(b, "text").to_pylist(), column(b, "lang").to_pylist(), strict=True):
-                bag: dict[str, int] = {}
+                bag = bags.setdefault(lang, {})
                 for w in WORD.findall(text.lower()):
                     bag[w] = bag.get(w, 0) + 1
-                if not bag:
-                    continue
-                if len(where) > 200_000:
-                    where.clear()
-                into = sums.setdefault(lang, np.zeros(BUCKETS))
-                seen = letters.setdefault(lang, np.zeros(len(NAMES)))
-                ids, weight = [], []
-                for w, n in bag.items():
-                    if (g := where.get(w)) is None:
-                        g = where[w] = grams(w)
-                    ids += g
-                    weight += [n] * len(g)
-                    seen[script(w)] += n * len(w)
-                into += np.bincount(ids, weight, BUCKETS)
+            for lang, bag in bags.items():
+                if bag:
+                    words, n = list(bag), np.fromiter(bag.values(), np.float64, len(bag))
+                    at, own = grams(words)
+                    sums[lang] = sums.get(lang, 0) + np.bincount(at, n[own], BUCKETS)
+                    size = np.fromiter(map(len, words), np.int64, len(words))
+                    letters[lang] = letters.get(lang, 0) + np.bincount(np.fromiter(map(script, words), np.int64, len(words)), n * size, len(NAMES))
         for lang, s in sums.items():
             hit = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array(hit, pa.int32()), pa.array(s[hit])], names=["lang", "bucket", "n"])
