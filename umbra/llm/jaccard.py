@@ -197,14 +197,15 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = stash(sign(texts.select("id", F.xxhash64("text").alias("row"), "text")), "signed")
     known = docs.where(F.col("words").isNotNull())
-    classes = known.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    # Written before they are joined: a join's side that is no aggregate lets Spark split a hot digest or bucket over tasks.
+    classes = stash(known.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     member = stash(known.select("id", "row", "words").join(classes, "words").select("id", "row", "rep", "n"), "members")
     # One row for each representative; ids that repeat with several texts stay apart by their row's hash.
     heads = member.where("id = rep").select("id", "row", "n").dropDuplicates(["id", "row"])
     reps = stash(docs.where(F.col("words").isNotNull()).dropDuplicates(["id", "row"]).join(heads, ["id", "row"]).select(F.xxhash64("id", "words").alias("c"), "id", "row", "n", "chars", "sig", "keys"), "reps")
 
     buckets = reps.select("c", "chars", F.posexplode("keys").alias("band", "key")).select("c", "chars", F.col("band").cast("int").alias("band"), "key")
-    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("many"), F.sum("chars").alias("chars")).where("many > 1")
+    sizes = stash(buckets.groupBy("band", "key").agg(F.count("*").alias("many"), F.sum("chars").alias("chars")).where("many > 1"), "sizes")
     placed = stash(buckets.drop("chars").join(sizes, ["band", "key"]), "buckets")
 
     # Small buckets: pairs, once each, with the first band on which a small bucket holds both.
