@@ -36,6 +36,7 @@ TEXTS = [
     None, "", "no data", "a@b.com_x@c.de, x@y@z.com a@@b.c", "😀é bob.o@mail.example.co.uk!", "1.2.3.4.5.6.7.8 999.1.1.1 010.0.0.255 1.2.3", "4111 1111-1111 1111 and 4111111111111112",
     "+1 (743) 555-3824, +1(((, +12 345 678 9012 3456 789", "9" * 5000, "a" * 20000 + "@b", "1-2 " * 3000, ("x@y.zz " * 900) + "é", "a@b" + ".c" * 5000, "+1 4111111111111111 10.0.0.1.4 4111111111111111",
     "iban GB82 WEST 1234 5698 7654 32 and GB00 WEST 1234 5698 7654 32", "my ssn 123-45-6789 then 321-54-9876", 'token = "51b45cafb470023d530328210c992de051d8e541"',
+    "call +1 (269) 555-3296 4524132264652876 now", "+1 (743) 555-3824 70.23.22.57", "70.23.22.57 4111111111111111", "4111111111111111@x.com", "4111111111111111 " * 600,
 ]
 
 
@@ -59,12 +60,21 @@ def test_added_kinds(rows):
     assert "secret:0:" in rows[16]["spans"]
 
 
+def test_numbers_side_by_side(rows):
+    assert rows[17]["spans"] == "card_part:23:39,phone_part:5:22" and rows[17]["n_card"] == rows[17]["n_phone"] == 0
+    assert "ip:18:29" in rows[18]["spans"] and "phone_part:0:17" in rows[18]["spans"]
+    assert rows[19]["spans"] == "ip:0:11,card_part:12:28"
+    assert rows[21]["spans"].count("card_part") == 600
+
+
 def test_redact_leaves_no_confirmed_span(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     out = pii.redact(df)
     assert out.columns == df.columns
     for r in out.collect():
         assert brute(r["text"]) == []
+        assert "123-45-6789" not in (r["text"] or "") and "555-3296" not in (r["text"] or "") and "555-3824" not in (r["text"] or "")
+        assert "4111111111111111" not in (r["text"] or "") and "4524132264652876" not in (r["text"] or "")
         if TEXTS[r["doc_id"]] in (None, "", "no data"):
             assert r["text"] == TEXTS[r["doc_id"]]
 

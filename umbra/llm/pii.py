@@ -3,7 +3,9 @@ range checks confirm them, words just before a span adjust its score.
 
 Base kinds (email, ip, card, phone) are kept whatever their score. Added kinds are kept from a score
 of `KEEP`: IBANs that pass mod-97, social security numbers that a context word names, and secrets
-assigned to a telling name.
+assigned to a telling name. Base matches that fail because they run over several numbers written side
+by side (a phone, then a card) are searched again inside: `phone_part` and `card_part` are the numbers
+found there, so they never overlap a base span of their kind.
 
 Offsets are code points, end exclusive. They come from splitting the text by the pattern: a match
 begins where the gaps and matches before it end. Everything is linear in the text's length; patterns
@@ -25,6 +27,7 @@ BLOCK = 256  # prefix sums are built by blocks of so many matches, so that no ar
 #: The contract's kinds first, then the added ones.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "secret")
+PARTS = ("card_part", "phone_part")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
@@ -33,6 +36,8 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"""(?<![A-Za-z0-9])(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9_\-]{8,}["']?""",
+    "card_part": r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])",
+    "phone_part": r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,4}?(?![0-9])",
 }
 #: Words before a span that make its kind likelier. Fixed values.
 CONTEXT = {
@@ -67,15 +72,20 @@ def _mod97(x: Column) -> Column:
 def _valid(kind: str, x: Column) -> Column:
     if kind == "ip":
         return x.rlike(OCTETS)
-    if kind == "card":
+    if kind in ("card", "card_part"):
         return F.length(_digits(x)).between(16, 19) & F.call_function("luhn_check", _digits(x))
-    if kind == "phone":
+    if kind in ("phone", "phone_part"):
         return F.length(_digits(x)).between(8, 15)
     if kind == "iban":
         return _mod97(x) == 1
     return F.lit(True)
 
 
+def _split_again(kind: str, x: Column) -> Column:
+    """Whether a match of a base kind fails for its length, so that it may run over several numbers."""
+    return ~_valid(kind, x) & (F.length(_digits(x)) > (16 if kind == "card" else 15))
+
+
 def _prefix(sizes: Column) -> Column:
     """Exclusive prefix sums of an int array, by blocks."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.slice(sizes, b * BLOCK + 1, BLOCK))
@@ -100,31 +110,68 @@ def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kinds = BASE + ADDED
     df = _found(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kinds)
 
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+
+    def span(kind: str, base: str, start: Column, match: Column, gap: Column) -> Column:
+        score = F.lit(SCORE[base]) + F.when(F.right(gap, F.lit(CONTEXT_CHARS)).rlike(CONTEXT[base]), CONTEXT_SCORE).otherwise(0.0)
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"), F.round(score, 3).alias("score"))
+
+    def placed(gaps: Column, matches: Column) -> Column:
+        """(at: where the gap begins, gap, match) of each match."""
+        gaps = F.slice(gaps, 1, F.size(matches))
+        return F.arrays_zip(_prefix(F.zip_with(gaps, matches, lambda a, b: F.length(a) + F.length(b))).alias("at"), gaps.alias("gap"), matches.alias("match"))
+
     def spans(k: str) -> Column:
-        m, g = F.col(f"m_{k}"), F.slice(F.col(f"g_{k}"), 1, F.size(f"m_{k}"))
-        size = F.zip_with(g, m, lambda a, b: F.length(a) + F.length(b))
-        before = F.arrays_zip(_prefix(size).alias("at"), g.alias("gap"), m.alias("match"))
-        score = lambda x: F.round(F.lit(SCORE[k]) + F.when(F.right(x["gap"], F.lit(CONTEXT_CHARS)).rlike(CONTEXT[k]), CONTEXT_SCORE).otherwise(0.0), 3)
-        each = F.transform(F.filter(before, lambda x: _valid(k, x["match"])), lambda x: F.struct(F.lit(k).alias("kind"), (x["at"] + F.length(x["gap"])).alias("start"), (x["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("end"), score(x).alias("score")))
+        m = F.col(f"m_{k}")
+        each = F.transform(F.filter(placed(F.col(f"g_{k}"), m), lambda x: _valid(k, x["match"])), lambda x: span(k, k, x["at"] + F.length(x["gap"]), x["match"], x["gap"]))
         if k in ADDED:
             each = F.filter(each, lambda x: x["score"] >= KEEP)
-        return F.when(F.size(m) > 0, each).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
+        return F.when(F.size(m) > 0, each).otherwise(empty)
+
+    def parts(k: str) -> Column:
+        """Numbers inside the base matches that fail for their length."""
+        base, m = k.removesuffix("_part"), F.col(f"m_{k.removesuffix('_part')}")
 
-    return df.select(F.col("id").alias(id_col), F.concat(*[spans(k) for k in kinds]).alias("spans"))
+        def inside(x: Column) -> Column:
+            found = F.regexp_extract_all(x["match"], F.lit(PATTERNS[k]), F.lit(0))
+            good = F.filter(placed(F.split(x["match"], PATTERNS[k], -1), found), lambda y: _valid(k, y["match"]))
+            start = lambda y: x["at"] + F.length(x["gap"]) + y["at"] + F.length(y["gap"])
+            return F.when(F.size(found) > 0, F.transform(good, lambda y: span(k, base, start(y), y["match"], F.concat(x["gap"], y["gap"])))).otherwise(empty)
 
+        again = F.filter(placed(F.col(f"g_{base}"), m), lambda x: _split_again(base, x["match"]))
+        return F.when(F.exists(m, lambda x: _split_again(base, x)), F.flatten(F.transform(again, inside))).otherwise(empty)
 
-def _shown(kind: str, matches: Column) -> Column:
-    return F.transform(matches, lambda x: F.when(_valid(kind, x), f"[{kind.upper()}]").otherwise(x))
+    return df.select(F.col("id").alias(id_col), F.concat(*[spans(k) for k in kinds], *[parts(k) for k in PARTS]).alias("spans"))
+
+
+def _joined(gaps: Column, shown: Column) -> Column:
+    """Gaps and what is shown between them, as one text."""
+    return F.array_join(F.flatten(F.zip_with(gaps, F.array_append(shown, F.lit("")), lambda a, b: F.array(a, b))), "")
+
+
+def _shown(kind: str, gap: Column, x: Column) -> Column:
+    """What stands for a match: its kind if confirmed (with its context, where the kind needs that), else the match itself."""
+    label, part = F.lit(f"[{kind.upper()}]"), f"{kind}_part"
+    sure = _valid(kind, x)
+    if SCORE[kind] < KEEP:
+        sure &= F.right(gap, F.lit(CONTEXT_CHARS)).rlike(CONTEXT[kind])
+    if part not in PARTS:
+        return F.when(sure, label).otherwise(x)
+    inner = F.transform(F.regexp_extract_all(x, F.lit(PATTERNS[part]), F.lit(0)), lambda y: F.when(_valid(part, y), label).otherwise(y))
+    return F.when(sure, label).when(_split_again(kind, x), _joined(F.split(x, PATTERNS[part], -1), inner)).otherwise(x)
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Every confirmed span of the text replaced by its kind in brackets; null texts stay null; all columns stay."""
+    """Every confirmed span of the text replaced by its kind in brackets; null texts stay null; all columns stay.
+
+    Kind by kind, so that numbers freed by an earlier kind are found by a later one; phones are searched
+    again after the addresses and cards that they ran into.
+    """
     out = df
-    for k in ("card", "email", "ip", "phone", "iban", "secret"):
+    for k in ("email", "phone", "ip", "card", "phone", "iban", "ssn", "secret"):
         found = _found(out.withColumn("text", F.col(text_col)) if text_col != "text" else out, (k,))
         m, g = F.col(f"m_{k}"), F.col(f"g_{k}")
-        shown = _shown(k, m)
-        new = F.array_join(F.flatten(F.zip_with(g, F.array_append(shown, F.lit("")), lambda a, b: F.array(a, b))), "")
+        new = _joined(g, F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: _shown(k, a, b)))  # noqa: B023
         out = found.withColumn(text_col, F.when(F.size(m) > 0, new).otherwise(F.col(text_col))).drop(f"m_{k}", f"g_{k}")
     return out
 
