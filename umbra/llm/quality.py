@@ -92,31 +92,31 @@ class Machine:
 
 
 def fit(at: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> Machine:
-    """Full-batch Adam on the log loss."""
+    """Full-batch Adam on the log loss.
+
+    One factor at a time, so that no array is larger than the entries: with s_f the sum of v_if x_i over a row,
+    the gradient of v_if is the sum of g x_i s_f over rows less v_if times the sum of g x_i^2.
+    """
     n = BUCKETS + STATS
-    m = Machine(float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), np.zeros(n), np.random.default_rng(seed).normal(0, 0.05, (n, RANK)))
-    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
-    one, two = np.zeros((n, RANK + 1)), np.zeros((n, RANK + 1))
+    # Row f of par is factor f; the last one is w.
+    par = np.vstack([np.random.default_rng(seed).normal(0, 0.05, (n, RANK)).T, np.zeros(n)])
+    w0 = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    size, square = np.diff(np.append(first, len(at))), x * x
+    one, two = np.zeros_like(par), np.zeros_like(par)
     b1 = b2 = 0.0
     for t in range(1, steps + 1):
-        vx = m.v[at] * x[:, None]
-        s = np.add.reduceat(vx, first, axis=0)
-        z = m.w0 + np.add.reduceat(m.w[at] * x, first) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vx * vx).sum(1), first))
+        s = [np.add.reduceat(p[at] * x, first) for p in par[:RANK]]
+        z = w0 + np.add.reduceat(par[RANK][at] * x, first) + 0.5 * (sum(v * v for v in s) - np.add.reduceat((par[:RANK] ** 2).sum(0)[at] * square, first))
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        gx = g[row] * x
-        grad = np.empty((n, RANK + 1))
-        grad[:, RANK] = np.bincount(at, gx, n)
-        for f in range(RANK):
-            grad[:, f] = np.bincount(at, gx * (s[row, f] - vx[:, f]), n)
-        par = np.column_stack([m.v, m.w])
+        own = np.bincount(at, np.repeat(g, size) * square, n)
+        grad = np.stack([np.bincount(at, np.repeat(g * v, size) * x, n) - p * own for v, p in zip(s, par, strict=False)] + [np.bincount(at, np.repeat(g, size) * x, n)])
         grad += decay * par
         one = 0.9 * one + 0.1 * grad
         two = 0.99 * two + 0.01 * grad * grad
         par -= rate * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.99**t)) + 1e-8)
-        m.v, m.w = par[:, :RANK], par[:, RANK]
         b1, b2 = 0.9 * b1 + 0.1 * g.sum(), 0.99 * b2 + 0.01 * g.sum() ** 2
-        m.w0 -= rate * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-8)
-    return m
+        w0 -= rate * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-8)
+    return Machine(w0, par[RANK].copy(), np.ascontiguousarray(par[:RANK].T))
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 4000) -> Machine:
