@@ -29,7 +29,9 @@ from .common import column, lists, pieces
 
 NONE = np.int64(1 << 40)
 #: Entries of the per-worker word cache after which it is emptied (bounds memory, not results).
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
+#: Characters of a block: its words, ids and index arrays are in a worker's memory at once.
+BLOCK_CHARS = 2_000_000
 #: White_Space of Unicode, which is what `\s` means to the tokenizer's own regex engine. Fixed values.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: A run without white space (with one space before it) is split by the pattern on its own terms.
@@ -222,7 +224,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         codec = _codec(shared)
-        for b in pieces(batches, text="text"):
+        for b in pieces(batches, chars=BLOCK_CHARS):
             ids, size = codec.encode_block(column(b, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([column(b, "id"), lists(ids, size, pa.int32())], names=["id", "ids"])
 
@@ -248,7 +250,7 @@ def tokens(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         codec = _codec(shared)
-        for b in pieces(batches):
+        for b in pieces(batches, chars=BLOCK_CHARS):
             texts = column(b, "text").to_pylist()
             ids, size = codec.encode_block(texts)
             exact = [codec.decode(x) == (t or "").encode() for x, t in zip(np.split(ids, np.cumsum(size)[:-1]), texts, strict=True)]
@@ -263,7 +265,7 @@ def digests(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         codec = _codec(shared)
-        for b in pieces(batches, text="text"):
+        for b in pieces(batches, chars=BLOCK_CHARS):
             ids, size = codec.encode_block(column(b, "text").to_pylist())
             each = np.split(ids, np.cumsum(size)[:-1])
             yield pa.RecordBatch.from_arrays(

@@ -165,6 +165,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 [column(b, "id"), column(b, "row"), pa.array(digest, pa.binary()), pa.array(chars, pa.int64()), pa.array(sigs, pa.binary()), lists(np.concatenate(keys), [len(k) for k in keys], pa.int64())],
                 names=["id", "row", "words", "chars", "sig", "keys"],
             )
+        _codes.clear()  # a reused worker's next task may be another operator's
 
     return docs.mapInArrow(run, "id long, row long, words binary, chars long, sig binary, keys array<long>")
 
@@ -241,6 +242,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
                         last, own = i, np.unique(shingles(word_codes(ta)))
                     keep.append(bool(jaccard(own, [np.unique(shingles(word_codes(tb)))])[0] >= threshold))
                 yield pa.RecordBatch.from_arrays([column(b, k).filter(pa.array(keep, pa.bool_())) for k in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
+        _codes.clear()  # a reused worker's next task may be another operator's
 
     linked = stash(pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(verify, "a long, b long, na long, nb long"), "linked")
 
@@ -281,6 +283,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
                 links[rows] += n[i]
                 for j in rows.tolist():
                     root[find(j)] = find(i)
+        _codes.clear()
         hit = np.flatnonzero(links)
         return pa.table({"a": ids[hit], "b": ids[np.array([find(i) for i in hit.tolist()], np.int64)], "links": links[hit]})
 

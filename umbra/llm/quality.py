@@ -133,6 +133,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             size = [len(a) for a, _ in each]
             flat = lambda k, kind: lists(np.concatenate([e[k] for e in each]), size, kind)
             yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "label").cast(pa.float64()), flat(0, pa.int32()), flat(1, pa.float64())], names=["id", "label", "at", "x"])
+        _hashes.clear()  # a reused worker's next task may be another operator's
 
     got = rows.mapInArrow(run, "id long, label double, at array<int>, x array<double>").toArrow().sort_by([("id", "ascending")]).combine_chunks()
     if not got.num_rows:
@@ -157,5 +158,6 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
             size = np.fromiter((len(a) for a, _ in each), np.int64, len(each))
             at, x = (np.fromiter(chain.from_iterable(e[k] for e in each), kind, int(size.sum())) for k, kind in ((0, np.int64), (1, np.float64)))
             yield pa.RecordBatch.from_arrays([column(b, c) for c in kept] + [pa.array(shared.value.score(at, x, np.cumsum(size) - size))], names=[*kept, "score"])
+        _hashes.clear()  # a reused worker's next task may be another operator's
 
     return base.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in base.dtypes if c in kept) + ", score double")
