@@ -72,28 +72,35 @@ def k_anonymize_full_domain(df: DataFrame, levels: dict[str, list], k: int, max_
     return k_anonymize_by_suppression(out, names, k), chosen
 
 
-def mondrian(df: DataFrame, qi: list[str], k: int, max_levels: int = 12) -> DataFrame:
-    """Multidimensional median splits, all open partitions of a level in one pass; adds column `part`.
+def mondrian(df: DataFrame, qi: list[str], k: int) -> DataFrame:
+    """Multidimensional median splits, all open partitions of a level in one pass, until none can be split; adds column `part`.
 
-    A part is split on its widest quasi-identifier (relative to the whole) at the median if both halves
-    keep k rows. A level is expressions and window aggregates only; nothing is collected but whether a part was split.
+    A part is split on its widest quasi-identifier (relative to the whole) that has a cut next to its
+    median, above or else below it, with k rows on both sides; if these two cuts fail, so does any other
+    of that quasi-identifier. A part is closed when all have failed. Nulls lie above all values. A level
+    is aggregates by part; the driver sees only whether a part was split.
     """
     span = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in qi]).first()
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(float("inf"))) for c in qi]
     out = df.withColumn("part", F.lit("0")).withColumn("__open", F.lit(True))
-    for _ in range(max_levels):
-        w = Window.partitionBy("part")
-        width = [((F.max(c).over(w) - F.min(c).over(w)).cast("double") / (span[c] or 1.0)) for c in qi]
-        out = out.withColumn("__w", F.array(*width)).withColumn("__d", F.array_position("__w", F.array_max("__w")).cast("int"))
-        value = F.element_at(F.array(*[F.col(c).cast("double") for c in qi]), F.col("__d"))
-        out = out.withColumn("__v", value).withColumn("__m", F.percentile_approx("__v", 0.5).over(w))
-        low = F.sum((F.col("__v") <= F.col("__m")).cast("int")).over(w)
-        high = F.sum((F.col("__v") > F.col("__m")).cast("int")).over(w)
-        out = out.withColumn("__open", F.col("__open") & (low >= k) & (high >= k))
-        out = out.withColumn("part", F.when(F.col("__open"), F.concat("part", F.when(F.col("__v") <= F.col("__m"), "0").otherwise("1"))).otherwise(F.col("part"))).drop("__w", "__d", "__v", "__m")
-        out = _cut(out)
-        if not out.where("__open").limit(1).count():
-            break
-    return out.drop("__open")
+    accuracy = max(10_000, 10 * k)  # exact wherever a part is so small that k decides
+    while True:
+        parts = out.where("__open").groupBy("part")
+        mids = [F.percentile_approx(v, 0.5, accuracy).alias(f"__m{i}") for i, v in enumerate(x)]
+        widths = [((F.max(c) - F.min(c)).cast("double") / (span[c] or 1.0)).alias(f"__w{i}") for i, c in enumerate(qi)]
+        stats = _cut(parts.agg(*mids, *widths))
+        sides = [F.struct(F.count_if(v <= F.col(f"__m{i}")).alias("le"), F.count_if(v < F.col(f"__m{i}")).alias("lt")).alias(f"__s{i}") for i, v in enumerate(x)]
+        counts = out.where("__open").join(stats, "part").groupBy("part").agg(F.count("*").alias("__n"), *sides)
+        fits = lambda low: (low >= k) & (F.col("__n") - low >= k)
+        cuts = F.array(*[F.when(fits(F.col(f"__s{i}.le")) | fits(F.col(f"__s{i}.lt")), F.struct(F.coalesce(f"__w{i}", F.lit(0.0)).alias("w"), F.lit(-i).alias("i"), F.col(f"__m{i}").alias("m"), fits(F.col(f"__s{i}.le")).alias("le"))) for i in range(len(qi))])
+        best = _cut(counts.join(stats, "part").select("part", F.array_max(cuts).alias("__c")).where("__c is not null"))
+        if not best.limit(1).count():
+            return out.drop("__open")
+        value = F.element_at(F.array(*x), 1 - F.col("__c.i"))
+        low = F.when(F.col("__c.le"), value <= F.col("__c.m")).otherwise(value < F.col("__c.m"))
+        split = F.col("__c").isNotNull()
+        part = F.when(split, F.concat("part", F.when(low, "0").otherwise("1"))).otherwise(F.col("part"))
+        out = _cut(out.join(best, "part", "left").select(*df.columns, part.alias("part"), split.alias("__open")))
 
 
 def _cut(df: DataFrame) -> DataFrame:
