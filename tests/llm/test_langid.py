@@ -1,3 +1,7 @@
+import itertools
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from umbra.llm import langid
@@ -32,3 +36,14 @@ def test_mixed_text_scripts_and_cases(spark):
     none = langid.learn(df.limit(0))
     assert {r["lang_pred"] for r in langid.predict(test, none).collect()} == {"und"}
     assert langid.predict(test.limit(0), model).count() == 0
+
+
+def test_two_other_languages_beat_the_best_single_one():
+    model = langid.Model(["a", "b", "c"], np.ones((langid.BUCKETS, 3)), np.ones((len(langid.NAMES), 3)))
+    model.scores = np.array([[0, 10, -30], [0, -30, 10]])
+    assert model.label(np.array([0, 1]))[0].tolist() == [1, 2]
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        s = model.scores = rng.normal(0, 8, (rng.integers(1, 6), 3)).round(3)
+        worth = lambda path: sum(s[t][k] for t, k in enumerate(path)) - langid.PENALTY * sum(a != b for a, b in itertools.pairwise(path))  # noqa: B023, E731
+        assert worth(model.label(np.arange(len(s)))[0]) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=len(s)))))

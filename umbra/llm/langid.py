@@ -110,10 +110,12 @@ class Model:
         s = self.scores[words].astype(np.float64)
         total = s.sum(0)
         top = int(total.argmax())
-        # One language throughout is optimal if no other gains more than the penalty on any stretch.
+        # One language throughout is optimal if no other gains more than the penalty on any stretch, nor any two
+        # together on a stretch from the start and one to the end: q switches leave q - 1 stretches between these.
         gain = np.cumsum(s - s[:, top : top + 1], axis=0)
         low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), gain[:-1]]), axis=0)
-        if (gain - low).max() <= PENALTY:
+        most = (gain - low).max(1)
+        if most.max() <= PENALTY and gain.max() + most[-1] <= PENALTY:
             return np.full(len(words), top), total
         k = s.shape[1]
         # The maximum over languages is at most PENALTY above any other, so a language is worth
