@@ -1,0 +1,17 @@
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
+
+from umbra.plans import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_next_month_is_not_counted_as_this_one(spark, tmp_path):
+    """A step outside the horizon raises an error instead of being left out or counted elsewhere."""
+    df = spark.read.parquet(f"{SF}/events.parquet")
+    df.withColumn("ts", (F.col("ts") + F.expr("INTERVAL 40 DAYS")).cast(df.schema["ts"].dataType)).coalesce(1).write.parquet(str(tmp_path / "out"))
+    shutil.copy(next((tmp_path / "out").glob("part-*.parquet")), tmp_path / "events.parquet")
+    with pytest.raises(Exception, match="outside 0..30"):
+        registry.queries()["j10_continual_count"](spark, str(tmp_path)).collect()

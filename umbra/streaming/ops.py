@@ -74,7 +74,8 @@ def continual_count(df: DataFrame, by: str, step: str, horizon: int, epsilon: fl
     """Running count after each step 0..horizon-1 by the binary tree mechanism: (by, step, noisy_count).
 
     Step t's count is the sum of the tree nodes that cover [0, t], each with Laplace noise of scale
-    levels/epsilon; noise is hash-derived from the node, so a node is noised once.
+    levels/epsilon; noise is hash-derived from the node, so a node is noised once. A null step or one
+    outside 0..horizon-1 raises an error, as its rows could not be counted.
     """
     import hashlib
     import math
@@ -89,6 +90,8 @@ def continual_count(df: DataFrame, by: str, step: str, horizon: int, epsilon: fl
     def run(key, chunks: Iterator[pd.DataFrame], state: GroupState):
         counts = dict(zip(*state.get, strict=True)) if state.exists else {}
         for pdf in chunks:
+            if not pdf[step].between(0, horizon - 1).all():
+                raise ValueError(f"{step}: null or outside 0..{horizon - 1}")
             for s, n in pdf[step].value_counts().items():
                 counts[int(s)] = counts.get(int(s), 0) + int(n)
         state.update((list(counts), list(counts.values())))
