@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_license_scan": licenses.oracle_sql()}
+    return {"op2_license_scan": licenses.oracle_sql(), "op10_exact_topk": topk.oracle_sql()}

@@ -9,10 +9,14 @@ Two rounds: each query chunk first searches the data chunk around its own pivot;
 found there then rule out whole cells by the same bound before the remaining pairs of chunks are
 searched. Nothing is sampled or capped in the search itself, so the result is exact.
 
+Pivots number one for `ROWS` rows, between 64 and 1024, from a sample of 16 a pivot, at least `sample`
+rows and at most `SAMPLE_BYTES` (documented bounds): cells shrink as the table grows.
+
 Defined cases: vectors that are null or hold null or non-finite components neither ask nor answer;
 vectors of other lengths count as padded with zeros; a query never finds its own id; ties go to the
-smaller id; extra columns are dropped; empty tables give empty results. Scores beyond 64 bits raise
-an error.
+smaller id; an id on several rows is one item: it is found once, with the best score of its rows, and asks
+with all of them; fewer candidates than k are all returned; extra columns are dropped; empty tables give
+empty results. Scores beyond 64 bits raise an error.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, stash
-from .vectors import Best, chunks, matrix, merge, whole
+from .vectors import Best, chunks, matrix, merge, spread_pairs, whole
 
 ROWS, QUERIES = 8192, 2048
-PIVOTS = 64
+PIVOTS, MOST_PIVOTS = 64, 1024
+SAMPLE_BYTES = 64_000_000
 LEAF, FAN = 96, 16
 
 
@@ -86,7 +91,7 @@ def dual(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, ids: np.ndarray, x:
     if not safe:
         qs, xs = (np.vectorize(int, otypes=[object])(m) for m in (qs, xs))
     qi, xi = qid[s.order], ids[t.order]
-    best = Best(len(q), k, floor[s.order], hold=200_000)
+    best = Best(len(q), k, floor[s.order], hold=200_000, distinct=len(np.unique(ids)) == len(ids))
 
     def bound(a: int, b: int) -> float:
         u = float(s.at[a] @ t.at[b]) + s.radius[a] * t.norm[b] + t.radius[b] * s.norm[a] + s.radius[a] * t.radius[b]
@@ -130,9 +135,11 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     n, dim = size["n"], max(size["dim"] or 1, 1)
     draw = F.pmod(F.xxhash64("id", F.lit("topk")), F.lit(1_000_003)) / 1_000_003.0
-    got = rows.where(draw < min(1.0, sample / max(n, 1))).select("id", "v").toArrow().sort_by("id")
+    many = min(max(PIVOTS, n // ROWS), MOST_PIVOTS)
+    wanted = min(max(sample, 16 * many), max(1, SAMPLE_BYTES // (8 * dim)))
+    got = rows.where(draw < min(1.0, wanted / max(n, 1))).select("id", "v").toArrow().sort_by("id")
     x = matrix(got["v"], dim) if got.num_rows else np.zeros((1, dim))
-    pivots = x[spread(x, PIVOTS)[0]]
+    pivots = x[spread(x, many)[0]]
     shared = spark.sparkContext.broadcast(pivots)
 
     def place(batches):
@@ -144,7 +151,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(far, pa.float64())], names=[*b.schema.names, "cell", "far"])
 
     placed = stash(rows.mapInArrow(place, "id long, v array<double>, ask boolean, cell int, far double"), "topk")
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("ask").alias("nq"), F.max("far").alias("r"), F.max(F.when(F.col("ask"), F.col("far"))).alias("rq")).collect()  # PIVOTS rows at most
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("ask").alias("nq"), F.max("far").alias("r"), F.max(F.when(F.col("ask"), F.col("far"))).alias("rq")).collect()  # MOST_PIVOTS rows at most
     data_at = chunks({c["cell"]: c["n"] for c in cells}, ROWS)
     ask_at = chunks({c["cell"]: c["nq"] for c in cells if c["nq"]}, QUERIES)
 
@@ -154,6 +161,8 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
 
     data, asked = dealt(placed, data_at, "d"), dealt(placed.where("ask"), ask_at, "q")
 
+    most = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
     def run(asked: DataFrame, pairs: DataFrame) -> DataFrame:
         def block(left, right):
             i, j, s = dual(np.asarray(left["id"]), matrix(left["v"], dim), np.asarray(left["floor"]), np.asarray(right["xid"]), matrix(right["x"], dim), k)
@@ -161,6 +170,8 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
 
         left = asked.join(pairs, "q").select(*[F.col(c).alias(c) for c in ("q", "d", "id", "v", "cell", "floor")])
         right = data.join(pairs, "d").select(F.col("q").alias("xq"), F.col("d").alias("xd"), F.col("id").alias("xid"), F.col("v").alias("x"))
+        tasks = min(max(pairs.count(), 1), most)
+        left, right = spread_pairs(left, tasks, "q", "d"), spread_pairs(right, tasks, "xq", "xd")
         return left.groupBy("q", "d").cogroup(right.groupBy("xq", "xd")).applyInArrow(block, "query_id long, cell int, vec_id long, score long")
 
     near: dict[int, int] = {}
@@ -170,9 +181,9 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     home = spark.createDataFrame(list(near.items()), "q int, d int")
     nothing = F.lit(float("-inf"))
     one = stash(run(asked.withColumn("floor", nothing), home), "topk-home")
-    kth = one.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("floor").cast("double").alias("floor"))
+    kth = merge(one, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("floor").cast("double").alias("floor"))
     asked = stash(asked.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", nothing)), "topk-asked")
-    worst = {r["cell"]: r["w"] for r in asked.groupBy("cell").agg(F.min("floor").alias("w")).collect()}  # PIVOTS rows at most
+    worst = {r["cell"]: r["w"] for r in asked.groupBy("cell").agg(F.min("floor").alias("w")).collect()}  # MOST_PIVOTS rows at most
     norm = np.sqrt((pivots**2).sum(1))
     left = []
     for a in cells:
@@ -186,3 +197,13 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     pairs = spans.withColumn("q", upto("qf", "qn")).withColumn("d", upto("df", "dn")).select("q", "d").distinct().join(home, ["q", "d"], "left_anti")
     two = run(asked, stash(pairs, "topk-pairs"))
     return merge(one.unionByName(two), k)
+
+
+def oracle_sql(table: str = "embeddings", k: int = 5) -> str:
+    """The same search for DuckDB, by comparing all pairs."""
+    return f"""
+    WITH v AS (SELECT vec_id, [floor(256 * x::double)::bigint FOR x IN embedding] AS x FROM {table} WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, max(coalesce(list_sum([coalesce(z[1] * z[2], 0) FOR z IN list_zip(q.x, c.x)]), 0))::bigint AS score
+          FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id GROUP BY 1, 2)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::integer AS rank, vec_id, score FROM s
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}"""

@@ -49,10 +49,11 @@ def chunks(counts: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
 
 
 class Best:
-    """The k best (score, smaller id first) candidates of each of n queries, seen so far."""
+    """The k best (score, smaller id first) candidates of each of n queries, seen so far; an id counts once, with its best score."""
 
-    def __init__(self, n: int, k: int, floor: np.ndarray | None = None, hold: int = 1_000_000):
-        self.k, self.hold = k, hold
+    def __init__(self, n: int, k: int, floor: np.ndarray | None = None, hold: int = 1_000_000, distinct: bool = False):
+        """distinct: no candidate's id comes twice for a query."""
+        self.k, self.hold, self.distinct = k, hold, distinct
         self.worst = np.full(n, -np.inf) if floor is None else floor.astype(np.float64).copy()
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -67,6 +68,11 @@ class Best:
         if not self.parts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         q, i, s = (np.concatenate([p[f] for p in self.parts]) for f in range(3))
+        if not self.distinct:
+            order = np.lexsort((-s, i, q))
+            q, i, s = q[order], i[order], s[order]
+            new = np.append(True, (q[1:] != q[:-1]) | (i[1:] != i[:-1]))
+            q, i, s = q[new], i[new], s[new]
         order = np.lexsort((i, -s, q))
         q, i, s = q[order], i[order], s[order]
         first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
@@ -80,6 +86,12 @@ class Best:
 
 
 def merge(found: DataFrame, k: int) -> DataFrame:
-    """The k best of the partial lists: (query_id, rank, vec_id, score)."""
+    """The k best of the partial lists, an id once for a query, with its best score: (query_id, rank, vec_id, score)."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    one = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def spread_pairs(df: DataFrame, tasks: int, *by: str) -> DataFrame:
+    """Dealt by block to so many tasks, which AQE leaves apart however small they are: their work isn't in their size."""
+    return df.repartition(tasks, *by)
