@@ -24,7 +24,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, F.array("source"), mixing.words(F.col("text")))
+    return mixing.mix(docs, F.col("source"), mixing.words(F.col("text")), F.md5("text"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
