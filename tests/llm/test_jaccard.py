@@ -77,3 +77,28 @@ def test_repeated_ids(spark):
 def test_posterior_bound():
     least = jaccard.least_matches(0.8)
     assert all(0 < m < (i + 1) * jaccard.STEP * 0.8 for i, m in enumerate(least))
+
+
+def test_no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    rows = corpus(150)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(df).collect())) == brute(rows)
+
+
+def test_null_ids_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(None, "a b c d e f g"), (None, "A, b c d e f g"), (None, "h i j k l m n"), (3, "h i j k l m n"), (None, None), (4, long), (5, long + " more"), (6, "o p q r s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.join(df).collect()), key=repr)
+    assert got == sorted([(None, None, None, 1), (None, None, None, 1), (None, 3, 3, 1), (3, 3, 3, 1), (None, None, None, 0), (4, 4, 4, 1), (5, 4, 5, 1), (6, 6, 6, 0)], key=repr)
+
+
+def test_first_of_groups_loses_no_text(spark):
+    """One id with two unrelated texts, null ids, equal rows: each group keeps one row, no other text goes."""
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, one, "x"), (1, two, "x"), (2, one, "y"), (3, two.upper(), "y"), (None, one, "x"), (None, "q w e r t", "x"), (None, "q w e r t", "a"), (None, None, "x"), (None, None, "x"), (7, "", "z"), (1, one, "x"), (8, "only this", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, jaccard.first_of_groups(df).collect()), key=repr)
+    assert got == sorted([(1, one, "x"), (1, two, "x"), (None, "q w e r t", "a"), (None, None, "x"), (None, None, "x"), (7, "", "z"), (8, "only this", "x")], key=repr)
+    assert jaccard.first_of_groups(df.limit(0)).count() == 0

@@ -1,8 +1,8 @@
 r"""N-gram Jaccard join with Bayesian candidate pruning (operator 1).
 
 Documents are sets of word shingles (`SHINGLE` lower-cased words; a shorter document is one shingle).
-Documents with the same words are copies and form one class, represented by its smallest id; the join
-runs between class representatives, and copies are counted, not expanded into pairs.
+Documents with the same words are copies and form one class, named by its smallest id; the join runs
+between classes, and copies are counted, not expanded into pairs.
 
 MinHash values are laid out in bands; documents that agree on a band are candidates. A candidate pair
 compares its MinHash values a few at a time: with m of n equal and a uniform prior, the similarity's
@@ -16,9 +16,13 @@ verified inside one task, which returns each document's number of links and enou
 them, never the pairs. No bucket is capped and no link is lost between different texts beyond the
 error of the bands (a pair at similarity 0.8 misses all bands with probability 3e-6) and TOLERANCE.
 
+Texts move only for documents of candidate pairs that pruning left, and of large buckets: there once for
+every chunk that the bucket has, so a bucket of n documents moves n * n / `CHUNK` texts for n * n / 2 pairs.
+
 Defined cases: documents without a word (null and empty texts too) have no shingles, no links and a
-class of their own; ids on several rows with the same words count as copies; such an id with several
-texts gets its rows treated one by one; extra columns are dropped; empty tables give empty results.
+class of their own; rows that share an id are documents of their own, copies if their words are the same;
+null ids come last, so only a class without any other id is named null; extra columns are dropped; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -41,7 +45,9 @@ STEP = 16
 TOLERANCE = 1e-6
 SMALL = 48
 #: Rows of a chunk of a large bucket; its texts' total size also counts, by chunks of so many characters.
-CHUNK, CHUNK_CHARS = 512, 4_000_000
+CHUNK, CHUNK_CHARS = 1024, 4_000_000
+#: What is looked up is broadcast up to so many rows of some 50 bytes; beyond, it is joined.
+BROADCAST_ROWS = 300_000
 CACHE_ENTRIES = 400_000
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(20)
@@ -192,18 +198,45 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """For a join: broadcast if its rows are few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """(id, class_id: smallest id of its group of linked documents, copy_id: of those with its words, n_links)."""
+    return groups(df, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", "copy_id", "n_links")
+
+
+def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of df without those that a row of their group precedes by id (nulls last), then by a hash of the text; of equal ids and texts one row stays."""
+    all_ = stash(groups(df, id_col, text_col, threshold).where("group is not null").select("id", "row", "group"), "groups")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    heads = all_.groupBy("group").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
+    key = F.struct(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "row").alias("key")
+    kin = stash(all_.join(small(stash(heads, "heads")), "group").groupBy(key).agg(F.max(F.struct("head.none", "head.id", "head.row") == place).alias("first"), F.count("*").alias("n")), "kin")
+    docs = df.withColumn("__key", F.struct(F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("none"), F.xxhash64(text_col).alias("row")))
+    lost = kin.where("not first").select(F.col("key").alias("__key"))
+    several = kin.where("first and n > 1").select(F.col("key").alias("__key"))
+    docs = docs.join(small(lost), "__key", "left_anti")
+    one, more = docs.join(small(several), "__key", "left_anti"), docs.join(small(several), "__key", "left_semi")
+    rest = [c for c in df.columns]
+    more = more.groupBy("__key").agg(F.min(F.struct(*rest)).alias("r")).select("r.*")
+    return one.select(*rest).unionByName(more)
+
+
+def groups(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, row: hash of the text, group: a number of its linked documents or null without words, class_id, copy_id, n_links)."""
     least = least_matches(threshold)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = stash(sign(texts.select("id", F.xxhash64("text").alias("row"), "text")), "signed")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
+    docs = stash(sign(texts.select("id", "row", "text")), "signed")
     known = docs.where(F.col("words").isNotNull())
-    # Written before they are joined: a join's side that is no aggregate lets Spark split a hot digest or bucket over tasks.
-    classes = stash(known.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    member = stash(known.select("id", "row", "words").join(classes, "words").select("id", "row", "rep", "n"), "members")
-    # One row for each representative; ids that repeat with several texts stay apart by their row's hash.
-    heads = member.where("id = rep").select("id", "row", "n").dropDuplicates(["id", "row"])
-    reps = stash(docs.where(F.col("words").isNotNull()).dropDuplicates(["id", "row"]).join(heads, ["id", "row"]).select(F.xxhash64("id", "words").alias("c"), "id", "row", "n", "chars", "sig", "keys"), "reps")
+    copies = small(stash(known.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies"))
+    # A class is numbered by its words' digest. One signed row stands for it; of copies, any.
+    c = F.xxhash64("words").alias("c")
+    several = known.join(copies, "words").dropDuplicates(["words"])
+    reps = known.join(copies, "words", "left_anti").withColumns({"rep": F.col("id"), "n": F.lit(1).cast("long")}).unionByName(several)
+    reps = stash(reps.select(c, "id", "row", "rep", "n", "chars", "sig", "keys"), "reps")
 
     buckets = reps.select("c", "chars", F.posexplode("keys").alias("band", "key")).select("c", "chars", F.col("band").cast("int").alias("band"), "key")
     sizes = stash(buckets.groupBy("band", "key").agg(F.count("*").alias("many"), F.sum("chars").alias("chars")).where("many > 1"), "sizes")
@@ -229,7 +262,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
 
     likely = stash(both.mapInArrow(prune, "a long, b long"), "likely")
     wanted = likely.select(F.col("a").alias("c")).union(likely.select("b")).union(placed.where(F.col("many") > SMALL).select("c")).distinct()
-    body = stash(reps.select("c", "id", "row", "n").join(wanted, "c").join(texts.withColumn("row", F.xxhash64("text")).dropDuplicates(["id", "row"]), ["id", "row"]).select("c", "n", "text"), "bodies")
+    at = (F.xxhash64("id", F.lit(1)).alias("rid"), "row")  # null-safe
+    wanted = stash(reps.join(wanted, "c").select("c", "n", *at), "wanted")
+    body = stash(texts.select(*at, "text").join(small(wanted), ["rid", "row"]).dropDuplicates(["c"]).select("c", "n", "text"), "bodies")
     pairs = likely.join(body.withColumnsRenamed({"c": "a", "n": "na", "text": "ta"}), "a").join(body.withColumnsRenamed({"c": "b", "n": "nb", "text": "tb"}), "b")
 
     def verify(batches):
@@ -290,10 +325,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     within = stash(large.groupBy("band", "key", "x", "y").applyInArrow(block, "a long, b long, links long"), "within")
 
     links = linked.select(F.col("a").alias("c"), F.col("nb").alias("links")).union(linked.select("b", "na")).union(within.select("a", "links")).groupBy("c").agg(F.sum("links").alias("links"))
-    name = reps.select("c", "id")
-    edges = linked.select("a", "b").union(within.select("a", "b"))
-    edges = edges.join(name.withColumnsRenamed({"c": "a", "id": "ia"}), "a").join(name.withColumnsRenamed({"c": "b", "id": "ib"}), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    roots = components(edges)
-    found = name.join(links, "c", "left").groupBy("id").agg(F.sum("links").alias("links")).join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("rep"), "links", F.coalesce("root", "id").alias("root"))
-    rest = docs.where(F.col("words").isNull()).select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    return member.join(found, "rep").select(F.col("id").alias(id_col), F.col("root").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")).unionByName(rest)
+    roots = components(linked.select("a", "b").union(within.select("a", "b")))
+    found = stash(links.join(roots, F.col("c") == F.col("node"), "left").select("c", "links", F.coalesce("root", "c").alias("group")).join(reps.select("c", "rep"), "c"), "found")
+    found = found.join(found.groupBy("group").agg(F.min("rep").alias("class_id")), "group").select("c", "links", "group", "class_id")
+    member = known.select("id", "row", "words", c).join(copies, "words", "left").join(small(stash(found, "linked-classes")), "c", "left")
+    copy = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("rep"))
+    member = member.select("id", "row", F.coalesce("group", "c").alias("group"), F.when(F.col("links").isNull(), copy).otherwise(F.col("class_id")).alias("class_id"), copy.alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("n_links"))
+    rest = docs.where(F.col("words").isNull()).select("id", "row", F.lit(None).cast("long").alias("group"), F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    return member.unionByName(rest)
