@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 reread as the next stage's docs. All but the last return the columns of `documents`.
 
 Defined cases: null texts are scored as empty, never near duplicates of anything, hold no personal
-data and no words, so the mix leaves them out; an id on several rows stays once after the
-near-duplicate stage; rows that the mix takes more than once are repeated; an empty table passes
-through empty; columns besides those of `documents` are dropped by the first stage.
+data and no words, so the mix leaves them out; rows that share an id, or have none, are documents of their
+own in every stage, and of rows with one id and text one stays after the near-duplicate stage; rows that the
+mix takes more than once are repeated; an empty table passes through empty; columns besides those of
+`documents` are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -31,11 +32,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by n-gram similarity."""
-    classes = jaccard.join(docs)
-    kept = stash(classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    one = docs.join(kept.where("rows = 1"), "doc_id", "left_semi")
-    more = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(more).select(*COLUMNS)
+    return jaccard.first_of_groups(docs).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +42,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents, repeated as often as it takes them."""
-    taken = mixing.mix(docs, F.array("source"), mixing.words(F.col("text"))).where("taken > 0")
-    times = taken.select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    size = mixing.words(F.col("text"))
+    taken = mixing.mix(docs, F.col("source"), size, F.md5("text"), keep=COLUMNS[1:]).where("taken > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
