@@ -7,43 +7,78 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lookups are broadcast up to so many rows; beyond, they are joined.
+BROADCAST_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`. Where it is unset, a temporary one, in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="umbra-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/umbra/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one folder for each application, which `clear` deletes."""
+    return f"{shared_dir(spark)}/umbra/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet into the shared folder and reread: lineage is cut, executors may be lost."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stashed; results that were not written elsewhere go with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/umbra/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """For a join: broadcast if it has up to so many rows."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_as(spark: SparkSession, fmt: str, path: str, schema=None, **options) -> DataFrame:
-    """csv, json, orc, text, jdbc, ...; give a schema, inference reads the data twice."""
+def read_as(spark: SparkSession, fmt: str, path: str | None = None, schema=None, **options) -> DataFrame:
+    """csv, json, orc, text, jdbc (no path; options url, dbtable, driver), ...; give a schema, inference reads the data twice."""
     r = spark.read.format(fmt).options(**options)
-    return (r.schema(schema) if schema is not None else r).load(path)
+    return (r.schema(schema) if schema is not None else r).load(*[path] if path else [])
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options) -> DataFrame:
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
-def release(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
+def release(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), mode: str = "errorifexists", **options) -> None:
     """Write a release once; serve the stored copy, since a rerun may draw fresh noise."""
-    df.write.format(fmt).mode(mode).partitionBy(*partition_by).save(path)
+    w = df.write.format(fmt).mode(mode).options(**options)
+    if fmt == "jdbc":
+        w.save()
+    else:
+        w.partitionBy(*partition_by).save(path)
 
 
 def release_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Run what is available to Parquet and stop. In complete mode the last result replaces the one before."""
+    """Run what is available to Parquet and stop.
+
+    A batch is a folder of its own, batch=<n>, overwritten when it is tried again, so a retry repeats no row. In
+    complete mode the last result replaces the one before.
+    """
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def save(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={n}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     q.awaitTermination()
