@@ -47,3 +47,13 @@ def test_two_other_languages_beat_the_best_single_one():
         s = model.scores = rng.normal(0, 8, (rng.integers(1, 6), 3)).round(3)
         worth = lambda path: sum(s[t][k] for t, k in enumerate(path)) - langid.PENALTY * sum(a != b for a, b in itertools.pairwise(path))  # noqa: B023, E731
         assert worth(model.label(np.arange(len(s)))[0]) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=len(s)))))
+
+
+def test_words_are_letters_and_their_marks():
+    """Numerals are no letters; marks belong to their letters; the script is that of most letters."""
+    assert langid.WORD.findall("² ½ ① Ⅷ 3 _ ٣") == []
+    assert langid.WORD.findall("हिन्दी cafe\u0301s x²y") == ["हिन्दी", "cafe\u0301s", "x", "y"]
+    name = lambda w: langid.NAMES[langid.script(w)]
+    assert [name(w) for w in ("word", "über", "हिन्दी", "aсобака", "漢字かな", "ωmega")] == ["Latin", "Latin", "Devanagari", "Cyrillic", "Han", "Latin"]
+    model = langid.Model(["a", "b"], np.ones((langid.BUCKETS, 2)), np.ones((len(langid.NAMES), 2)))
+    assert model.predict(["² ½ ①", "", None, "a²"])[0][:3] == ["und"] * 3 and model.spans(["² ½"])[0][0] == "und"

@@ -14,3 +14,17 @@ def test_whole_texts_and_lines(spark):
     assert rows[2]["line_licenses"] == "Apache-2.0" and rows[2]["n_license_lines"] == 1
     assert [rows[i]["digest"] for i in (4, 5, 6)] == [None] * 3 and rows[3]["n_license_lines"] == 0
     assert licenses.scan(df).count() == 9 and licenses.scan(df.limit(0)).count() == 0
+
+
+def test_every_known_text_is_found_whole(spark):
+    """In capitals, rewrapped, with a copyright line in front: still the same licence; with a clause added, none."""
+    rows = [(i, "Copyright (c) 1999-2020 Someone, all rights reserved\n" + t.upper().replace(". ", ".\n\n")) for i, (_, t) in enumerate(licenses.KNOWN)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(licenses.KNOWN)}
+    other = [(i, t + "\n(c) You must retain this clause") for i, t in rows]
+    assert {r["license"] for r in licenses.scan(spark.createDataFrame(other, "doc_id long, text string")).collect()} == {None}
+
+
+def test_ties_go_to_the_first_name(spark):
+    texts = [("B", "One licence text."), ("A", "one LICENSE text")]
+    assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, "One license text")], "doc_id long, text string"), texts).collect()] == ["A"]

@@ -85,3 +85,15 @@ def test_whole_sample_and_empty_table(spark):
     for r in df.collect():
         assert got[r["doc_id"]] == hashlib.sha256(",".join(":".join(map(str, s)) for s in brute(r["text"])).encode()).hexdigest()
     assert pii.report(df.limit(0)).count() == 0
+
+
+def test_redact_has_no_reserved_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.com", "keep", "m", "g", 2, "o")], "doc_id long, body string, text string, m_email string, g_email string, n int, others string")
+    out = pii.redact(df, "body")
+    assert out.columns == df.columns and tuple(out.first()) == (1, "mail [EMAIL]", "keep", "m", "g", 2, "o")
+
+
+def test_context_moves_scores_and_a_decision(spark):
+    df = spark.createDataFrame([(1, "ssn 123-45-6789 email a@b.com"), (2, "number 123-45-6789 a@b.com")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.report(df).collect()}
+    assert got == {1: ("email:22:29,ssn:4:15", "1.0,0.5"), 2: ("email:19:26", "0.8")}

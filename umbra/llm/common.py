@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import shared_dir, stash  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; where it is unset (tests), a local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="umbra-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and reread it: lineage is cut, executors may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/umbra/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_fold(col: str = "doc_id"):
     """crc32 of the id's decimal text, modulo 5; fold 0 is held out."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5

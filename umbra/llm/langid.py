@@ -1,6 +1,7 @@
 r"""Language identification with spans (operator 5).
 
-A word's script, from fixed code-point ranges, narrows the languages it can belong to (those that
+A word is a run of letters (Unicode category L) with the marks that combine with them. Its script, from fixed
+code-point ranges and by most of its letters, narrows the languages it can belong to (those that
 were seen in that script while learning). Each word gets a log-score for each language from hashed
 character n-grams, and Viterbi with a penalty for each switch labels runs of words, so mixed texts
 get a span for each language. The language with the most letters in its spans is the prediction.
@@ -18,6 +19,7 @@ tables give empty results.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from itertools import chain
 
@@ -34,7 +36,19 @@ PENALTY = 12.0
 #: Words scored at once are remembered up to this many (bounds memory, not results).
 CACHE_ENTRIES = 400_000
 MAX_LANGS = 1000
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def ranges(kinds: tuple[str, ...]) -> str:
+    """Characters of these Unicode categories as the inside of a character class."""
+    at = [i for span in (range(0x20000), range(0xE0000, 0xE0200)) for i in span if unicodedata.category(chr(i)) in kinds]
+    first = [i for i, before in zip(at, [-2, *at], strict=False) if i != before + 1]
+    last = [i for i, after in zip(at, [*at[1:], -2], strict=True) if i + 1 != after]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(first, last, strict=True))
+
+
+_LETTER = rf"[^\W\d_{ranges(('No', 'Nl'))}]"
+_MARK = f"[{ranges(('Mn', 'Mc', 'Me'))}]"
+WORD = re.compile(f"{_LETTER}+(?:{_MARK}+{_LETTER}*)*")
 #: Script ranges by first code point. Fixed values.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Other"), (0x0900, "Devanagari"),
@@ -48,7 +62,11 @@ SCRIPT_AT = [NAMES.index(n) for _, n in SCRIPTS]
 
 
 def script(word: str) -> int:
-    return SCRIPT_AT[bisect_right(STARTS, ord(word[0])) - 1]
+    """That of most letters; of scripts with as many, the first in the word."""
+    if word.isascii():
+        return SCRIPT_AT[0]
+    of = [SCRIPT_AT[bisect_right(STARTS, ord(c)) - 1] for c in word if c.isalpha()]
+    return max(dict.fromkeys(of), key=of.count) if of else SCRIPT_AT[bisect_right(STARTS, ord(word[0])) - 1]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

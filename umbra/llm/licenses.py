@@ -2,7 +2,10 @@ r"""Licence scan by canonical digests, natively (operator 2).
 
 A text is normalised (case, punctuation, copyright lines, equivalent spellings), digested, and
 hash-joined to the digests of known licence texts. Whole texts are looked up, and so is each line
-that mentions a licence: licence lines stand in otherwise unrelated documents.
+that mentions a licence: licence lines stand in otherwise unrelated documents. A line that begins with "(c)" is
+a copyright line if it has a year or reserves rights; else it is a clause of an enumeration. `KNOWN` holds the
+short licences in full and the notices of the long ones; give further texts as `texts`. Texts whose canonical
+forms are equal under two licences count as the first by name.
 
 Defined cases: a null or wordless text has a null digest and no licence; repeated rows are treated
 alike; an id on several rows gets the licence lines of all of them; extra columns are dropped; empty
@@ -21,6 +24,10 @@ ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRA
 BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {} for more details. You should have received a copy of the {} along with this program. If not, see <https://www.gnu.org/licenses/>."
 KNOWN = [
     ("MIT", MIT),
     ("MIT", "The MIT License (MIT) " + MIT),
@@ -35,6 +42,21 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("MIT-0", MIT.replace(", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")),
+    ("MIT-0", "MIT No Attribution " + MIT.replace(", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")),
+    ("Zlib", ZLIB),
+    ("Zlib", "zlib License " + ZLIB),
+    ("BSL-1.0", BOOST),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 " + BOOST),
+    ("Unlicense", UNLICENSE),
+    ("Unlicense", UNLICENSE + " For more information, please refer to <https://unlicense.org>"),
+    ("Unlicense", UNLICENSE + " For more information, please refer to <http://unlicense.org/>"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0-or-later", GNU.format("GNU General Public License", "3", "GNU General Public License", "GNU General Public License")),
+    ("GPL-2.0-or-later", GNU.format("GNU General Public License", "2", "GNU General Public License", "GNU General Public License")),
+    ("AGPL-3.0-or-later", GNU.format("GNU Affero General Public License", "3", "GNU Affero General Public License", "GNU Affero General Public License")),
+    ("LGPL-3.0-or-later", GNU.format("GNU Lesser General Public License", "3", "GNU Lesser General Public License", "GNU Lesser General Public License")),
 ]
 #: Spellings that mean the same: left becomes right. Fixed values.
 SPELLINGS = [
@@ -43,7 +65,7 @@ SPELLINGS = [
     ("organisations", "organizations"), ("per cent", "percent"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("v2", "version 2"),
     ("v3", "version 3"), ("wilful", "willful"),
 ]
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;.-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{]|by\b)|\(c\)|©|all rights reserved).*$"
+COPYRIGHT_LINE = r"(?m)^[ \t*#/;.-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{]|by\b)|\(c\).*(?:(?:19|20)[0-9][0-9]|rights reserved)|©|all rights reserved).*$"
 MENTION = "licen|permission|redistribution"
 #: Known texts are broadcast up to this many; beyond, the join shuffles.
 BROADCAST_ROWS = 10_000

@@ -167,21 +167,22 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     Kind by kind, so that numbers freed by an earlier kind are found by a later one; phones are searched
     again after the addresses and cards that they ran into.
     """
-    out = df
+    others = [c for c in df.columns if c != text_col]
+    out = df.select(F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`").alias(str(i + 1)) for i, c in enumerate(others)]).alias("others"), F.col(f"`{text_col}`").alias("text"))
     for k in ("email", "phone", "ip", "card", "phone", "iban", "ssn", "secret"):
-        found = _found(out.withColumn("text", F.col(text_col)) if text_col != "text" else out, (k,))
+        found = _found(out, (k,))
         m, g = F.col(f"m_{k}"), F.col(f"g_{k}")
         new = _joined(g, F.zip_with(F.slice(g, 1, F.size(m)), m, lambda a, b: _shown(k, a, b)))  # noqa: B023
-        out = found.withColumn(text_col, F.when(F.size(m) > 0, new).otherwise(F.col(text_col))).drop(f"m_{k}", f"g_{k}")
-    return out
+        out = found.select("others", F.when(F.size(m) > 0, new).otherwise(F.col("text")).alias("text"))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("others").getField(str(others.index(c) + 1)).alias(c) for c in df.columns])
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts by base kind, the digest of the base spans, and all spans as a string."""
+    """Counts by base kind, the digest of the base spans, all spans as a string, and their scores in the same order."""
     say = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     joined = lambda x: F.array_join(F.transform(x, say), ",")
     spans = F.col("spans")
     of = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
     count = {f"n_{k}": of(k) for k in BASE}
     base = F.filter(spans, lambda x: x["kind"].isin(*BASE))
-    return find_spans(df, id_col, text_col).select(id_col, *[c.alias(n) for n, c in count.items()], F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    return find_spans(df, id_col, text_col).select(id_col, *[c.alias(n) for n, c in count.items()], F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), F.array_join(F.transform(spans, lambda x: x["score"].cast("string")), ",").alias("scores"))
