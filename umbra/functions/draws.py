@@ -1,5 +1,9 @@
-"""Random draws. Hash-derived ones repeat for a key and salt: they are for tests and reruns of one
-release, since whoever knows the salt can take the noise off. `secure` asks the operating system."""
+"""Random draws, as functions (salt, *keys) -> column in (0, 1).
+
+`fresh` asks the operating system: for releases, which must be written once, as a rerun draws anew. `uniform`
+is derived from an MD5 of salt and keys, so it repeats: for tests, and for sampling and shuffling that has to
+repeat. Whoever knows the salt can take noise made of it off again.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Stands for a null key, so that (a, null) and (null, a) differ.
+NULL = "\\N"
+
 
 def text(*keys) -> Column:
-    return F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.concat_ws("|", *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit(NULL)) for k in keys])
 
 
 def uniform(salt: str, *keys) -> Column:
@@ -20,15 +27,19 @@ def uniform(salt: str, *keys) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(salt), text(*keys))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-@F.pandas_udf(DoubleType())
-def secure(anchor: pd.Series) -> pd.Series:
-    """In (0, 1), from the operating system; write the result once, a rerun draws anew."""
+def _secure(anchor: pd.Series) -> pd.Series:
     import os
 
     raw = os.urandom(8 * len(anchor))
     return pd.Series([(int.from_bytes(raw[8 * i : 8 * i + 8], "little") >> 11) / 2.0**53 + 2.0**-54 for i in range(len(anchor))])
 
 
+def fresh(salt: str, *keys) -> Column:
+    """In (0, 1), from the operating system; the arguments tell draws of one row apart. Each use of the column draws: put it into a column first."""
+    udf = F.pandas_udf(_secure, DoubleType()).asNondeterministic()
+    return udf(F.concat(F.lit(salt), text(*keys)))
+
+
 def laplace(u: Column, scale) -> Column:
     c = u - 0.5
     return F.signum(c) * -scale * F.log(1 - 2 * F.abs(c))
@@ -51,4 +62,5 @@ def gumbel(u: Column) -> Column:
 
 def uniform_sql(salt: str, *keys: str) -> str:
     """uniform() for DuckDB."""
-    return f"((('0x' || substr(md5('{salt}' || concat_ws('|', {', '.join(f'({k})::varchar' for k in keys)})), 1, 8))::bigint + 0.5::double) / 4294967296::double)"
+    parts = ", ".join(f"coalesce(({k})::varchar, '{NULL}')" for k in keys)
+    return f"((('0x' || substr(md5('{salt}' || concat_ws('|', {parts})), 1, 8))::bigint + 0.5::double) / 4294967296::double)"

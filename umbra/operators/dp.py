@@ -1,4 +1,8 @@
-"""Differential privacy: bounding, mechanisms, local reports, the ledger."""
+"""Differential privacy: bounding, mechanisms, local reports, the ledger.
+
+Noise comes from `draw`, by default `draws.fresh` (the operating system): write a release once. With
+`draws.uniform` noise repeats and can be taken off by whoever knows the salt: for tests.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from .groups import running
 from .quasi import clip
 
 
@@ -42,58 +47,95 @@ def bound_contributions(df: DataFrame, unit: str, m: int, key: str, salt: str =
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= m).drop("__r")
 
 
-def private_agg(df: DataFrame, keys: list[str], unit: str, key: str, value: str, bounds: tuple[float, float], m: int, epsilon: float, mechanism: str = "laplace", salt: str = "agg", ledger: Ledger | None = None, name: str = "agg") -> DataFrame:
-    """Noisy count, sum and mean by group: bounded to m rows a unit, clamped, half the budget each for count and sum."""
+def gaussian_sigma(epsilon: float, delta: float, sensitivity: float) -> float:
+    """The analytic calibration (Balle and Wang 2018): the least sigma that gives (epsilon, delta), by bisection."""
+    if not 0 < delta < 1:
+        raise ValueError("the Gaussian mechanism needs 0 < delta < 1")
+    phi = lambda x: (1 + math.erf(x / math.sqrt(2))) / 2
+    spent = lambda s: phi(1 / (2 * s) - epsilon * s) - math.exp(epsilon) * phi(-1 / (2 * s) - epsilon * s)
+    lo, hi = 1e-6, 1.0
+    while spent(hi) > delta:
+        hi *= 2
+    for _ in range(100):
+        lo, hi = (lo, (lo + hi) / 2) if spent((lo + hi) / 2) <= delta else ((lo + hi) / 2, hi)
+    return hi * sensitivity
+
+
+def private_agg(df: DataFrame, keys: list[str], unit: str, key: str, value: str, bounds: tuple[float, float], m: int, epsilon: float, mechanism: str = "laplace", delta: float = 0.0, draw=draws.fresh, salt: str = "agg", ledger: Ledger | None = None, name: str = "agg") -> DataFrame:
+    """Noisy count, sum and mean by group: bounded to m rows a unit, clamped, half the budget each for count and sum.
+
+    Groups are released as they stand: their names must be public, or come from select_partitions.
+    """
+    if mechanism not in ("laplace", "geometric", "gaussian"):
+        raise ValueError(mechanism)
+    if mechanism != "gaussian" and delta:
+        raise ValueError("only the Gaussian mechanism spends delta")
     if ledger:
-        ledger.spend(name, epsilon)
+        ledger.spend(name, epsilon, delta)
     lo, hi = bounds
-    half = epsilon / 2
-    out = bound_contributions(df, unit, m, key).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(clip(value, lo, hi)).alias("s"))
-    u = lambda s: draws.uniform(salt + s, *keys)
-    if mechanism == "laplace":
-        n, s = draws.laplace(u("n"), m / half), draws.laplace(u("s"), m * max(abs(lo), abs(hi)) / half)
-    elif mechanism == "geometric":
-        n, s = draws.geometric(u("n"), u("m"), half, m), draws.laplace(u("s"), m * max(abs(lo), abs(hi)) / half)
+    half, top = epsilon / 2, m * max(abs(lo), abs(hi))
+    out = bound_contributions(df, unit, m, key).groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(clip(value, lo, hi)), F.lit(0.0)).alias("s"))
+    out = out.withColumns({f"__{x}": draw(salt + x, *keys) for x in ("n", "m", "s", "t")})
+    u = {x: F.col(f"__{x}") for x in ("n", "m", "s", "t")}
+    if mechanism == "gaussian":
+        n, s = (gaussian_sigma(half, delta / 2, size) * draws.normal(u[a], u[b]) for size, a, b in ((m, "n", "m"), (top, "s", "t")))
     else:
-        sigma = math.sqrt(2 * math.log(1.25 / 1e-6)) / half
-        n, s = (sigma * f * draws.normal(u(a), u(b)) for f, a, b in ((m, "n", "m"), (m * max(abs(lo), abs(hi)), "s", "t")))
+        n = draws.laplace(u["n"], m / half) if mechanism == "laplace" else draws.geometric(u["n"], u["m"], half, m)
+        s = draws.laplace(u["s"], top / half)
     out = out.withColumn("noisy_count", F.col("n") + n).withColumn("noisy_sum", F.col("s") + s)
-    return out.withColumn("noisy_mean", clip(F.col("noisy_sum") / F.greatest(F.col("noisy_count"), F.lit(1)), lo, hi)).drop("n", "s")
+    return out.withColumn("noisy_mean", clip(F.col("noisy_sum") / F.greatest(F.col("noisy_count"), F.lit(1)), lo, hi)).drop("n", "s", *[f"__{x}" for x in u])
 
 
-def noisy_max(df: DataFrame, candidate: str, score: str, sensitivity: float, epsilon: float, salt: str = "max") -> DataFrame:
+def noisy_max(df: DataFrame, candidate: str, score: str, sensitivity: float, epsilon: float, draw=draws.fresh, salt: str = "max") -> DataFrame:
     """Exponential mechanism by Gumbel noise."""
-    noisy = F.col(score) * epsilon / (2 * sensitivity) + draws.gumbel(draws.uniform(salt, candidate))
-    return df.agg(F.max_by(candidate, noisy).alias(candidate))
+    noisy = F.col(score) * epsilon / (2 * sensitivity) + draws.gumbel(F.col("__u"))
+    return df.withColumn("__u", draw(salt, candidate)).agg(F.max_by(candidate, noisy).alias(candidate))
+
+
+def private_quantile(df: DataFrame, col: str, q: float, lo: float, hi: float, epsilon: float, draw=draws.fresh, salt: str = "quantile") -> DataFrame:
+    """Exponential mechanism on the gaps between the sorted clamped values (Smith 2011), then a uniform draw in the gap.
 
+    A gap's weight is its width times exp(-epsilon / 2 * its distance in rank from q). Values are counted and
+    ranked by ranges; units must be bounded to one row. Nulls are left out; without values the gap is [lo, hi].
+    """
+    own = df.where(F.col(col).isNotNull()).select(clip(col, lo, hi).alias("__v"))
+    ends = df.sparkSession.createDataFrame([(float(lo), 0), (float(hi), 0)], "__v double, n long")
+    counts = own.groupBy("__v").agg(F.count("*").alias("n")).unionByName(ends).groupBy("__v").agg(F.sum("n").alias("n"))
+    gaps = running(counts, [], ["__v"], "__below", F.col("n"), after="__end").where("__end > __v")
+    gaps = gaps.join(F.broadcast(counts.agg(F.sum("n").alias("__all"))))  # one row
+    gaps = gaps.withColumn("__score", -F.abs(F.col("__below") - q * F.col("__all")) + 2 / epsilon * F.log(F.col("__end") - F.col("__v"))).withColumn("__gap", F.struct("__v", "__end"))
+    best = gaps.withColumn("__u", draw(salt, "__v")).agg(F.max_by("__gap", F.col("__score") * epsilon / 2 + draws.gumbel(F.col("__u"))).alias("g"))
+    return best.withColumn("__u", draw(salt + "at", F.lit(0))).select((F.col("g.__v") + F.col("__u") * (F.col("g.__end") - F.col("g.__v"))).alias("quantile"))
 
-def private_quantile(df: DataFrame, col: str, q: float, lo: float, hi: float, epsilon: float, steps: int = 1000, salt: str = "quantile") -> DataFrame:
-    """Exponential mechanism over a fixed grid of `steps` cells: each cell scores minus the rank distance of its midpoint."""
-    width = (hi - lo) / steps
-    cell = F.least(F.floor((clip(col, lo, hi) - lo) / width), F.lit(steps - 1)).cast("int")
-    counts = df.where(F.col(col).isNotNull()).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    grid = df.sparkSession.range(steps).select(F.col("id").cast("int").alias("cell"))
-    w = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # `steps` rows
-    full = grid.join(counts, "cell", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("below", F.sum("n").over(w) - F.col("n") / 2).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
-    score = -F.abs(F.col("below") - q * F.col("total"))
-    best = noisy_max(full.withColumn("score", score), "cell", "score", 1.0, epsilon, salt)
-    return best.select((lo + (F.col("cell") + 0.5) * width).alias("quantile"))
 
+def partition_threshold(epsilon: float, delta: float, m: int) -> float:
+    """A group of one unit passes it with probability delta / m about: so all groups that only one unit is in do with delta."""
+    return 1 - m / epsilon * math.log(2 * (1 - (1 - delta) ** (1 / m)))
 
-def select_partitions(df: DataFrame, keys: list[str], unit: str, epsilon: float, threshold: float, salt: str = "partitions") -> DataFrame:
-    """Groups whose noisy number of units passes the threshold, with that number."""
-    out = df.select(*keys, unit).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
-    return out.withColumn("noisy_units", F.col("n") + draws.laplace(draws.uniform(salt, *keys), 1 / epsilon)).where(F.col("noisy_units") > threshold).drop("n")
 
+def select_partitions(df: DataFrame, keys: list[str], unit: str, epsilon: float, delta: float, m: int, draw=draws.fresh, salt: str = "partitions", ledger: Ledger | None = None, name: str = "partitions") -> DataFrame:
+    """Groups whose noisy number of units passes a threshold, with that number: (epsilon, delta)-private.
+
+    A unit counts in m of its groups at most, drawn by hash, so adding it changes m counts by 1: noise has scale m / epsilon.
+    """
+    if ledger:
+        ledger.spend(name, epsilon, delta)
+    order = draws.uniform(salt + "m", unit, *keys)
+    own = df.select(*keys, unit).distinct().withColumn("__r", F.row_number().over(Window.partitionBy(unit).orderBy(order, *keys))).where(F.col("__r") <= m)
+    out = own.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("__u", draw(salt, *keys))
+    out = out.withColumn("noisy_units", F.col("n") + draws.laplace(F.col("__u"), m / epsilon))
+    return out.where(F.col("noisy_units") > partition_threshold(epsilon, delta, m)).drop("n", "__u")
 
-def randomize(df: DataFrame, col: str, domain: list[str], epsilon: float, key: str, salt: str = "rr") -> DataFrame:
-    """k-ary randomized response."""
+
+def randomize(df: DataFrame, col: str, domain: list[str], epsilon: float, key: str, salt: str = "rr", draw=draws.fresh) -> DataFrame:
+    """k-ary randomized response; values outside the domain, and nulls, answer as one of it at random."""
     k = len(domain)
     keep = math.exp(epsilon) / (math.exp(epsilon) + k - 1)
-    u, at = draws.uniform(salt, key), F.array_position(F.array(*map(F.lit, domain)), F.col(col)).cast("int")
+    u, at = F.col("__u"), F.coalesce(F.array_position(F.array(*map(F.lit, domain)), F.col(col)), F.lit(0)).cast("int")
     step = (F.floor((u - keep) / (1 - keep) * (k - 1)) + 1).cast("int")
     other = F.element_at(F.array(*map(F.lit, domain)), F.pmod(at - 1 + step, F.lit(k)) + 1)
-    return df.withColumn(col, F.when(u < keep, F.col(col)).otherwise(other))
+    any_ = F.element_at(F.array(*map(F.lit, domain)), (F.floor(u * k) + 1).cast("int"))
+    return df.withColumn("__u", draw(salt, key)).withColumn(col, F.when(at == 0, any_).when(u < keep, F.col(col)).otherwise(other)).drop("__u")
 
 
 def estimate_frequencies(df: DataFrame, col: str, domain: list[str], epsilon: float) -> DataFrame:
@@ -101,8 +143,8 @@ def estimate_frequencies(df: DataFrame, col: str, domain: list[str], epsilon: fl
     k = len(domain)
     p = math.exp(epsilon) / (math.exp(epsilon) + k - 1)
     q = (1 - p) / (k - 1)
-    n = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return df.groupBy(col).agg(F.count("*").alias("n")).select(col, ((F.col("n") - n * q) / (p - q)).alias("estimate"))
+    n = df.agg(F.count("*").alias("__all"))
+    return df.groupBy(col).agg(F.count("*").alias("n")).join(F.broadcast(n)).select(col, ((F.col("n") - F.col("__all") * q) / (p - q)).alias("estimate"))
 
 
 def bloom_report(df: DataFrame, col: str, bits: int, hashes: int, epsilon: float, key: str, salt: str = "bloom") -> DataFrame:
@@ -126,3 +168,12 @@ def local_hash_report(df: DataFrame, col: str, epsilon: float, key: str, salt: s
 def warner(flag: Column, p: float, u: Column, v: Column) -> Column:
     """Randomized response: the truth with probability p, else a fair coin."""
     return F.when(u < p, flag).otherwise(v < 0.5)
+
+
+def estimate_hashed(df: DataFrame, domain: list[str], epsilon: float, salt: str = "olh") -> DataFrame:
+    """Unbiased counts of the domain's values from the reports (seed, cell) of local_hash_report()."""
+    g = round(math.exp(epsilon)) + 1
+    p = math.exp(epsilon) / (math.exp(epsilon) + g - 1)
+    fits = [F.count_if(F.floor(draws.uniform(salt + "h", "seed", F.lit(v)) * g) == F.col("cell")).alias(f"c{i}") for i, v in enumerate(domain)]
+    each = F.array(*[F.struct(F.lit(v).alias("value"), ((F.col(f"c{i}") - F.col("n") / g) / (p - 1 / g)).alias("estimate")) for i, v in enumerate(domain)])
+    return df.agg(F.count("*").alias("n"), *fits).select(F.explode(each).alias("e")).select("e.*")

@@ -1,12 +1,16 @@
 """Quasi-identifiers: generalization, suppression, perturbation. Every order that decides a row's
-fate ends in a unique column, given by the caller."""
+fate ends in a unique column, given by the caller. Nulls pass through as nulls; a null group is a group."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..sources.io import small
+from .groups import annotate, quantiles, running, same
 
 
 def bin_(col: str | Column, width: float) -> Column:
@@ -18,11 +22,10 @@ def trunc_date(col: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(col)).cast("timestamp_ntz")
 
 
-def generalize(df: DataFrame, col: str, hierarchy: DataFrame, level: int, rows: int = 100_000) -> DataFrame:
-    """col replaced by column `level<n>` of the hierarchy (level0: the value). Broadcast if the hierarchy has up to `rows` rows."""
-    h = hierarchy.select(F.col("level0").alias("__0"), F.col(f"level{level}").alias("__n"))
-    small = h.limit(rows + 1).count() <= rows
-    return df.join(F.broadcast(h) if small else h, F.col(col) == F.col("__0"), "left").withColumn(col, F.col("__n")).drop("__0", "__n")
+def generalize(df: DataFrame, col: str, hierarchy: DataFrame, level: int) -> DataFrame:
+    """col replaced by column `level<n>` of the hierarchy (level0: the value); null where the hierarchy lacks it."""
+    h = small(hierarchy.select(F.col("level0").alias("__0"), F.col(f"level{level}").alias("__n")))
+    return df.join(h, F.col(col) == F.col("__0"), "left").withColumn(col, F.col("__n")).drop("__0", "__n")
 
 
 def round_to(col: str, d: int) -> Column:
@@ -30,31 +33,32 @@ def round_to(col: str, d: int) -> Column:
 
 
 def clip(col: str | Column, lo: float, hi: float) -> Column:
+    """Values outside are moved to the bounds; nulls stay null."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi)))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))))
 
 
 def winsorize(df: DataFrame, col: str, p: float) -> DataFrame:
-    """Clamp to the p and 1-p percentiles, which one aggregate row brings to every task."""
-    edges = df.agg(F.percentile(col, p).alias("__lo"), F.percentile(col, 1 - p).alias("__hi"))
-    return df.join(F.broadcast(edges)).withColumn(col, F.least(F.greatest(F.col(col), "__lo"), "__hi")).drop("__lo", "__hi")
+    """Clamp to the exact p and 1-p quantiles."""
+    lo, hi = quantiles(df, col, [p, 1 - p])
+    return df if lo is None else df.withColumn(col, clip(col, lo, hi))
 
 
 def microaggregate(df: DataFrame, col: str, k: int, within: list[str], order: str) -> DataFrame:
-    """Values replaced by the mean of groups of at least k neighbours within each partition."""
-    w = Window.partitionBy(*within)
-    df = df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(col, order)))
+    """Values replaced by the mean of groups of at least k neighbours within each partition; nulls are neither counted nor replaced."""
+    known = annotate(running(df.where(F.col(col).isNotNull()), within, [col, order], "__r"), within, F.count("*").alias("__n"))
     group = F.least(F.floor((F.col("__r") - 1) / k), F.greatest(F.floor(F.col("__n") / k) - 1, F.lit(0)))
-    return df.withColumn("__g", group).withColumn(col, F.avg(col).over(Window.partitionBy(*within, "__g"))).drop("__n", "__r", "__g")
+    out = annotate(known.withColumn("__g", group), [*within, "__g"], F.avg(col).alias("__m")).withColumn(col, F.col("__m"))
+    return out.select(*df.columns).unionByName(df.where(F.col(col).isNull()))
 
 
 def swap(df: DataFrame, col: str, within: list[str], key: str, salt: str) -> DataFrame:
     """A permutation of the column's values inside each group, drawn by two hashes of the key."""
     u, v = (draws.uniform(salt + s, key) for s in ("a", "b"))
-    ranked = lambda c: F.row_number().over(Window.partitionBy(*within).orderBy(c, key))
-    left = df.withColumn("__r", ranked(u))
-    right = df.select(*within, F.col(col).alias("__v"), ranked(v).alias("__r"))
-    return left.join(right, [*within, "__r"]).withColumn(col, F.col("__v")).drop("__v", "__r").select(*df.columns)
+    left = running(df, within, [u, key], "__r")
+    right = running(df.select(*within, key, F.col(col).alias("__v")), within, [v, key], "__s").drop(key)
+    right = right.select("__v", "__s", *[F.col(c).alias(f"__b{i}") for i, c in enumerate(within)])
+    return left.join(right, same(left, right, within) & (left["__r"] == right["__s"])).withColumn(col, F.col("__v")).select(*df.columns)
 
 
 def shift_dates(df: DataFrame, col: str, unit: str, days: int, salt: str) -> DataFrame:
@@ -63,21 +67,28 @@ def shift_dates(df: DataFrame, col: str, unit: str, days: int, salt: str) -> Dat
     return df.withColumn(col, F.col(col) - F.make_dt_interval(n))
 
 
-def add_noise(df: DataFrame, col: str, sigma: float, key: str, salt: str) -> DataFrame:
-    return df.withColumn(col, F.col(col) + sigma * draws.normal(draws.uniform(salt + "a", key), draws.uniform(salt + "b", key)))
+def add_noise(df: DataFrame, col: str, sigma: float, key: str, salt: str, draw=draws.uniform) -> DataFrame:
+    return df.withColumn(col, F.col(col) + sigma * draws.normal(draw(salt + "a", key), draw(salt + "b", key)))
 
 
-def pram(df: DataFrame, col: str, domain: list[str], keep: float, key: str, salt: str) -> DataFrame:
-    """Post-randomization: the value stays with probability `keep`, else one of the domain, all alike."""
-    u = draws.uniform(salt, key)
-    other = F.element_at(F.array(*map(F.lit, domain)), (F.floor((u - keep) / (1 - keep) * len(domain)) + 1).cast("int"))
-    return df.withColumn(col, F.when(u < keep, F.col(col)).otherwise(other))
+def pram(df: DataFrame, col: str, matrix: dict[str, dict[str, float]], key: str, salt: str, draw=draws.uniform) -> DataFrame:
+    """Post-randomization: a value becomes another one with the probability that its row of the matrix gives; values without a row stay."""
+    new, u = F.col(col), F.col("__u")
+    for value, row in matrix.items():
+        if abs(sum(row.values()) - 1) > 1e-9 or min(row.values()) < 0:
+            raise ValueError(f"probabilities of {value!r} do not add up to 1")
+        names, edges = list(row), list(accumulate(row.values()))
+        to = F.lit(names[-1])
+        for name, edge in reversed(list(zip(names[:-1], edges[:-1], strict=True))):
+            to = F.when(u < edge, F.lit(name)).otherwise(to)
+        new = F.when(F.col(col) == value, to).otherwise(new)
+    return df.withColumn("__u", draw(salt, key)).withColumn(col, new).drop("__u")
 
 
 def suppress_cells(df: DataFrame, qi: list[str], k: int, order: list[str]) -> DataFrame:
     """Columns set to null, one after the other, in rows whose class is still below k."""
     for c in order:
-        df = df.withColumn("__k", F.count("*").over(Window.partitionBy(*qi))).withColumn(c, F.when(F.col("__k") >= k, F.col(c))).drop("__k")
+        df = annotate(df, qi, F.count("*").alias("__k")).withColumn(c, F.when(F.col("__k") >= k, F.col(c))).drop("__k")
     return df
 
 
@@ -86,16 +97,17 @@ def sample(df: DataFrame, rate: float, key: str, salt: str) -> DataFrame:
 
 
 def normalize(df: DataFrame, col: str, how: str = "minmax", within: list[str] = ()) -> DataFrame:
-    w = Window.partitionBy(*within)
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    new = (F.col(col) - lo) / (hi - lo) if how == "minmax" else (F.col(col) - F.avg(col).over(w)) / F.stddev_samp(col).over(w)
-    return df.withColumn(col, new)
+    """Min-max or z-score within groups; null where all values of a group are equal."""
+    lo, hi = (F.min(col), F.max(col)) if how == "minmax" else (F.avg(col), F.stddev_samp(col))
+    out = annotate(df, list(within), lo.alias("__lo"), hi.alias("__hi"))
+    width = F.col("__hi") - F.col("__lo") if how == "minmax" else F.col("__hi")
+    return out.withColumn(col, F.when(width != 0, (F.col(col) - F.col("__lo")) / width)).drop("__lo", "__hi")
 
 
 def noise_vector(df: DataFrame, col: str, bound: float, sigma: float, key: str, salt: str) -> DataFrame:
-    """Vectors scaled to a norm of at most `bound`, plus normal noise on each component."""
+    """Vectors scaled to a norm of at most `bound`, plus normal noise on each component, hash-derived."""
     v = F.col(col).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    scale = F.least(F.lit(1.0), bound / norm)
-    draw = lambda s, i: draws.uniform(salt + s, key, i)
-    return df.withColumn(col, F.transform(v, lambda x, i: x * scale + sigma * draws.normal(draw("a", i), draw("b", i))))
+    scale = F.when(norm > bound, bound / norm).otherwise(1.0)
+    u = lambda s, i: draws.uniform(salt + s, key, i)
+    return df.withColumn(col, F.transform(v, lambda x, i: x * scale + sigma * draws.normal(u("a", i), u("b", i))))

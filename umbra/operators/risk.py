@@ -7,9 +7,13 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import small, stash
+from .groups import annotate, same
+
 
 def class_size(df: DataFrame, qi: list[str], name: str = "k") -> DataFrame:
-    return df.withColumn(name, F.count("*").over(Window.partitionBy(*qi)))
+    """df with the size of each row's class: counted, partly before the shuffle, and joined back."""
+    return annotate(df, qi, F.count("*").alias(name))
 
 
 def classes(df: DataFrame, qi: list[str]) -> DataFrame:
@@ -22,8 +26,8 @@ def uniqueness(df: DataFrame, qi: list[str]) -> DataFrame:
 
 def k_map(df: DataFrame, population: DataFrame, qi: list[str]) -> DataFrame:
     """Classes of the sample with their size in the population (0 where it lacks them)."""
-    p = classes(population, qi).withColumnRenamed("k", "k_population")
-    return classes(df, qi).join(p, qi, "left").withColumn("k_population", F.coalesce("k_population", F.lit(0)))
+    c, p = classes(df, qi), classes(population, qi).select(*[F.col(x).alias(f"__b{i}") for i, x in enumerate(qi)], F.col("k").alias("k_population"))
+    return c.join(p, same(c, p, qi), "left").select(*qi, "k", F.coalesce("k_population", F.lit(0)).alias("k_population"))
 
 
 def delta_presence(df: DataFrame, public: DataFrame, qi: list[str]) -> DataFrame:
@@ -46,15 +50,16 @@ def k_anonymize_by_suppression(df: DataFrame, qi: list[str], k: int) -> DataFram
 def k_anonymize_full_domain(df: DataFrame, levels: dict[str, list], k: int, max_suppressed: float = 0.05) -> tuple[DataFrame, dict[str, int]]:
     """Lowest generalization that needs to suppress at most a share of the rows; and its levels.
 
-    levels: quasi-identifier -> column expressions from level 0 up. All nodes of the lattice are counted
-    in one pass by grouping sets; the driver sees one row for each node.
+    levels: quasi-identifier -> column expressions from level 0 up. Rows are counted by all their levels first;
+    all nodes of the lattice are then counted from these counts by grouping sets; the driver sees one row for each node.
     """
     names = list(levels)
     base = df.select(*[e.alias(f"{c}__{i}") for c in names for i, e in enumerate(levels[c])])
+    base = stash(base.groupBy(*base.columns).agg(F.count("*").alias("n")), "lattice")
     nodes = list(product(*[range(len(levels[c])) for c in names]))
     sets = [[F.col(f"{c}__{i}") for c, i in zip(names, node, strict=True)] for node in nodes]
     every = [F.col(f"{c}__{i}") for c in names for i in range(len(levels[c]))]
-    groups = base.groupingSets(sets, *every).agg(F.count("*").alias("n"), F.grouping_id(*every).alias("g"))
+    groups = base.groupingSets(sets, *every).agg(F.sum("n").alias("n"), F.grouping_id(*every).alias("g"))
     lost = {r["g"]: (r["lost"], r["total"]) for r in groups.groupBy("g").agg(F.sum(F.when(F.col("n") < k, F.col("n")).otherwise(0)).alias("lost"), F.sum("n").alias("total")).collect()}
     width = len(every)
     at = {f"{c}__{i}": p for p, (c, i) in enumerate((c, i) for c in names for i in range(len(levels[c])))}
@@ -104,11 +109,7 @@ def mondrian(df: DataFrame, qi: list[str], k: int) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    from ..sources.io import scratch
-
-    path = scratch(df.sparkSession, "mondrian")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stash(df, "mondrian")
 
 
 def l_diversity(df: DataFrame, qi: list[str], sensitive: str, kind: str = "distinct", c: float = 2.0, l: int = 2) -> DataFrame:  # noqa: E741
@@ -125,17 +126,33 @@ def l_diversity(df: DataFrame, qi: list[str], sensitive: str, kind: str = "disti
     return ranked.withColumn("safe", F.col("r1") < c * F.col("tail")).drop("r1", "tail")
 
 
-def t_closeness(df: DataFrame, qi: list[str], sensitive: str, ordered: bool = False) -> DataFrame:
-    """By class: distance `t` of the sensitive value's distribution to the whole table's.
+def t_closeness(df: DataFrame, qi: list[str], sensitive: str, ordered: bool = False, values: int = 10_000) -> DataFrame:
+    """By class: distance `t` of the sensitive value's distribution to the whole table's; a null value is a value.
 
-    Categorical: half the sum of absolute differences. Ordered: absolute cumulative differences over m-1.
-    Values that a class lacks are filled from the (small) list of all values.
+    Categorical: half the sum of absolute differences; values that a class lacks add their whole share. Ordered:
+    absolute cumulative differences over m-1, summed over the list of all values, of which there may be `values`
+    at most (bin them first). No class is joined with values that it lacks.
     """
-    counts = df.groupBy(*qi, sensitive).agg(F.count("*").alias("n"))
-    whole = df.groupBy(sensitive).agg(F.count("*").alias("q")).withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy(F.lit(1))))
-    size = counts.groupBy(*qi).agg(F.sum("n").alias("k"))
-    full = size.join(F.broadcast(whole)).join(counts, [*qi, sensitive], "left").withColumn("d", F.coalesce("n", F.lit(0)) / F.col("k") - F.col("q"))
+    counts = df.groupBy(*qi, F.col(sensitive).alias("__s")).agg(F.count("*").alias("n"))
+    whole = stash(df.groupBy(F.col(sensitive).alias("__v")).agg(F.count("*").alias("q")), "values")
+    total = whole.agg(F.sum("q").alias("__t"))
     if not ordered:
-        return full.groupBy(*qi).agg((F.sum(F.abs("d")) / 2).alias("t"))
-    w = Window.partitionBy(*qi).orderBy(sensitive).rowsBetween(Window.unboundedPreceding, 0)
-    return full.withColumn("c", F.abs(F.sum("d").over(w))).groupBy(*qi).agg((F.sum("c") / F.greatest(F.count("*") - 1, F.lit(1))).alias("t"))
+        whole = small(whole).join(F.broadcast(total)).select("__v", (F.col("q") / F.col("__t")).alias("q"))  # one row of `total`
+        size = annotate(counts, qi, F.sum("n").alias("k"))
+        each = size.join(whole, F.col("__s").eqNullSafe(F.col("__v")))
+        return each.groupBy(*qi).agg(((F.sum(F.abs(F.col("n") / F.col("k") - F.col("q"))) + 1 - F.sum("q")) / 2).alias("t"))
+    listed = whole.orderBy(F.col("__v").asc_nulls_first()).limit(values + 1).collect()
+    if len(listed) > values:
+        raise ValueError(f"more than {values} values of {sensitive}")
+    share, upto = [], 0
+    for r in listed:
+        upto += r["q"]
+        share.append(upto)
+    whole = df.sparkSession.createDataFrame([(r["__v"], i) for i, r in enumerate(listed)], whole.select("__v", F.lit(0).alias("i")).schema)
+    one = df.sparkSession.createDataFrame([([x / upto for x in share],)], "q array<double>")
+    each = counts.join(F.broadcast(whole), F.col("__s").eqNullSafe(F.col("__v"))).groupBy(*qi).agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("own"), F.sum("n").alias("k"))
+    start = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0.0).alias("d"))
+    have = lambda a, i: a["p"] + F.coalesce(F.try_element_at("own", i), F.lit(0))
+    step = lambda a, i: F.struct(have(a, i).alias("p"), (a["d"] + F.abs(have(a, i) / F.col("k") - F.element_at("q", i + 1))).alias("d"))
+    far = F.aggregate(F.sequence(F.lit(0), F.size("q") - 1), start, step, lambda a: a["d"])
+    return each.join(F.broadcast(one)).select(*qi, (far / F.greatest(F.size("q") - 1, F.lit(1))).alias("t"))

@@ -35,6 +35,16 @@ def block(df: DataFrame, col: str, q: int, bands: int, salt: str = "block") -> D
     return df.select("*", F.posexplode(F.array(*least)).alias("band", "key"))
 
 
+def link(df: DataFrame, id_col: str, col: str, q: int, bands: int, bits: int, hashes: int, salt: str = "b") -> DataFrame:
+    """(a, b, dice): Dice similarity of the encodings of each pair of rows that share a block; a < b."""
+    own = bloom_encode(df.select(F.col(id_col).alias("id"), F.col(col).alias("__x")), "__x", q, bits, hashes, salt)
+    blocks = block(own.select("id", "__x"), "__x", q, bands).select("id", "band", "key")
+    left, right = blocks.withColumnRenamed("id", "a"), blocks.withColumnRenamed("id", "b")
+    pairs = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
+    x, y = own.select(F.col("id").alias("a"), F.col("bloom").alias("x")), own.select(F.col("id").alias("b"), F.col("bloom").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", dice(F.col("x"), F.col("y")).alias("dice"))
+
+
 def _hashed(salt: str):
     return lambda g: F.substring(F.md5(F.concat(F.lit(salt), g)), 1, 12)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,14 @@ def a2_csv_scan(t):
     return io.read_as(t.spark, "csv", path, df.schema)
 
 
+@query("SELECT r_regionkey, r_name FROM region")
+def a2_jdbc_scan(t):
+    """Through an embedded database that only a session in local mode can reach."""
+    url = {"url": "jdbc:derby:memory:umbra;create=true", "dbtable": "REGION", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    io.release(t("region"), "", "jdbc", mode="overwrite", **url)
+    return io.read_as(t.spark, "jdbc", **url).select("r_regionkey", "r_name")
+
+
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def a4_partitioned_sink(t):
     path = io.scratch(t.spark, "release")
@@ -130,6 +140,12 @@ def b5_left_join(t):
     return t("customer").join(t("orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
+@query("SELECT r_name, c_mktsegment FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)")
+def b5_cross_join(t):
+    """The grid of all classes; both sides are lists of values."""
+    return t("region").select("r_name").crossJoin(F.broadcast(t("customer").select("c_mktsegment").distinct()))
+
+
 @query("SELECT p_partkey, b.lo FROM part JOIN (VALUES (1, 10), (11, 30), (31, 50)) AS b(lo, hi) ON p_size BETWEEN b.lo AND b.hi")
 def b6_range_join(t):
     bands = t.spark.createDataFrame([(1, 10), (11, 30), (31, 50)], "lo int, hi int")
@@ -199,14 +215,30 @@ def b16_percentile(t):
     return t("events").groupBy("event_type").agg(r(F.percentile("value", 0.9)).alias("p90"))
 
 
-@query()
+NEAR = "SELECT event_type, count(DISTINCT user_id) AS users, true AS count_ok, true AS hll_ok, true AS theta_ok FROM events GROUP BY 1"
+
+
+@query(NEAR)
 def b17_approx_distinct(t):
-    return t("events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("hll"))
+    """Three estimators, each within 5 % of the exact count."""
+    ok = lambda c: F.abs(c - F.col("users")) <= 0.05 * F.col("users")
+    exact = t("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    near = t("events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 14)).alias("h"), F.theta_sketch_estimate(F.theta_sketch_agg("user_id")).alias("th"))
+    return exact.join(near, "event_type").select("event_type", "users", ok(F.col("a")).alias("count_ok"), ok(F.col("h")).alias("hll_ok"), ok(F.col("th")).alias("theta_ok"))
 
 
-@query()
+@query("SELECT event_type, true AS percentile_ok, true AS kll_ok FROM events GROUP BY 1")
 def b18_approx_quantile(t):
-    return t("events").groupBy("event_type").agg(F.percentile_approx("value", [0.5, 0.9, 0.99]).alias("quantiles"))
+    """The share of rows up to an estimated quantile is within 0.05 of the share asked for."""
+    shares = [0.5, 0.9, 0.99]
+    kll = F.kll_sketch_agg_double("value")
+    e = t("events").select("event_type", "value")
+    near = e.groupBy("event_type").agg(F.percentile_approx("value", shares).alias("p"), kll.alias("k")).select("event_type", "p", F.array(*[F.kll_sketch_get_quantile_double("k", F.lit(p)) for p in shares]).alias("k"))
+    upto = [F.avg((F.col("value") <= F.col(c)[i]).cast("double")).alias(f"{c}{i}") for c in ("p", "k") for i in range(3)]
+    ranks = e.join(near, "event_type").groupBy("event_type").agg(*upto)
+    small = F.lit(1.0) / 20 + F.lit(0.01)
+    ok = lambda c: F.forall(F.array(*[F.abs(F.col(f"{c}{i}") - p) for i, p in enumerate(shares)]), lambda d: d <= small)
+    return ranks.select("event_type", ok("p").alias("percentile_ok"), ok("k").alias("kll_ok"))
 
 
 @query("SELECT user_id, s AS session, count(*) AS n FROM (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::bigint AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY 1, 2")
@@ -316,7 +348,7 @@ def d7_findings(t):
     return text.find_pii(t("documents"), "doc_id", "text", ["ipv4", "email"])
 
 
-@query()
+@query(rf"SELECT * FROM (SELECT doc_id, 'card' AS kind, unnest(regexp_extract_all(text, '{text.KINDS['card']}')) AS value FROM documents) WHERE list_sum([CASE WHEN i % 2 = 1 THEN substr(reverse(value), i, 1)::int ELSE (CASE WHEN substr(reverse(value), i, 1)::int > 4 THEN substr(reverse(value), i, 1)::int * 2 - 9 ELSE substr(reverse(value), i, 1)::int * 2 END) END FOR i IN range(1, 17)]) % 10 = 0")
 def d5_valid_cards(t):
     return text.valid_cards(t("documents"), "doc_id", "text")
 
@@ -388,9 +420,13 @@ def e10_add_noise(t):
     return quasi.add_noise(t("customer"), "c_acctbal", 100.0, "c_custkey", "n").select("c_custkey", r("c_acctbal", 5).alias("bal"))
 
 
-@query(f"SELECT o_orderkey, CASE WHEN u < 0.8::double THEN o_orderstatus ELSE (['F', 'O', 'P'])[(floor((u - 0.8::double) / (1 - 0.8::double) * 3) + 1)::int] END AS s FROM (SELECT *, {u_sql('p', 'o_orderkey')} AS u FROM orders)")
+PRAM = {"F": {"F": 0.8, "O": 0.15, "P": 0.05}, "O": {"F": 0.1, "O": 0.8, "P": 0.1}, "P": {"F": 0.3, "O": 0.2, "P": 0.5}}
+PRAM_SQL = " ".join(f"WHEN '{v}' THEN CASE WHEN u < {row['F']!r}::double THEN 'F' WHEN u < {row['F'] + row['O']!r}::double THEN 'O' ELSE 'P' END" for v, row in PRAM.items())
+
+
+@query(f"SELECT o_orderkey, CASE o_orderstatus {PRAM_SQL} END AS s FROM (SELECT *, {u_sql('p', 'o_orderkey')} AS u FROM orders)")
 def e11_pram(t):
-    return quasi.pram(t("orders"), "o_orderstatus", ["F", "O", "P"], 0.8, "o_orderkey", "p").select("o_orderkey", F.col("o_orderstatus").alias("s"))
+    return quasi.pram(t("orders"), "o_orderstatus", PRAM, "o_orderkey", "p").select("o_orderkey", F.col("o_orderstatus").alias("s"))
 
 
 @query(f"SELECT c_custkey, CASE WHEN count(*) OVER (PARTITION BY r_name, c_mktsegment, bal) >= 20 THEN bal END AS bal FROM {CUST}")
@@ -419,9 +455,11 @@ def e16_vector_norm(t):
     return t("embeddings").select("vec_id", r(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 5).alias("norm"))
 
 
-@query()
+@query(f"""SELECT vec_id, i::int AS i, round(x * least(1, 1 / norm) + 0.05 * (sqrt(-2 * ln({u_sql('va', 'vec_id', 'i')})) * cos(2 * pi() * {u_sql('vb', 'vec_id', 'i')})), 5) AS x
+FROM (SELECT vec_id, unnest(embedding)::double AS x, unnest(range(len(embedding))) AS i, sqrt(list_sum([x::double * x::double FOR x IN embedding])) AS norm FROM embeddings)""")
 def e16_noise_vector(t):
-    return quasi.noise_vector(t("embeddings"), "embedding", 1.0, 0.05, "vec_id", "v").select("vec_id", "embedding")
+    noisy = quasi.noise_vector(t("embeddings"), "embedding", 1.0, 0.05, "vec_id", "v")
+    return noisy.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", r("x", 5))
 
 
 # F. Risk, G. models
@@ -473,17 +511,26 @@ def g2_k_anonymous_release(t):
     return _release(t)
 
 
-@query()
+LEVELS = {"n_name": ["n_name", "r_name", "'*'"], "bal": ["(floor(c_acctbal / 1000::double) * 1000)::bigint", "bal", "bal * 0"], "c_mktsegment": ["c_mktsegment", "'*'"]}
+NODES = " UNION ALL ".join(f"SELECT {a} AS n_name, {b} AS bal, {c} AS c_mktsegment, coalesce(sum(n) FILTER (n < 5), 0)::bigint AS lost, sum(n)::bigint AS total FROM (SELECT count(*) AS n FROM {CUST} GROUP BY {LEVELS['n_name'][a]}, {LEVELS['bal'][b]}, {LEVELS['c_mktsegment'][c]})" for a in range(3) for b in range(3) for c in range(2))
+
+
+@query(f"SELECT n_name, bal, c_mktsegment, total - lost AS n_rows FROM ({NODES}) WHERE lost <= 0.05 * total ORDER BY n_name + bal + c_mktsegment, lost, n_name, bal, c_mktsegment LIMIT 1")
 def g3_full_domain(t):
+    """The levels chosen, and the rows released."""
     c = customers(t)
     levels = {"n_name": [F.col("n_name"), F.col("r_name"), F.lit("*")], "bal": [quasi.bin_("c_acctbal", 1000), F.col("bal"), F.lit(0).cast("bigint")], "c_mktsegment": [F.col("c_mktsegment"), F.lit("*")]}
-    return risk.k_anonymize_full_domain(c, levels, 5)[0].select("c_custkey", "n_name", "c_mktsegment", "bal")
+    out, chosen = risk.k_anonymize_full_domain(c, levels, 5)
+    return out.agg(*[F.lit(i).alias(k) for k, i in chosen.items()], F.count("*").alias("n_rows"))
 
 
-@query()
+@query("SELECT true AS safe, true AS apart, count(*) AS n_rows FROM customer")
 def g4_mondrian(t):
+    """Parts hold 10 rows or more, and no two parts overlap in their boxes (counted by box corners); see also tests/test_mondrian.py."""
     parts = risk.mondrian(t("customer"), ["c_nationkey", "c_acctbal"], 10)
-    return parts.groupBy("part").agg(F.count("*").alias("k"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    box = parts.groupBy("part").agg(F.count("*").alias("k"), F.min("c_nationkey").alias("a"), F.max("c_nationkey").alias("b"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    inside = t("customer").join(F.broadcast(box), (F.col("c_nationkey").between(F.col("a"), F.col("b"))) & F.col("c_acctbal").between(F.col("lo"), F.col("hi"))).count()
+    return box.agg((F.min("k") >= 10).alias("safe"), (F.sum("k") == inside).alias("apart"), F.sum("k").alias("n_rows"))
 
 
 BY = "(SELECT r_name, bal, c_mktsegment, count(*) AS n FROM {} GROUP BY 1, 2, 3)".format(CUST)
@@ -542,34 +589,36 @@ AGG = f"(SELECT event_type, count(*) AS n, sum(least(greatest(value, 0), 100)) A
 
 @query(f"SELECT event_type, round(c, 5) AS noisy_count, round(s, 4) AS noisy_sum, round(least(greatest(s / greatest(c, 1), 0), 100), 5) AS noisy_mean FROM (SELECT event_type, n + {_lap(u_sql('aggn', 'event_type'), 20.0)} AS c, s + {_lap(u_sql('aggs', 'event_type'), 2000.0)} AS s FROM {AGG})")
 def h3_h4_laplace(t):
-    out = dp.private_agg(t("events"), ["event_type"], "user_id", "event_id", "value", (0, 100), 10, 1.0, ledger=dp.Ledger(1.0))
+    out = dp.private_agg(t("events"), ["event_type"], "user_id", "event_id", "value", (0, 100), 10, 1.0, draw=draws.uniform, ledger=dp.Ledger(1.0))
     return out.select("event_type", r("noisy_count", 5).alias("noisy_count"), r("noisy_sum", 4).alias("noisy_sum"), r("noisy_mean", 5).alias("noisy_mean"))
 
 
 @query(f"SELECT event_type, n + (floor(ln({u_sql('aggn', 'event_type')}) / (-0.5::double / 10)) - floor(ln({u_sql('aggm', 'event_type')}) / (-0.5::double / 10)))::bigint AS noisy_count FROM {AGG}")
 def h5_geometric(t):
-    return dp.private_agg(t("events"), ["event_type"], "user_id", "event_id", "value", (0, 100), 10, 1.0, "geometric").select("event_type", "noisy_count")
+    return dp.private_agg(t("events"), ["event_type"], "user_id", "event_id", "value", (0, 100), 10, 1.0, "geometric", draw=draws.uniform).select("event_type", "noisy_count")
 
 
-@query(f"SELECT event_type, round(n + (sqrt(2 * ln(1.25::double / 1e-6::double)) / 0.5::double * 10) * (sqrt(-2 * ln({u_sql('aggn', 'event_type')})) * cos(2 * pi() * {u_sql('aggm', 'event_type')})), 4) AS noisy_count FROM {AGG}")
+@query(f"SELECT event_type, round(n + {dp.gaussian_sigma(0.5, 1e-6, 10)!r}::double * (sqrt(-2 * ln({u_sql('aggn', 'event_type')})) * cos(2 * pi() * {u_sql('aggm', 'event_type')})), 4) AS noisy_count FROM {AGG}")
 def h6_gaussian(t):
-    return dp.private_agg(t("events"), ["event_type"], "user_id", "event_id", "value", (0, 100), 10, 1.0, "gaussian").select("event_type", r("noisy_count", 4).alias("noisy_count"))
+    return dp.private_agg(t("events"), ["event_type"], "user_id", "event_id", "value", (0, 100), 10, 1.0, "gaussian", 2e-6, draw=draws.uniform).select("event_type", r("noisy_count", 4).alias("noisy_count"))
 
 
 @query(f"SELECT max_by(event_type, n * 0.1::double / 2 - ln(-ln({u_sql('max', 'event_type')}))) AS event_type FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def h7_noisy_max(t):
-    return dp.noisy_max(t("events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n", 1.0, 0.1)
+    return dp.noisy_max(t("events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n", 1.0, 0.1, draws.uniform)
 
 
-@query(f"""SELECT (max_by(cell, -abs(below - 0.5::double * total) * 1.0::double / 2 - ln(-ln({u_sql('quantile', 'cell')}))) + 0.5::double) * 0.5 AS quantile
-FROM (SELECT cell, sum(n) OVER (ORDER BY cell) - n / 2 AS below, sum(n) OVER () AS total FROM (SELECT g.cell, coalesce(n, 0) AS n FROM (SELECT unnest(range(1000))::int AS cell) AS g LEFT JOIN (SELECT least(floor(least(greatest(value, 0), 500) / 0.5), 999)::int AS cell, count(*) AS n FROM events GROUP BY 1) AS c ON c.cell = g.cell))""")
+@query(f"""SELECT round(g.v + {u_sql('quantileat', '0')} * (g.e - g.v), 6) AS quantile FROM (SELECT max_by({{'v': v, 'e': e}}, (-abs(below - 0.5::double * total) + 2 * ln(e - v)) / 2 - ln(-ln({u_sql('quantile', 'v')}))) AS g FROM
+(SELECT v, lead(v) OVER (ORDER BY v) AS e, sum(n) OVER (ORDER BY v) AS below, sum(n) OVER () AS total FROM (SELECT v, sum(n)::double AS n FROM (SELECT least(greatest(value, 0), 500)::double AS v, 1 AS n FROM events UNION ALL SELECT 0, 0 UNION ALL SELECT 500, 0) GROUP BY 1)) WHERE e > v)""")
 def h8_private_quantile(t):
-    return dp.private_quantile(t("events"), "value", 0.5, 0.0, 500.0, 1.0)
+    return dp.private_quantile(t("events"), "value", 0.5, 0.0, 500.0, 1.0, draws.uniform).withColumn("quantile", r("quantile"))
 
 
-@query(f"SELECT props, round(c, 5) AS noisy_units FROM (SELECT props, n + {_lap(u_sql('partitions', 'props'), 1.0)} AS c FROM (SELECT props, count(DISTINCT user_id) AS n FROM events GROUP BY 1)) WHERE c > 9")
+@query(f"""SELECT event_type, round(c, 5) AS noisy_units FROM (SELECT event_type, n + {_lap(u_sql('partitions', 'event_type'), 3.0)} AS c FROM (SELECT event_type, count(*) AS n FROM
+(SELECT * FROM (SELECT DISTINCT event_type, user_id FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {u_sql('partitionsm', 'user_id', 'event_type')}, event_type) <= 3) GROUP BY 1)) WHERE c > {dp.partition_threshold(1.0, 1e-6, 3)!r}::double""")
 def h9_select_partitions(t):
-    return dp.select_partitions(t("events"), ["props"], "user_id", 1.0, 9.0).withColumn("noisy_units", r("noisy_units", 5))
+    out = dp.select_partitions(t("events"), ["event_type"], "user_id", 1.0, 1e-6, 3, draws.uniform, ledger=dp.Ledger(1.0, 1e-6))
+    return out.withColumn("noisy_units", r("noisy_units", 5))
 
 
 @query(f"SELECT round((avg(CASE WHEN CASE WHEN u < 0.75 THEN value > 100 ELSE v < 0.5 END THEN 1.0::double ELSE 0.0::double END) - 0.125::double) / 0.75::double, 6) AS share FROM (SELECT *, {u_sql('w1', 'event_id')} AS u, {u_sql('w2', 'event_id')} AS v FROM events)")
@@ -581,22 +630,43 @@ def h10_randomized_response(t):
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-@query()
+def _keep(epsilon: float, k: int) -> float:
+    return math.exp(epsilon) / (math.exp(epsilon) + k - 1)
+
+
+P5, TYPE_LIST = _keep(2.0, 5), str(TYPES)
+SAID = f"(SELECT CASE WHEN u < {P5!r}::double THEN event_type ELSE {TYPE_LIST}[((list_position({TYPE_LIST}, event_type) + floor((u - {P5!r}::double) / {1 - P5!r}::double * 4)::int) % 5) + 1] END AS event_type FROM (SELECT *, {u_sql('rr', 'event_id')} AS u FROM events))"
+
+
+@query(f"SELECT event_type, round((count(*) - sum(count(*)) OVER () * {(1 - P5) / 4!r}::double) / {P5 - (1 - P5) / 4!r}::double, 4) AS estimate FROM {SAID} GROUP BY 1")
 def h11_local_frequencies(t):
-    said = dp.randomize(t("events"), "event_type", TYPES, 2.0, "event_id")
-    return dp.estimate_frequencies(said, "event_type", TYPES, 2.0)
+    said = dp.randomize(t("events"), "event_type", TYPES, 2.0, "event_id", draw=draws.uniform)
+    return dp.estimate_frequencies(said, "event_type", TYPES, 2.0).withColumn("estimate", r("estimate", 4))
+
 
+FLIP = 1 / (1 + math.exp(0.5))
 
-@query()
+
+@query(f"""SELECT event_type, sum(CASE WHEN (u < {FLIP!r}::double) <> own THEN 1 ELSE 0 END)::bigint AS bits FROM (SELECT event_type, {u_sql('bloom', 'event_id', 'b')} AS u,
+list_contains([('0x' || substr(md5('bloom' || i || event_type), 1, 7))::bigint % 32 FOR i IN [0, 1]], b) AS own FROM (SELECT event_id, event_type, unnest(range(32)) AS b FROM events)) GROUP BY 1""")
 def h12_bloom_reports(t):
     return dp.bloom_report(t("events"), "event_type", 32, 2, 2.0, "event_id").groupBy("event_type").agg(F.sum(F.aggregate("report", F.lit(0), lambda a, x: a + x)).alias("bits"))
 
 
-@query()
+P8 = _keep(2.0, 8)
+CELLS = f"(SELECT event_id, CASE WHEN u < {P8!r}::double THEN c ELSE (c + floor((u - {P8!r}::double) / {1 - P8!r}::double * 7)::int + 1) % 8 END AS cell FROM (SELECT event_id, {u_sql('olh', 'event_id')} AS u, floor({u_sql('olhh', 'event_id', 'event_type')} * 8)::bigint AS c FROM events))"
+
+
+@query(f"SELECT event_id, cell FROM {CELLS}")
 def h13_local_hashing(t):
     return dp.local_hash_report(t("events"), "event_type", 2.0, "event_id").select("event_id", "cell")
 
 
+@query(f"SELECT v AS value, round((count(*) FILTER (floor({u_sql('olhh', 'event_id', 'v')} * 8) = cell) - count(*) / 8) / {P8 - 1 / 8!r}::double, 4) AS estimate FROM {CELLS}, (SELECT unnest({TYPE_LIST}) AS v) GROUP BY 1")
+def h13_hashed_estimates(t):
+    return dp.estimate_hashed(dp.local_hash_report(t("events"), "event_type", 2.0, "event_id"), TYPES, 2.0).withColumn("estimate", r("estimate", 4))
+
+
 # I. Linkage and utility
 
 
@@ -605,13 +675,24 @@ def i1_hashed_intersection(t):
     return utility.hashed_intersection(t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").select(F.col("s_nationkey").alias("k")), "k", KEY)
 
 
-@query()
+def _grams(x: str, q: int) -> str:
+    return f"CASE WHEN length({x}) >= {q} THEN list_distinct([substr(lower({x}), i, {q}) FOR i IN range(1, length({x}) - {q} + 2)]) ELSE [lower({x})] END"
+
+
+def _blocks(table: str, key: str, x: str, q: int) -> str:
+    return f"(SELECT {key}, b::int AS band, list_min([substr(md5('block' || b || g), 1, 12) FOR g IN {_grams(x, q)}]) AS key FROM {table}, (SELECT unnest(range(4)) AS b))"
+
+
+BLOOM = f"(SELECT n_name, list_distinct(flatten([[('0x' || substr(md5('b' || i || g), 1, 7))::bigint % 256 FOR i IN [0, 1]] FOR g IN {_grams('n_name', 2)}])) AS x FROM nation)"
+
+
+@query(f"""SELECT a, b, round(2 * len(list_intersect(l.x, r.x)) / (len(l.x) + len(r.x)), 6) AS dice FROM (SELECT DISTINCT p.n_name AS a, q.n_name AS b FROM {_blocks('nation', 'n_name', 'n_name', 2)} AS p
+JOIN {_blocks('nation', 'n_name', 'n_name', 2)} AS q ON p.band = q.band AND p.key = q.key AND p.n_name < q.n_name) JOIN {BLOOM} AS l ON l.n_name = a JOIN {BLOOM} AS r ON r.n_name = b""")
 def i2_bloom_dice(t):
-    n = utility.bloom_encode(t("nation"), "n_name", 2, 256, 2, "b").select("n_name", "bloom")
-    return n.select(F.col("n_name").alias("a"), F.col("bloom").alias("x"), F.lit(1).alias("one")).join(n.select(F.col("n_name").alias("b"), F.col("bloom").alias("y")), F.col("a") < F.col("b")).select("a", "b", r(utility.dice(F.col("x"), F.col("y"))).alias("dice"))
+    return utility.link(t("nation"), "n_name", "n_name", 2, 4, 256, 2).withColumn("dice", r("dice"))
 
 
-@query()
+@query(f"SELECT s_suppkey, band, key FROM {_blocks('supplier', 's_suppkey', 's_name', 3)}")
 def i3_minhash_blocks(t):
     return utility.block(t("supplier"), "s_name", 3, 4).select("s_suppkey", "band", "key")
 
@@ -647,7 +728,7 @@ def stream(t, name: str = "events", cols: tuple[str, ...] = ("event_id", "ts", "
 def done(t, df: DataFrame, mode: str = "append") -> DataFrame:
     out = io.scratch(t.spark, "stream")
     io.release_stream(df, out, io.scratch(t.spark, "state"), mode)
-    return t.spark.read.schema(df.schema).parquet(out)
+    return t.spark.read.schema(df.schema).parquet(out).select(*df.columns)
 
 
 @query("SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') AS c_name FROM customer")
@@ -681,9 +762,12 @@ def j5_dedup(t):
     return done(t, ops.dedup(s.union(s), "event_id", "ts").select("event_id"))
 
 
-@query()
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS ok FROM events GROUP BY 1")
 def j6_approx_distinct(t):
-    return done(t, stream(t).groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users")), "complete")
+    """Within 5 % of the exact count."""
+    near = done(t, stream(t).groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("near")), "complete")
+    exact = t("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(near, "event_type").select("event_type", "users", (F.abs(F.col("near") - F.col("users")) <= 0.05 * F.col("users")).alias("ok"))
 
 
 @query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3")
@@ -694,13 +778,22 @@ def j7_j8_bound_contributions(t):
 @query("SELECT event_id FROM events WHERE (event_type, floor(value / 50)) IN (SELECT (event_type, floor(value / 50)) FROM events GROUP BY event_type, floor(value / 50) HAVING count(DISTINCT user_id) >= 20)")
 def j9_stream_k_anonymity(t):
     s = stream(t).withColumn("bin", F.floor(F.col("value") / 50))
-    return done(t, ops.stream_k_anonymize(s, ["event_type", "bin"], "user_id", 20).select("event_id"))
+    return done(t, ops.stream_k_anonymize(s, ["event_type", "bin"], "user_id", 20, "ts", "60 days").select("event_id"))
 
 
-@query()
+def _tree(bits: int = 6) -> str:
+    """The noise of step t: of the tree nodes that cover [0, t]."""
+    scale = 6.0
+    node = lambda b: _lap(f"((('0x' || substr(md5('tree' || event_type || '|{b}|' || (((t + 1) >> {b}) - 1)), 1, 8))::bigint + 0.5::double) / 4294967296::double)", scale)
+    return " + ".join(f"CASE WHEN ((t + 1) >> {b}) & 1 = 1 THEN {node(b)} ELSE 0 END" for b in range(bits))
+
+
+@query(f"""SELECT event_type, t::int AS step, round(n + {_tree()}, 5) AS noisy_count FROM (SELECT k.event_type, t, (SELECT count(*) FROM events AS e WHERE e.event_type = k.event_type AND e.ts < TIMESTAMP '2024-01-01' + to_days((t + 1)::int)) AS n
+FROM (SELECT DISTINCT event_type FROM events) AS k, (SELECT unnest(range(31)) AS t) AS s) WHERE TIMESTAMP '2024-01-01' + to_days((t + 1)::int) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def j10_continual_count(t):
-    s = stream(t).withColumn("day", F.datediff("ts", F.lit("2024-01-01")))  # days since the release began
-    return done(t, ops.continual_count(s.select("event_type", "day"), "event_type", "day", 31, 1.0), "update")
+    """Days since the release began, each released once, when the watermark has passed its end."""
+    s = stream(t).select("event_type", "ts")
+    return done(t, ops.continual_count(s, "event_type", "ts", "2024-01-01", "1 day", 31, 1.0, noise=ops.derived_noise("tree"))).withColumn("noisy_count", r("noisy_count", 5))
 
 
 # K. UDF surface
@@ -712,15 +805,30 @@ def k1_sql_function(t):
     return t("customer").selectExpr("c_custkey", "umbra_bin(c_acctbal, 100D) as b")
 
 
-@query("SELECT c_custkey, reverse(c_name) AS c_name FROM customer")
+@query("SELECT part_name, word FROM (SELECT DISTINCT p_name AS part_name, strip_accents(p_name || ' Ünïté') AS word FROM part)")
 def k2_pandas_udf(t):
-    return t("customer").select("c_custkey", F.pandas_udf(lambda s: s.str[::-1], "string", F.PandasUDFType.SCALAR)("c_name").alias("c_name"))
+    """Letters without their accents, which Spark has no function for."""
+
+    @F.pandas_udf("string")
+    def plain(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFD").str.replace(r"[\u0300-\u036f]", "", regex=True)
+
+    return t("part").select(F.col("p_name").alias("part_name")).distinct().withColumn("word", plain(F.concat("part_name", F.lit(" Ünïté"))))
+
+
+@query("SELECT c_nationkey, round(mad(c_acctbal), 4) AS spread FROM customer GROUP BY 1")
+def k3_grouped_agg_udf(t):
+    """The median absolute deviation, which Spark has no aggregate for."""
+
+    @F.pandas_udf("double")
+    def mad(v: pd.Series) -> float:
+        return float((v - v.median()).abs().median())
+
+    return t("customer").groupBy("c_nationkey").agg(mad("c_acctbal").alias("spread")).withColumn("spread", r("spread", 4))
 
 
 @query("SELECT c_nationkey, round(max(c_acctbal) - min(c_acctbal), 4) AS spread FROM customer GROUP BY 1")
 def k4_apply_in_pandas(t):
-    import pandas as pd
-
     def spread(pdf):
         return pd.DataFrame({"c_nationkey": [pdf.c_nationkey.iloc[0]], "spread": [round(pdf.c_acctbal.max() - pdf.c_acctbal.min(), 4)]})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -42,69 +43,110 @@ def sorted_chunks(chunks: Iterator[pd.DataFrame], order: list[str]) -> list[pd.D
     return [pd.concat(parts).sort_values(order)] if parts else []
 
 
-def stream_k_anonymize(df: DataFrame, qi: list[str], unit: str, k: int) -> DataFrame:
-    """A class's rows are held until k different units are in it, then released; later rows pass at once.
+def stream_k_anonymize(df: DataFrame, qi: list[str], unit: str, k: int, event_time: str, max_delay: str, watermark: str = "1 hour") -> DataFrame:
+    """A class's rows are held until k different units came within max_delay, then released; later rows pass at once.
 
-    Held rows stay in the state until their class fills up; they are never released otherwise.
+    Rows held longer than max_delay of event time are suppressed: a class's state is the rows, of fewer than k
+    units, of its last max_delay, or a flag. Rows come out in the order of event time; null times are suppressed.
     """
-    columns = df.columns
-    schema = df.schema
+    columns, schema = df.columns, df.schema
+    delay = pd.Timedelta(max_delay)
 
     def run(key, chunks: Iterator[pd.DataFrame], state: GroupState):
-        import pickle
-
-        open_, units, held = pickle.loads(state.get[0]) if state.exists else (False, set(), [])
-        for pdf in chunks:
-            pdf = pdf[columns]
-            if open_:
-                yield pdf
-                continue
-            units |= set(pdf[unit])
-            held.append(pdf)
-            if len(units) >= k:
-                open_ = True
-                yield pd.concat(held)
-                units, held = set(), []
-        state.update((pickle.dumps((open_, units, held)),))
-
-    return df.groupBy(*qi).applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def continual_count(df: DataFrame, by: str, step: str, horizon: int, epsilon: float, salt: str = "tree") -> DataFrame:
+        open_, held = state.get if state.exists else (False, None)
+        if state.hasTimedOut:
+            state.remove()  # closed, and all rows held are too old
+            return
+        parts = [c[columns] for c in chunks]
+        if not open_:
+            if held is not None:
+                with pa.ipc.open_stream(held) as r:
+                    parts.insert(0, r.read_pandas()[columns])
+            rows = pd.concat(parts).dropna(subset=[event_time]).sort_values(event_time, kind="stable")
+            times, units = rows[event_time].tolist(), rows[unit].tolist()
+            first, seen = 0, {}
+            for i, (t, u) in enumerate(zip(times, units, strict=True)):
+                seen[u] = seen.get(u, 0) + 1
+                while times[first] < t - delay:
+                    seen[units[first]] -= 1
+                    if not seen[units[first]]:
+                        del seen[units[first]]
+                    first += 1
+                if len(seen) >= k:
+                    open_ = True
+                    break
+            parts = [rows.iloc[first:]]
+        if open_:
+            state.update((True, None))
+            yield from parts
+        elif len(parts[0]):
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_pandas(parts[0], preserve_index=False)
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
+            state.update((False, sink.getvalue().to_pybytes()))
+            end = int((parts[0][event_time].max() + delay).timestamp() * 1000) + 1
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    return df.withWatermark(event_time, watermark).groupBy(*qi).applyInPandasWithState(run, schema, "open boolean, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def derived_noise(salt: str):
+    """Hash-derived draws in (0, 1) by (key, level, index): for tests."""
+    import hashlib
+
+    return lambda key, level, index: (int(hashlib.md5(f"{salt}{key}|{level}|{index}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+
+def fresh_noise(key: str, level: int, index: int) -> float:
+    import os
+
+    return (int.from_bytes(os.urandom(7), "little") >> 3) / 2.0**53 + 2.0**-54
+
+
+def continual_count(df: DataFrame, by: str, event_time: str, start: str, interval: str, horizon: int, epsilon: float, watermark: str = "1 hour", noise=fresh_noise) -> DataFrame:
     """Running count after each step 0..horizon-1 by the binary tree mechanism: (by, step, noisy_count).
 
-    Step t's count is the sum of the tree nodes that cover [0, t], each with Laplace noise of scale
-    levels/epsilon; noise is hash-derived from the node, so a node is noised once. A null step or one
-    outside 0..horizon-1 raises an error, as its rows could not be counted.
+    Step t is the t-th interval from start (UTC). A step is released once, when the watermark has passed its end: its
+    count is the sum of the tree nodes that cover [0, t], each with Laplace noise of scale levels/epsilon
+    that is drawn once and kept while the node is in use, so the state is log(horizon) draws and the
+    counts of open steps. Rows of steps already released are too late and not counted; null times and times
+    outside the horizon raise an error. Values of `by` must be public.
     """
-    import hashlib
     import math
 
-    levels = max(1, math.ceil(math.log2(max(horizon, 2)))) + 1
-    scale = levels / epsilon
+    levels = math.ceil(math.log2(max(horizon, 2))) + 1
+    scale, origin, width = levels / epsilon, pd.Timestamp(start).value // 10**6, pd.Timedelta(interval).value // 10**6
 
-    def noise(name: str, level: int, index: int) -> float:
-        u = (int(hashlib.md5(f"{salt}{name}|{level}|{index}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 - 0.5
-        return -scale * math.copysign(1, u) * math.log(1 - 2 * abs(u))
+    def laplace(u: float) -> float:
+        return -scale * math.copysign(1, u - 0.5) * math.log(1 - 2 * abs(u - 0.5))
 
     def run(key, chunks: Iterator[pd.DataFrame], state: GroupState):
-        counts = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for pdf in chunks:
-            if not pdf[step].between(0, horizon - 1).all():
-                raise ValueError(f"{step}: null or outside 0..{horizon - 1}")
-            for s, n in pdf[step].value_counts().items():
-                counts[int(s)] = counts.get(int(s), 0) + int(n)
-        state.update((list(counts), list(counts.values())))
-        rows, total = [], 0
-        for t in range(horizon):
-            total += counts.get(t, 0)
-            noisy, end = float(total), t + 1
-            while end:
-                low = end & -end
-                noisy += noise(str(key[0]), low.bit_length() - 1, end // low - 1)
-                end -= low
-            rows.append((key[0], t, noisy))
-        yield pd.DataFrame(rows, columns=[by, "step", "noisy_count"])
+        next_, total, steps, counts, nodes, draws_ = state.get if state.exists else (0, 0, [], [], [], [])
+        waiting, active = dict(zip(steps, counts, strict=True)), dict(zip(nodes, draws_, strict=True))
+        if not state.hasTimedOut:
+            for pdf in chunks:
+                at = pdf[event_time]
+                step = (at.dropna().astype("datetime64[ns]").astype("int64") // 10**6 - origin) // width
+                if len(step) < len(at) or not step.between(0, horizon - 1).all():
+                    raise ValueError(f"{event_time}: null or outside 0..{horizon - 1}")
+                for s, n in step.value_counts().items():
+                    if s >= next_:
+                        waiting[int(s)] = waiting.get(int(s), 0) + int(n)
+        mark, rows = state.getCurrentWatermarkMs(), []
+        while next_ < horizon and origin + (next_ + 1) * width <= mark:
+            total += waiting.pop(next_, 0)
+            end = next_ + 1
+            level = (end & -end).bit_length() - 1
+            active = {n: d for n, d in active.items() if n > level} | {level: laplace(noise(str(key[0]), level, (end >> level) - 1))}
+            rows.append((key[0], next_, total + sum(active[n] for n in sorted(active))))
+            next_ += 1
+        state.update((next_, total, list(waiting), list(waiting.values()), list(active), list(active.values())))
+        if next_ < horizon:
+            state.setTimeoutTimestamp(max(origin + (next_ + 1) * width, mark + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=[by, "step", "noisy_count"])
 
     kind = dict(df.dtypes)[by]
-    return df.groupBy(by).applyInPandasWithState(run, f"`{by}` {kind}, step int, noisy_count double", "steps array<long>, counts array<long>", "update", GroupStateTimeout.NoTimeout)
+    own = df.withWatermark(event_time, watermark).groupBy(by)
+    return own.applyInPandasWithState(run, f"`{by}` {kind}, step int, noisy_count double", "next int, total long, steps array<long>, counts array<long>, nodes array<int>, draws array<double>", "append", GroupStateTimeout.EventTimeTimeout)
