@@ -455,11 +455,11 @@ def e16_vector_norm(t):
     return t("embeddings").select("vec_id", r(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 5).alias("norm"))
 
 
-@query(f"""SELECT vec_id, i::int AS i, round(x * least(1, 1 / norm) + 0.05 * (sqrt(-2 * ln({u_sql('va', 'vec_id', 'i')})) * cos(2 * pi() * {u_sql('vb', 'vec_id', 'i')})), 5) AS x
-FROM (SELECT vec_id, unnest(embedding)::double AS x, unnest(range(len(embedding))) AS i, sqrt(list_sum([x::double * x::double FOR x IN embedding])) AS norm FROM embeddings)""")
+@query(f"""SELECT vec_id, i, CASE WHEN x = 0 THEN 0::double ELSE x END AS x FROM (SELECT vec_id, i::int AS i, round(x * least(1, 1 / norm) + 0.05 * (sqrt(-2 * ln({u_sql('va', 'vec_id', 'i')})) * cos(2 * pi() * {u_sql('vb', 'vec_id', 'i')})), 5) AS x
+FROM (SELECT vec_id, unnest(embedding)::double AS x, unnest(range(len(embedding))) AS i, sqrt(list_sum([x::double * x::double FOR x IN embedding])) AS norm FROM embeddings))""")
 def e16_noise_vector(t):
     noisy = quasi.noise_vector(t("embeddings"), "embedding", 1.0, 0.05, "vec_id", "v")
-    return noisy.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", r("x", 5))
+    return noisy.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", r("x", 5)).withColumn("x", F.when(F.col("x") == 0, 0.0).otherwise(F.col("x")))  # no -0.0
 
 
 # F. Risk, G. models
