@@ -28,3 +28,12 @@ def test_cases(spark):
     none = quality.score(docs, quality.learn(docs, labels.limit(0))).collect()
     assert {r["score"] for r in none} == {0.5}
     assert quality.score(docs.limit(0), quality.learn(docs, labels)).count() == 0
+
+
+def test_an_id_on_many_rows_teaches_once(spark):
+    """However its rows lie, and however often they repeat."""
+    rows = [(i, ("good words stand here " if i % 2 else "bad ||| ") * (i + 1)) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    once, often = ([(0, "another text"), *rows], [*rows[::-1], *[(0, "another text")] * 500])
+    a, b = (quality.learn(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (once, often))
+    assert a.w0 == b.w0 and (a.w == b.w).all() and (a.v == b.v).all()

@@ -8,7 +8,8 @@ Training runs on the driver over a sample of labelled rows of bounded size (`sam
 bound, chosen by a hash of the id); their features are computed on the executors from whole texts.
 
 Defined cases: a null text counts as empty; an empty text has structure features only and still gets
-a score; ids labelled more than once take their highest label; null labels teach nothing; without
+a score; ids labelled more than once take their highest label; an id on several rows teaches by one of its texts
+(the one with the smallest hash); null labels teach nothing; without
 labels the score is 0.5; repeated rows are treated alike; extra columns are dropped.
 """
 
@@ -126,6 +127,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_003)) / 1_000_003.0
     labels = labels.where(draw < min(1.0, sample_docs / max(many, 1)))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labels, "id")
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id, so the bound holds
 
     def run(batches):
         for b in pieces(batches):
