@@ -1,5 +1,11 @@
+from pathlib import Path
+
+import pytest
+
 from umbra.llm import licenses
 
+TEXTS = Path("/usr/share/common-licenses")
+
 
 def test_whole_texts_and_lines(spark):
     texts = [
@@ -28,3 +34,15 @@ def test_every_known_text_is_found_whole(spark):
 def test_ties_go_to_the_first_name(spark):
     texts = [("B", "One licence text."), ("A", "one LICENSE text")]
     assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, "One license text")], "doc_id long, text string"), texts).collect()] == ["A"]
+
+
+@pytest.mark.skipif(not TEXTS.is_dir(), reason="the texts come with the operating system")
+def test_long_licences_are_found_whole(spark):
+    """As they stand and in capitals, between other blanks and with another scheme in their links; with a sentence added, none."""
+    names = [n for n, _ in licenses.DIGESTS if (TEXTS / n.removesuffix(".0")).exists() or (TEXTS / n).exists()]
+    assert len(names) > 8
+    texts = [next(p for p in (TEXTS / n, TEXTS / n.removesuffix(".0")) if p.exists()).read_text("utf-8") for n in names]
+    forms = [(t, t.upper().replace("\n", " \n\n"), t.replace("http://", "https://"), t + "\nOne more sentence.") for t in texts]
+    rows = [(4 * i + j, x) for i, f in enumerate(forms) for j, x in enumerate(f)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {4 * i + j: n if j < 3 else None for i, n in enumerate(names) for j in range(4)}

@@ -4,7 +4,8 @@ A text is normalised (case, punctuation, copyright lines, equivalent spellings),
 hash-joined to the digests of known licence texts. Whole texts are looked up, and so is each line
 that mentions a licence: licence lines stand in otherwise unrelated documents. A line that begins with "(c)" is
 a copyright line if it has a year or reserves rights; else it is a clause of an enumeration. `KNOWN` holds the
-short licences in full and the notices of the long ones; give further texts as `texts`. Texts whose canonical
+short licences in full and the notices of the long ones, `DIGESTS` the digests of the long ones' whole texts; give
+further ones as `texts` and `digests`. Texts whose canonical
 forms are equal under two licences count as the first by name.
 
 Defined cases: a null or wordless text has a null digest and no licence; repeated rows are treated
@@ -50,18 +51,31 @@ KNOWN = [
     ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 " + BOOST),
     ("Unlicense", UNLICENSE),
     ("Unlicense", UNLICENSE + " For more information, please refer to <https://unlicense.org>"),
-    ("Unlicense", UNLICENSE + " For more information, please refer to <http://unlicense.org/>"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("GPL-3.0-or-later", GNU.format("GNU General Public License", "3", "GNU General Public License", "GNU General Public License")),
     ("GPL-2.0-or-later", GNU.format("GNU General Public License", "2", "GNU General Public License", "GNU General Public License")),
     ("AGPL-3.0-or-later", GNU.format("GNU Affero General Public License", "3", "GNU Affero General Public License", "GNU Affero General Public License")),
     ("LGPL-3.0-or-later", GNU.format("GNU Lesser General Public License", "3", "GNU Lesser General Public License", "GNU Lesser General Public License")),
 ]
+#: Digests of the canonical whole texts of long licences, as their stewards publish them. Fixed values.
+DIGESTS = [
+    ("Apache-2.0", "184d4af64a58c708bcf4cb2468396a96"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", "c969fdb4b731dadf7173c1ffbe49a117"),
+    ("GFDL-1.3", "eb6b86c0fad89753a5a36c484fa0ada2"),
+    ("GPL-1.0", "9a6d41337fa0145d93e534071bfae3f8"),
+    ("GPL-2.0", "8e4925da11f68cc625b11b0a628fdcc5"),
+    ("GPL-3.0", "5eaa767cc0a56c87c3852144458a3bf1"),
+    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a"),
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "9cdb0c94cb45abb55c616e067859d4ad"),
+    ("MPL-2.0", "db12a21e89062c14ac06f7d6aa8123d5"),
+]
 #: Spellings that mean the same: left becomes right. Fixed values.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("authorised", "authorized"), ("centre", "center"), ("favour", "favor"),
-    ("fulfil", "fulfill"), ("licence", "license"), ("licenced", "licensed"), ("noncommercial", "non commercial"), ("organisation", "organization"),
+    ("fulfil", "fulfill"), ("http", "https"), ("licence", "license"), ("licenced", "licensed"), ("noncommercial", "non commercial"), ("organisation", "organization"),
     ("organisations", "organizations"), ("per cent", "percent"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("v2", "version 2"),
     ("v3", "version 3"), ("wilful", "willful"),
 ]
@@ -85,16 +99,17 @@ def digest(text: Column) -> Column:
     return F.when(F.length(c) > 0, F.md5(c))
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+def known(spark: SparkSession, texts: list[tuple[str, str]], digests: list[tuple[str, str]]) -> DataFrame:
     df = spark.createDataFrame(texts, "license string, text string").select("license", digest(F.col("text")).alias("digest"))
-    df = df.groupBy("digest").agg(F.min("license").alias("license"))
-    return F.broadcast(df) if len(texts) <= BROADCAST_ROWS else df
+    df = df.union(spark.createDataFrame(digests, "license string, digest string"))
+    df = df.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("license").alias("license"))
+    return F.broadcast(df) if len(texts) + len(digests) <= BROADCAST_ROWS else df
 
 
-def scan(df: DataFrame, texts: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, texts: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text", digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
     """(id, digest, license of the whole text or null, line_licenses: those of its lines, distinct, comma-joined, n_license_lines)."""
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    look = known(df.sparkSession, texts)
+    look = known(df.sparkSession, texts, digests)
     whole = base.select("id", digest(F.col("text")).alias("digest")).join(look, "digest", "left")
     lines = base.where(F.lower("text").rlike(MENTION)).select("id", F.explode(F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(MENTION))).alias("line"))
     hits = lines.select("id", digest(F.col("line")).alias("digest")).join(look, "digest").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"), F.count("*").alias("n"))
@@ -112,8 +127,9 @@ def oracle_sql(table: str = "documents") -> str:
         return f"trim(replace({x}, '  ', ' '))"
 
     rows = ", ".join(f"({q(i)}, {q(t)})" for i, t in KNOWN)
+    more = ", ".join(f"({q(i)}, {q(d)})" for i, d in DIGESTS)
     return f"""
-    WITH known AS (SELECT min(license) AS license, md5({canon('t')}) AS digest FROM (VALUES {rows}) AS v(license, t) GROUP BY 2),
+    WITH known AS (SELECT min(license) AS license, digest FROM (SELECT license, md5({canon('t')}) AS digest FROM (VALUES {rows}) AS v(license, t) UNION ALL VALUES {more}) GROUP BY 2),
     whole AS (SELECT doc_id, text, nullif({canon('text')}, '') AS c FROM {table}),
     lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {table}),
     hits AS (SELECT l.doc_id, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS line_licenses, count(*) AS n
