@@ -30,6 +30,8 @@ BUCKETS = 1 << 14
 RANK = 8
 STATS = 13
 CACHE_ENTRIES = 400_000
+#: Characters of a piece: its features, and their products by factor, are in a worker's memory at once.
+PIECE_CHARS = 2_000_000
 PUNCT = re.compile(r"[^\w\s]")
 DIGIT = re.compile(r"\d")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -130,7 +132,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id, so the bound holds
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, chars=PIECE_CHARS):
             each = [features(t) for t in column(b, "text").to_pylist()]
             size = [len(a) for a, _ in each]
             flat = lambda k, kind: lists(np.concatenate([e[k] for e in each]), size, kind)
@@ -155,7 +157,7 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
         base = df.select(F.col(id_col), *keep, F.col(text_col).alias(name))
 
     def run(batches):
-        for b in pieces(batches, text=name):
+        for b in pieces(batches, chars=PIECE_CHARS, text=name):
             each = [features(t) for t in column(b, name).to_pylist()]
             size = np.fromiter((len(a) for a, _ in each), np.int64, len(each))
             at, x = (np.fromiter(chain.from_iterable(e[k] for e in each), kind, int(size.sum())) for k, kind in ((0, np.int64), (1, np.float64)))
