@@ -31,6 +31,12 @@ def test_every_known_text_is_found_whole(spark):
     assert {r["license"] for r in licenses.scan(spark.createDataFrame(other, "doc_id long, text string")).collect()} == {None}
 
 
+def test_null_ids_keep_their_lines(spark):
+    df = spark.createDataFrame([(None, "a\nlicensed under the apache license version 2.0"), (None, "b"), (1, "c")], "doc_id long, text string")
+    rows = licenses.scan(df).collect()
+    assert sorted((r["doc_id"] or 0, r["line_licenses"], r["n_license_lines"]) for r in rows) == [(0, "Apache-2.0", 1), (0, "Apache-2.0", 1), (1, "", 0)]
+
+
 def test_ties_go_to_the_first_name(spark):
     texts = [("B", "One licence text."), ("A", "one LICENSE text")]
     assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, "One license text")], "doc_id long, text string"), texts).collect()] == ["A"]

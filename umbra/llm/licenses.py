@@ -9,7 +9,7 @@ further ones as `texts` and `digests`. Texts whose canonical
 forms are equal under two licences count as the first by name.
 
 Defined cases: a null or wordless text has a null digest and no licence; repeated rows are treated
-alike; an id on several rows gets the licence lines of all of them; extra columns are dropped; empty
+alike; an id on several rows, or null, gets the licence lines of all its rows; extra columns are dropped; empty
 tables give empty results.
 """
 
@@ -113,7 +113,8 @@ def scan(df: DataFrame, texts: list[tuple[str, str]] = KNOWN, id_col: str = "doc
     whole = base.select("id", digest(F.col("text")).alias("digest")).join(look, "digest", "left")
     lines = base.where(F.lower("text").rlike(MENTION)).select("id", F.explode(F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(MENTION))).alias("line"))
     hits = lines.select("id", digest(F.col("line")).alias("digest")).join(look, "digest").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"), F.count("*").alias("n"))
-    return whole.join(hits, "id", "left").select(F.col("id").alias(id_col), "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n", F.lit(0)).alias("n_license_lines"))
+    hits = hits.withColumnRenamed("id", "hit")
+    return whole.join(hits, F.col("id").eqNullSafe(F.col("hit")), "left").select(F.col("id").alias(id_col), "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n", F.lit(0)).alias("n_license_lines"))
 
 
 def oracle_sql(table: str = "documents") -> str:
@@ -135,4 +136,4 @@ def oracle_sql(table: str = "documents") -> str:
     hits AS (SELECT l.doc_id, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS line_licenses, count(*) AS n
              FROM (SELECT doc_id, md5({canon('line')}) AS digest FROM lines WHERE regexp_matches(lower(line), '{MENTION}')) AS l JOIN known AS k USING (digest) GROUP BY 1)
     SELECT w.doc_id, md5(w.c) AS digest, k.license, coalesce(h.line_licenses, '') AS line_licenses, coalesce(h.n, 0) AS n_license_lines
-    FROM whole AS w LEFT JOIN known AS k ON k.digest = md5(w.c) LEFT JOIN hits AS h ON h.doc_id = w.doc_id"""
+    FROM whole AS w LEFT JOIN known AS k ON k.digest = md5(w.c) LEFT JOIN hits AS h ON h.doc_id IS NOT DISTINCT FROM w.doc_id"""
