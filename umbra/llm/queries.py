@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, jaccard, langid, licenses, mixing, pii, quality, topk
+from . import alignment, ann, bpe, html, jaccard, langid, licenses, mixing, packing, pii, quality, topk, whitening
 from .common import crc_fold, table
 
 
@@ -56,8 +56,24 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.Alignment(table(spark, sf_dir, "documents"), a, b).per_document()
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
+
+
+OPERATORS = (op1_ngram_jaccard, op2_license_scan, op3_ann, op4_mixing, op5_language_id, op6_pii, op7_quality, op8_bpe, op9_html, op10_exact_topk, op11_whitening, op12_alignment, op13_packing)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_ann, op4_mixing, op5_language_id, op6_pii, op7_quality, op8_bpe, op9_html, op10_exact_topk)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict:
