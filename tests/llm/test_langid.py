@@ -2,6 +2,8 @@ import itertools
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from umbra.llm import langid
@@ -49,6 +51,54 @@ def test_two_other_languages_beat_the_best_single_one():
         assert worth(model.label(np.arange(len(s)))[0]) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=len(s)))))
 
 
+def plain_grams(word):
+    """Hashed n-grams of one word, letter by letter."""
+    out, text = [], f"<{word}>"
+    for n in langid.GRAMS:
+        for i in range(len(text) - n + 1):
+            if n > 1 or 0 < i < len(text) - 1:
+                h = n
+                for c in text[i : i + n]:
+                    h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) % 2**64
+                    h ^= h >> 29
+                out.append((h >> 20) % langid.BUCKETS)
+    return out
+
+
+def test_scores_equal_their_definition():
+    """A word's score is the sum of its n-grams' log shares over the root of their number; a text's are sums over words."""
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 50, (langid.BUCKETS, 3)).astype(float)
+    model = langid.Model(["a", "b", "c"], counts, np.ones((len(langid.NAMES), 3)))
+    words = ["a", "über", "кошка", "word", "漢字", "x" * 50]
+    at, own = langid.grams(words)
+    for i, w in enumerate(words):
+        assert sorted(at[own == i].tolist()) == sorted(plain_grams(w))
+    names, scores = model.predict([" ".join(words), "word word"])
+    log = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * langid.BUCKETS))
+    each = {w: log[plain_grams(w)].sum(0) / np.sqrt(len(plain_grams(w))) for w in words}
+    assert all(np.allclose(model.scores[model.at[w]], each[w], atol=1e-2) for w in words)
+    total = 2 * each["word"]
+    best = int(total.argmax())
+    assert names[1] == "abc"[best] and abs(scores[1] - max(0.5, 1 / np.exp(total - total[best]).sum())) < 1e-3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("aé²x_3 \u0301Ⅷहि"), st.characters(codec="utf-8")), max_size=20))
+def test_the_fast_pattern_finds_the_same_words(text):
+    assert langid.word_pattern(text).findall(text) == langid.WORD.findall(text)
+
+
+def test_rows_without_an_id(spark):
+    from umbra.llm import queries
+    from umbra.llm.common import held_out
+
+    df = spark.createDataFrame([(None, "the dog", "en"), (1, "der hund", "de")], "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.learn(df), keep=[held_out().alias("held_out")]).collect()
+    assert [r["held_out"] for r in got if r["doc_id"] is None] == [False] and len(got) == 2
+    assert queries.held_out is held_out
+
+
 def test_words_are_letters_and_their_marks():
     """Numerals are no letters; marks belong to their letters; the script is that of most letters."""
     assert langid.WORD.findall("² ½ ① Ⅷ 3 _ ٣") == []

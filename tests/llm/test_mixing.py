@@ -93,17 +93,19 @@ def test_flow_leaves_a_shared_text_to_one_source():
 
 
 def test_overlapping_sources(spark, monkeypatch):
-    """Texts on rows of several sources, with and without the broadcast, and where only some patterns are routed."""
+    """Texts on rows of several sources, with and without the broadcast; too many cells are refused, none is left out."""
     data = [(i, f"unique {i} " + "w " * (i % 9), f"s{i % 4}") for i in range(400)]
     data += [(1000 + i, f"shared {i // 3} " + "v " * 8, f"s{(i // 3 + (i % 3) ** 2) % 4}") for i in range(300)]
     data += [(2000 + i, "hot text", "s0" if i % 5 else None) for i in range(200)]
     df = spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, source string, size int")
     docs = [(i, s, len(t.split())) for i, t, s in data]
-    for texts, patterns in ((200_000, 20_000), (0, 20_000), (200_000, 2)):
+    for texts in (200_000, 0):
         monkeypatch.setattr(mixing, "BROADCAST_TEXTS", texts)
-        monkeypatch.setattr(mixing, "MAX_PATTERNS", patterns)
         target, taken = check(mixing.mix(df, F.col("source"), mixing.words(F.col("text")), F.md5("text")).collect(), docs)
         assert all(-12 < taken[s] - target[s] <= 1 for s in target)
+    monkeypatch.setattr(mixing, "MAX_CELLS", 6)
+    with pytest.raises(ValueError, match="more than 6 cells"):
+        mixing.mix(df, F.col("source"), mixing.words(F.col("text")), F.md5("text"))
     kept = mixing.mix(df, F.col("source"), mixing.words(F.col("text")), keep=("text", "size"))
     assert kept.columns == ["doc_id", "text", "size", "size", "source_size", "target", "taken"] and kept.count() == len(data)
 

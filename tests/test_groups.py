@@ -96,5 +96,50 @@ def test_plans(spark):
     for name in ("f1_class_size", "g2_k_anonymous_release", "e13_suppress_cells", "e15_minmax", "g8_t_closeness"):
         text = plan(known[name](spark, SF))
         assert "Window" not in text and "CartesianProduct" not in text, name
-    text = plan(utility.link(spark.range(100).withColumn("s", F.col("id").cast("string")), "id", "s", 2, 4, 64, 2))
+    assert "percentile" not in plan(known["b16_percentile"](spark, SF))
+    assert "NestedLoop" not in plan(known["g4_mondrian"](spark, SF))
+    text = plan(utility.link(spark.range(100).withColumn("s", F.col("id").cast("string")), "id", "s", 2, 4, 64, 2, b"k"))
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_ordered_t_closeness_of_many_values(spark):
+    """Classes that hold few, many, the least and the greatest of 3000 values; ties of shares."""
+    rows = [(i, "even" if i % 2 else "odd", i // 2 % 1500) for i in range(3000)] + [(i, "low", i % 3) for i in range(400)] + [(i, "top", 2999) for i in range(50)] + [(i, None, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, g string, v int")
+    values = sorted({r[2] for r in rows}, key=lambda v: (v is not None, v or 0))
+    at = {v: i for i, v in enumerate(values)}
+
+    def upto(own):
+        counts = [0] * len(values)
+        for r in own:
+            counts[at[r[2]]] += 1
+        return [sum(counts[: i + 1]) / len(own) for i in range(len(values))]
+
+    q = upto(rows)
+    for r in risk.t_closeness(df, ["g"], "v", True).collect():
+        own = upto([x for x in rows if x[1] == r["g"]])
+        assert abs(r["t"] - sum(abs(a - b) for a, b in zip(own, q, strict=True)) / (len(values) - 1)) < 1e-9
+
+
+def test_quantiles_of_groups(spark):
+    rows, df = hot(spark)
+    df = df.union(spark.createDataFrame([(-1, "none", None, 0)], df.schema))
+    got = {r["g"]: r["m"] for r in groups.grouped_quantiles(df, ["g"], "v", 0.37, "m").collect()}
+    for g in (None, "b", "single"):
+        own = sorted(r[2] for r in rows if r[1] == g and r[2] is not None)
+        at = (len(own) - 1) * 0.37
+        low = int(at)
+        assert abs(got[g] - (own[low] + (own[min(low + 1, len(own) - 1)] - own[low]) * (at - low))) < 1e-9
+    assert got["none"] is None and len(got) == 4
+    assert groups.grouped_quantiles(df.limit(0), ["g"], "v", 0.5, "m").count() == 0
+
+
+def test_journalist_risk(spark):
+    population = spark.createDataFrame([(x,) for x in ["a"] * 4 + ["b"] * 2 + ["c", "d", None, None]], "g string")
+    sample = spark.createDataFrame([(x,) for x in ["a", "a", "b", "c", None, "zz"]], "g string")
+    got = risk.journalist_risk(sample, population, ["g"]).first()
+    # risks: a 1/4 twice, b 1/2, c 1, null 1/2, zz unknown: 1
+    assert (got["max_risk"], got["n_unique"], got["n_population_unique"], got["n_unknown"]) == (1.0, 4, 1, 1)
+    assert abs(got["avg_risk"] - (0.5 + 0.5 + 1 + 0.5 + 1) / 6) < 1e-12
+    none = risk.journalist_risk(sample.limit(0), population, ["g"]).first()
+    assert none["max_risk"] is None and none["n_unique"] == 0

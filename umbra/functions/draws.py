@@ -12,7 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Stands for a null key, so that (a, null) and (null, a) differ.
 NULL = "\\N"
@@ -40,6 +40,29 @@ def fresh(salt: str, *keys) -> Column:
     return udf(F.concat(F.lit(salt), text(*keys)))
 
 
+def uniform_many(salt: str, size: Column | int, *keys) -> Column:
+    """An array of uniform(salt, *keys, i), i from 0."""
+    n = size if isinstance(size, Column) else F.lit(size)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: uniform(salt, *keys, i))).otherwise(F.array().cast("array<double>"))
+
+
+def _secure_many(size: pd.Series) -> pd.Series:
+    draws = _secure(pd.Series(range(int(size.sum()))))
+    ends = size.astype(int).cumsum()
+    return pd.Series([draws.iloc[e - n : e].tolist() for e, n in zip(ends, size.astype(int), strict=True)])
+
+
+def fresh_many(salt: str, size: Column | int, *keys) -> Column:
+    """An array of draws from the operating system; put it into a column first, as each use draws."""
+    udf = F.pandas_udf(_secure_many, ArrayType(DoubleType())).asNondeterministic()
+    return udf(F.coalesce(size if isinstance(size, Column) else F.lit(size), F.lit(0)))
+
+
+def many(draw):
+    """The form of `uniform` or `fresh` that gives arrays."""
+    return {uniform: uniform_many, fresh: fresh_many}[draw]
+
+
 def laplace(u: Column, scale) -> Column:
     c = u - 0.5
     return F.signum(c) * -scale * F.log(1 - 2 * F.abs(c))

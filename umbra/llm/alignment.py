@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import SPACE
-from .chunks import Chunks, Ragged, expand, sums
+from .chunks import Chunks, Ragged, byte_letters, expand, sums
 from .common import column, lists, pieces, stash
 
 #: Distinct chunks, and groups, that a worker keeps; beyond, the rarer half of the chunks goes, and a new dictionary begins.
@@ -43,13 +43,6 @@ CACHE_CHUNKS, DICTIONARY = 300_000, 400_000
 BLOCK_CHARS, SHARED_CHARS = 3_000_000, 24_000_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 for itself, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 def piece_bytes(piece: str) -> bytes:
     if re.fullmatch("<0x[0-9A-F]{2}>", piece):
         return bytes([int(piece[3:5], 16)])

@@ -5,6 +5,14 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
 def expand(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -62,10 +70,23 @@ class Chunks(dict):
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(size.sum()))
         new, self.new = self.new, []
+        self._count(at)
+        return at, size, new
+
+    def number_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """As number(), of a column of lists of strings without nulls: each distinct one of the column is looked up once."""
+        own = column.flatten().dictionary_encode()
+        distinct = own.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
+        at = found[np.asarray(own.indices)]
+        new, self.new = self.new, []
+        self._count(at)
+        return at, np.diff(np.asarray(column.offsets)).astype(np.int64), new
+
+    def _count(self, at: np.ndarray) -> None:
         uses = np.bincount(at, minlength=len(self))
         uses[: len(self.uses)] += self.uses
         self.uses = uses
-        return at, size, new
 
     def shrink(self) -> np.ndarray | None:
         """To be called between blocks: the old numbers of the chunks that are kept, in their new order; None if all are."""

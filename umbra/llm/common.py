@@ -19,6 +19,11 @@ def crc_fold(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5
 
 
+def held_out(col: str = "doc_id"):
+    """Whether the row is in fold 0; a row without an id is not."""
+    return F.coalesce(crc_fold(col) == 0, F.lit(False))
+
+
 def lists(values: np.ndarray, lengths, kind: pa.DataType) -> pa.ListArray:
     """A list column from flat values and the length of each row."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

@@ -16,8 +16,10 @@ verified inside one task, which returns each document's number of links and enou
 them, never the pairs. No bucket is capped and no link is lost between different texts beyond the
 error of the bands (a pair at similarity 0.8 misses all bands with probability 3e-6) and TOLERANCE.
 
-Texts move only for documents of candidate pairs that pruning left, and of large buckets: there once for
-every chunk that the bucket has, so a bucket of n documents moves n * n / `CHUNK` texts for n * n / 2 pairs.
+A large bucket of the same classes as one of an earlier band is skipped: its pairs agree on that band too.
+
+Texts move only for documents of candidate pairs that pruning left, once to each of their small buckets, 24 at
+most, and of large buckets (by rows or by characters): there once for every chunk that the bucket has, so a bucket of n documents moves n * n / `CHUNK` texts for n * n / 2 pairs.
 
 Defined cases: documents without a word (null and empty texts too) have no shingles, no links and a
 class of their own; rows that share an id are documents of their own, copies if their words are the same;
@@ -226,26 +228,31 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def groups(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(id, row: hash of the text, group: a number of its linked documents or null without words, class_id, copy_id, n_links)."""
+    """(id, row: hash of the text, group: a digest that names its linked documents, or null without words, class_id, copy_id, n_links)."""
     least = least_matches(threshold)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
     docs = stash(sign(texts.select("id", "row", "text")), "signed")
     known = docs.where(F.col("words").isNotNull())
     copies = small(stash(known.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies"))
-    # A class is numbered by its words' digest. One signed row stands for it; of copies, any.
-    c = F.xxhash64("words").alias("c")
+    # A class is known by its words' digest, of 128 bits, and numbered for the join. One signed row stands for it; of copies, any.
     several = known.join(copies, "words").dropDuplicates(["words"])
     reps = known.join(copies, "words", "left_anti").withColumns({"rep": F.col("id"), "n": F.lit(1).cast("long")}).unionByName(several)
-    reps = stash(reps.select(c, "id", "row", "rep", "n", "chars", "sig", "keys"), "reps")
+    reps = stash(reps.select(F.monotonically_increasing_id().alias("c"), "words", "id", "row", "rep", "n", "chars", "sig", "keys"), "reps")
 
     buckets = reps.select("c", "chars", F.posexplode("keys").alias("band", "key")).select("c", "chars", F.col("band").cast("int").alias("band"), "key")
-    sizes = stash(buckets.groupBy("band", "key").agg(F.count("*").alias("many"), F.sum("chars").alias("chars")).where("many > 1"), "sizes")
+    sizes = buckets.groupBy("band", "key").agg(F.count("*").alias("many"), F.sum("chars").alias("chars"), *[F.bit_xor(F.xxhash64("c", F.lit(i))).alias(f"set{i}") for i in (0, 1)]).where("many > 1")
+    sizes = stash(sizes, "sizes")
+    # A large bucket with the same classes as one of an earlier band adds nothing: its pairs agree on that band.
+    again = sizes.where(F.col("many") > SMALL).groupBy("many", "set0", "set1").agg(F.min("band").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    first = sizes.join(small(stash(again, "again")), ["many", "set0", "set1"], "left").where("first is null or first = band")
+    sizes = first.select("band", "key", "many", "chars")
     placed = stash(buckets.drop("chars").join(sizes, ["band", "key"]), "buckets")
 
     # Small buckets: pairs, once each, with the first band on which a small bucket holds both.
-    listed = placed.where(F.col("many") <= SMALL).groupBy("band", "key").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    both = listed.select("band", F.posexplode("cs").alias("i", "a"), "cs").select("band", "a", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("b"))
-    both = both.groupBy("a", "b").agg(F.min("band").alias("band"))
+    few = (F.col("many") <= SMALL) & (F.col("chars") <= CHUNK_CHARS)
+    listed = placed.where(few).groupBy("band", "key").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    both = listed.select("band", "key", F.posexplode("cs").alias("i", "a"), "cs").select("band", "key", "a", F.explode(F.slice("cs", F.col("i") + 2, F.size("cs"))).alias("b"))
+    both = both.groupBy("a", "b").agg(F.min(F.struct("band", "key")).alias("at")).select("a", "b", "at.*")
     sig = reps.select("c", "sig")
     both = both.join(sig.withColumnsRenamed({"c": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"c": "b", "sig": "sb"}), "b")
 
@@ -258,32 +265,47 @@ def groups(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataF
                 keep = agree.argmax(1) == np.asarray(column(b, "band"))
                 for i, need in enumerate(least):
                     keep &= same[:, : (i + 1) * STEP].sum(1) >= need
-                yield pa.RecordBatch.from_arrays([column(b, k).filter(pa.array(keep)) for k in ("a", "b")], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([column(b, k).filter(pa.array(keep)) for k in ("a", "b", "band", "key")], names=["a", "b", "band", "key"])
 
-    likely = stash(both.mapInArrow(prune, "a long, b long"), "likely")
-    wanted = likely.select(F.col("a").alias("c")).union(likely.select("b")).union(placed.where(F.col("many") > SMALL).select("c")).distinct()
+    likely = stash(both.mapInArrow(prune, "a long, b long, band int, key long"), "likely")
+    wanted = likely.select(F.col("a").alias("c")).union(likely.select("b")).union(placed.where(~few).select("c")).distinct()
     at = (F.xxhash64("id", F.lit(1)).alias("rid"), "row")  # null-safe
     wanted = stash(reps.join(wanted, "c").select("c", "n", *at), "wanted")
     body = stash(texts.select(*at, "text").join(small(wanted), ["rid", "row"]).dropDuplicates(["c"]).select("c", "n", "text"), "bodies")
-    pairs = likely.join(body.withColumnsRenamed({"c": "a", "n": "na", "text": "ta"}), "a").join(body.withColumnsRenamed({"c": "b", "n": "nb", "text": "tb"}), "b")
+    # A text goes once to each small bucket where it has a pair left, whatever its pairs there, and meets them in one run of rows.
+    sides = likely.select("band", "key", F.col("a").alias("c"), F.array("b").alias("with")).union(likely.select("band", "key", "b", F.array().cast("array<long>")))
+    sides = sides.groupBy("band", "key", "c").agg(F.flatten(F.collect_list("with")).alias("with")).join(body, "c")
+    sides = sides.select("band", "key", "c", "n", "with", "text").repartition("band", "key").sortWithinPartitions("band", "key")
 
     def verify(batches):
-        last, own = None, None
+        place, held, asked = None, {}, {}
+
+        def settle() -> pa.RecordBatch:
+            rows = []
+            for one, others in asked.items():
+                (own, n), sets = held[one], [held[x][0] for x in others]
+                rows += [(one, x, n, held[x][1]) for x, same in zip(others, jaccard(own, sets).tolist(), strict=True) if same >= threshold]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["a", "b", "na", "nb"])
+
         for batch in batches:
-            for b in pieces([batch], text="tb"):
-                keep = []
-                for i, ta, tb in zip(column(b, "a").to_pylist(), column(b, "ta").to_pylist(), column(b, "tb").to_pylist(), strict=True):
-                    if i != last:
-                        last, own = i, np.unique(shingles(word_codes(ta)))
-                    keep.append(bool(jaccard(own, [np.unique(shingles(word_codes(tb)))])[0] >= threshold))
-                yield pa.RecordBatch.from_arrays([column(b, k).filter(pa.array(keep, pa.bool_())) for k in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
+            for b in pieces([batch]):
+                for band, key, c, n, others, text in zip(*(column(b, k).to_pylist() for k in ("band", "key", "c", "n", "with", "text")), strict=True):
+                    if (band, key) != place:
+                        if asked:
+                            yield settle()
+                        place, held, asked = (band, key), {}, {}
+                    held[c] = np.unique(shingles(word_codes(text))), n
+                    if others:
+                        asked[c] = others
+        if asked:
+            yield settle()
         _codes.clear()  # a reused worker's next task may be another operator's
 
-    linked = stash(pairs.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(verify, "a long, b long, na long, nb long"), "linked")
+    linked = stash(sides.mapInArrow(verify, "a long, b long, na long, nb long"), "linked")
 
     # Large buckets: all pairs of chunks, each inside a task.
     cuts = F.greatest(F.ceil(F.col("many") / CHUNK), F.ceil(F.col("chars") / CHUNK_CHARS)).cast("int")
-    large = placed.where(F.col("many") > SMALL).withColumn("k", F.least(cuts, F.col("many").cast("int"))).withColumn("at", F.pmod(F.xxhash64("c"), "k").cast("int"))
+    large = placed.where(~few).withColumn("k", F.least(cuts, F.col("many").cast("int"))).withColumn("at", F.pmod(F.xxhash64("c"), "k").cast("int"))
     large = large.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("c", "band", "key", "at", F.least("at", "to").alias("x"), F.greatest("at", "to").alias("y"))
     large = large.join(sig, "c").join(body, "c")
 
@@ -326,10 +348,12 @@ def groups(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataF
 
     links = linked.select(F.col("a").alias("c"), F.col("nb").alias("links")).union(linked.select("b", "na")).union(within.select("a", "links")).groupBy("c").agg(F.sum("links").alias("links"))
     roots = components(linked.select("a", "b").union(within.select("a", "b")))
-    found = stash(links.join(roots, F.col("c") == F.col("node"), "left").select("c", "links", F.coalesce("root", "c").alias("group")).join(reps.select("c", "rep"), "c"), "found")
-    found = found.join(found.groupBy("group").agg(F.min("rep").alias("class_id")), "group").select("c", "links", "group", "class_id")
-    member = known.select("id", "row", "words", c).join(copies, "words", "left").join(small(stash(found, "linked-classes")), "c", "left")
+    found = stash(links.join(roots, F.col("c") == F.col("node"), "left").select("c", "links", F.coalesce("root", "c").alias("root")).join(reps.select("c", "words", "rep"), "c"), "found")
+    # A group is named by the words' digest of its root, which is one of its classes.
+    heads = found.groupBy("root").agg(F.min("rep").alias("class_id"), F.max(F.when(F.col("c") == F.col("root"), F.col("words"))).alias("group"))
+    found = found.join(heads, "root").select("words", "links", "group", "class_id")
+    member = known.select("id", "row", "words").join(copies, "words", "left").join(small(stash(found, "linked-classes")), "words", "left")
     copy = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("rep"))
-    member = member.select("id", "row", F.coalesce("group", "c").alias("group"), F.when(F.col("links").isNull(), copy).otherwise(F.col("class_id")).alias("class_id"), copy.alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("n_links"))
-    rest = docs.where(F.col("words").isNull()).select("id", "row", F.lit(None).cast("long").alias("group"), F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    member = member.select("id", "row", F.coalesce("group", "words").alias("group"), F.when(F.col("links").isNull(), copy).otherwise(F.col("class_id")).alias("class_id"), copy.alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("n_links"))
+    rest = docs.where(F.col("words").isNull()).select("id", "row", F.lit(None).cast("binary").alias("group"), F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return member.unionByName(rest)

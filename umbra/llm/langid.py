@@ -10,7 +10,8 @@ Learning is naive Bayes on counts from a bounded sample of labelled rows: at mos
 `sample_docs` documents a language (documented bound), chosen by a hash of the id; their whole texts
 count. The model is a table of `BUCKETS` x languages.
 
-Defined cases: a null text or one without a letter is `und` with score 0; words of a script that no
+Defined cases: a row with a null id is predicted like any other, and held out by no fold; a null text or one
+without a letter is `und` with score 0; words of a script that no
 learned language uses may be any language; ties go to the language first in order; repeated rows are
 treated alike; extra columns are dropped; with nothing to learn from, every text is `und`; empty
 tables give empty results.
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Seen
 from .common import column, pieces
 
 BUCKETS = 1 << 15
@@ -38,9 +40,9 @@ CACHE_ENTRIES = 400_000
 MAX_LANGS = 1000
 
 
-def ranges(kinds: tuple[str, ...]) -> str:
-    """Characters of these Unicode categories as the inside of a character class."""
-    at = [i for span in (range(0x20000), range(0xE0000, 0xE0200)) for i in span if unicodedata.category(chr(i)) in kinds]
+def ranges(kinds: tuple[str, ...], end: int = 0xE0200) -> str:
+    """Characters of these Unicode categories, below `end`, as the inside of a character class."""
+    at = [i for span in (range(0x20000), range(0xE0000, 0xE0200)) for i in span if i < end and unicodedata.category(chr(i)) in kinds]
     first = [i for i, before in zip(at, [-2, *at], strict=False) if i != before + 1]
     last = [i for i, after in zip(at, [*at[1:], -2], strict=True) if i + 1 != after]
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(first, last, strict=True))
@@ -49,6 +51,16 @@ def ranges(kinds: tuple[str, ...]) -> str:
 _LETTER = rf"[^\W\d_{ranges(('No', 'Nl'))}]"
 _MARK = f"[{ranges(('Mn', 'Mc', 'Me'))}]"
 WORD = re.compile(f"{_LETTER}+(?:{_MARK}+{_LETTER}*)*")
+#: The same words, faster, in a text without a mark or a numeral that is no digit.
+PLAIN_WORD = re.compile(r"[^\W\d_]+")
+ODD = re.compile(f"[{ranges(('No', 'Nl', 'Mn', 'Mc', 'Me'), 0x10000)}\U00010000-\U0010ffff]")
+
+
+def word_pattern(text: str) -> re.Pattern:
+    """What finds a text's words."""
+    return PLAIN_WORD if text.isascii() or not ODD.search(text) else WORD
+
+
 #: Script ranges by first code point. Fixed values.
 SCRIPTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Other"), (0x0900, "Devanagari"),
@@ -101,27 +113,19 @@ class Model:
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.new: list[str] = []
+        self.at = Seen()
         self.scores = np.zeros((0, len(self.langs)), np.float32)
 
-    def number(self, word: str) -> int:
-        i = self.at.get(word)
-        if i is None:
-            i = self.at[word] = len(self.at)
-            self.new.append(word)
-        return i
-
     def score_new(self) -> None:
-        if not self.new:
+        new, self.at.new = self.at.new, []
+        if not new:
             return
-        at, own = grams(self.new)
-        n = len(self.new)
+        at, own = grams(new)
+        n = len(new)
         size = np.bincount(own, minlength=n)
         s = np.column_stack([np.bincount(own, self.log[at, k], n) for k in range(len(self.langs))]) / np.sqrt(size)[:, None]
-        s[~self.allowed[np.fromiter(map(script, self.new), np.int64, n)]] = -1e4
+        s[~self.allowed[np.fromiter(map(script, new), np.int64, n)]] = -1e4
         self.scores = np.concatenate([self.scores, s.astype(np.float32)])
-        self.new = []
 
     def label(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language of each word (Viterbi), and each language's total score."""
@@ -163,7 +167,7 @@ class Model:
         """Prediction, score and (start, end, language) spans in code points of each text."""
         if len(self.at) > CACHE_ENTRIES:
             self._forget()
-        found = [[(m.start(), m.end(), self.number(m[0].lower())) for m in WORD.finditer(t)] if t and self.langs else [] for t in texts]
+        found = [[(m.start(), m.end(), self.at[m[0].lower()]) for m in word_pattern(t).finditer(t)] if t and self.langs else [] for t in texts]
         self.score_new()
         out = []
         for ws in found:
@@ -188,11 +192,12 @@ class Model:
         """As spans(), without offsets."""
         if len(self.at) > CACHE_ENTRIES:
             self._forget()
-        at, number = self.at, self.number
+        number = self.at.__getitem__
         found = []
         for t in texts:
-            ws = WORD.findall(t.lower()) if t and self.langs else []
-            found.append((np.fromiter((at[w] if w in at else number(w) for w in ws), np.int64, len(ws)), np.fromiter(map(len, ws), np.int64, len(ws))))
+            low = t.lower() if t and self.langs else ""
+            ws = word_pattern(low).findall(low)
+            found.append((np.fromiter(map(number, ws), np.int64, len(ws)), np.fromiter(map(len, ws), np.int64, len(ws))))
         self.score_new()
         names, scores = [], []
         for ws, letters in found:
@@ -225,7 +230,8 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             bags: dict[str, dict[str, int]] = {}
             for text, lang in zip(column(b, "text").to_pylist(), column(b, "lang").to_pylist(), strict=True):
                 bag = bags.setdefault(lang, {})
-                for w in WORD.findall(text.lower()):
+                low = text.lower()
+                for w in word_pattern(low).findall(low):
                     bag[w] = bag.get(w, 0) + 1
             for lang, bag in bags.items():
                 if bag:

@@ -13,10 +13,9 @@ order of a hash of id and seed, each that still fits. So a source ends with fewe
 smallest of these documents left over has.
 
 The flow sees one row per cell, never documents. It is solved by the primal-dual method: a shortest-path
-search for each distinct cost of a path, and all paths of that cost at once. Of patterns with several sources,
-the `MAX_PATTERNS` with most words are routed as such; documents of others count as their own source's
-alone, which changes where repetitions fall, not that targets are met. More than `MAX_SOURCES` sources
-raise an error.
+search for each distinct cost of a path, and all paths of that cost at once. Cells are counted before they go to
+the driver: more than `MAX_CELLS` raise an error, whose remedy is to mix coarser sources, since no part of them may be left out of the
+flow. Patterns are numbered, so a text that very many sources hold makes no long keys.
 
 The selection goes in rounds: of the documents no larger than what is missing, all before the first that goes
 beyond it; then the same after that one, until none fits. A round's running sum is taken by hash buckets and
@@ -37,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-MAX_PATTERNS, MAX_SOURCES = 20_000, 200_000
+#: Cells that the driver may get: one for each source, and one more for each source of each pattern of several.
+MAX_CELLS = 500_000
 #: Texts that several sources hold are broadcast up to this many; beyond, they are joined.
 BROADCAST_TEXTS = 200_000
 BUCKETS = 4096
@@ -159,20 +159,18 @@ def mix(df: DataFrame, source: Column, size: Column, same: Column | None = None,
     docs = df.select(F.col(id_col).alias("id"), size.alias("size"), source.alias("source"), own.alias("own"), (F.lit(None) if same is None else same).cast("string").alias("same"), key.alias("key"), F.monotonically_increasing_id().alias("row"), *kept)
     docs = stash(docs, "mix")  # `row` is written once
     shared = docs.where("same is not null and size > 0").groupBy("same").agg(F.collect_set("own").alias("in")).where(F.size("in") > 1)
-    shared = stash(shared.select("same", F.array_join(F.array_sort("in"), "|").alias("pattern")), "mix-shared")
-    many = shared.groupBy("pattern").agg(F.count("*").alias("n"))
-    if many.limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
-        heavy = docs.join(shared, "same").groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "pattern").limit(MAX_PATTERNS).select("pattern")
-        shared = stash(shared.join(F.broadcast(heavy), "pattern", "left_semi").select("same", "pattern"), "mix-shared")
+    shared = stash(shared.select("same", F.md5(F.array_join(F.array_sort("in"), "|")).alias("digest")), "mix-shared")
+    number = stash(shared.select("digest").distinct().select("digest", F.monotonically_increasing_id().cast("string").alias("pattern")), "mix-patterns")
+    shared = stash(shared.join(number, "digest").select("same", "pattern"), "mix-shared")
     if shared.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         shared = F.broadcast(shared)
     docs = docs.join(shared, "same", "left").withColumn("pattern", F.coalesce("pattern", "own")).drop("same")
     light = stash(docs.select("own", "pattern", "source", "size", "id", "key", "row"), "mix-cells")
 
-    rows = light.groupBy("pattern", "own").agg(F.first("source").alias("source"), F.sum("size").alias("size"))
-    if rows.select("own").distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = rows.collect()  # a row for each cell: MAX_PATTERNS patterns of several sources at most, and one for each source
+    rows = stash(light.groupBy("pattern", "own").agg(F.first("source").alias("source"), F.sum("size").alias("size")), "mix-rows")
+    if rows.limit(MAX_CELLS + 1).count() > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells of pattern and source: mix coarser sources")
+    rows = rows.collect()
     cells = {(r["pattern"], r["own"]): r["size"] for r in rows}
     name = {r["own"]: r["source"] for r in rows}
     sizes = dict.fromkeys(name, 0)

@@ -9,7 +9,7 @@ own; there are EPOCHS of this. The best island's packing counts. A block leaves
 pieces of those go to new blocks, with those of other blocks, until a round saves no sequence.
 
 A packing is better with fewer bins, then with the larger sum of squared fills. An island stops early where no
-packing can be better. Islands draw from seeds made of round, block and island.
+packing can have fewer bins. Islands draw from seeds made of round, block and island.
 
 Defined cases: a null text is the empty one, which is its end token alone; a long text is cut into full pieces and a
 last one that may be shorter; rows that share an id or a text are documents of their own; an empty table gives an
@@ -20,8 +20,10 @@ them by default.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import reduce
@@ -29,15 +31,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Chunks, Ragged, expand, sums
+from .chunks import Chunks, Ragged, byte_letters, expand, sums
 from .common import column, lists, stash
 from .common import pieces as cut
 
-#: Distinct words that a worker keeps; beyond, the rarer half goes.
-CACHE_WORDS = 500_000
+#: Distinct words, and parts of words, that a worker keeps; beyond, the rarer half of the words goes, and all parts.
+CACHE_WORDS = 400_000
 #: Characters of a block of texts: their ids are in a worker's memory at once.
 BLOCK_CHARS = 4_000_000
 #: Pieces that are packed together, islands that do so, and what each does between migrations.
@@ -48,26 +52,72 @@ FILLED = 0.99
 ROUNDS = 6
 
 
+#: Words of these letters need no look at Unicode's tables, of which libraries have different editions.
+PLAIN = re.compile("[!-~\xa1-\u024f]*").fullmatch
+#: What the tokenizer's file splits words by.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+
+
+class Parts(dict):
+    """Ids by part, in lower case."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, {b: c for c, b in byte_letters().items()}
+
+    def __missing__(self, part: str) -> list[int]:
+        found = self.model.tokenize(part if part.isascii() else "".join([self.letters[i] for i in part.encode()]))
+        self[part] = ids = [t.id for t in found]
+        return ids
+
+
 class Words:
-    """Encodes texts by a tokenizer that drops white space, so that what stands between blanks is independent."""
+    """Encodes texts by a tokenizer that drops white space, so that what stands between blanks is independent.
+
+    Words of plain letters are split here and handed to the tokenizer's model part by part, each distinct part once;
+    all others go through the whole tokenizer.
+    """
 
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
-        self.chunks, self.ids = Chunks(CACHE_WORDS), Ragged()
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        spec = json.loads(model)
+        self.plain = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == SPLIT.__self__.pattern if spec["pre_tokenizer"]["type"] == "Sequence" else False
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
+        self.parts, self.chunks, self.ids = Parts(self.tokenizer.model), Chunks(CACHE_WORDS), Ragged()
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word."""
+        if not self.plain:
+            return self._whole(words)
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        other = [w for w in words if not PLAIN(w) or self.special(w)]
+        whole, parts = dict(zip(other, self._whole(other), strict=True)), self.parts
+        out = []
+        for w in words:
+            if w in whole:
+                out.append(whole[w])
+                continue
+            low = w.lower()
+            out.append(parts[low] if low.isalpha() else [i for x in SPLIT(low) for i in parts[x]])
+        return out
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text."""
         kept = self.chunks.shrink()
         if kept is not None:
             values, size = self.ids.take(kept)
             self.ids.clear()
             self.ids.add(values, size)
-        at, size, new = self.chunks.number([t.replace("\n", " ").split(" ") if t else [] for t in texts])
+        split = pc.split_pattern(pc.replace_substring((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null(""), "\n", " "), " ")
+        at, size, new = self.chunks.number_column(split)
         if new:
-            own = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            own = self._ids(new)
             n = np.fromiter(map(len, own), np.int64, len(own))
             self.ids.add(np.fromiter(chain.from_iterable(own), np.int32, int(n.sum())), n)
         ids, each = self.ids.take(at)
@@ -94,7 +144,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     def run(batches):
         encoder = words(shared.value)
         for b in cut(batches, chars=BLOCK_CHARS):
-            found, size = encoder.encode(column(b, "text").to_pylist())
+            found, size = encoder.encode(column(b, "text"))
             size = size + 1
             ends = np.cumsum(size)
             flat = np.full(int(ends[-1]), end_id, "<i4")
@@ -116,67 +166,73 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     return out.withColumnsRenamed({"id": id_col, "last": last.split()[0]})
 
 
-# A packing is a list of bins, a bin a list of the pieces' numbers.
+# A packing is a list of bins, a bin a list of the pieces' numbers, and a list of the bins' fills.
+Packing = tuple[list[list[int]], list[int]]
 
 
-def best_fit(order: list[int], sizes: list[int], capacity: int, bins: list[list[int]]) -> list[list[int]]:
+def best_fit(order: list[int], sizes: list[int], capacity: int, packing: Packing = ((), ())) -> Packing:
     """The pieces, in this order, each into the fullest bin that still takes it, else into a new one."""
-    room = sorted((free, i) for i, b in enumerate(bins) if (free := capacity - sum(map(sizes.__getitem__, b))) > 0)
+    bins, fills = [list(b) for b in packing[0]], list(packing[1])
+    room = sorted((capacity - f, i) for i, f in enumerate(fills) if f < capacity)
     for x in order:
-        at = bisect_left(room, (sizes[x],))
+        size = sizes[x]
+        at = bisect_left(room, (size,))
         if at < len(room):
             free, i = room.pop(at)
             bins[i].append(x)
+            fills[i] += size
         else:
             free, i = capacity, len(bins)
             bins.append([x])
-        if free > sizes[x]:
-            insort(room, (free - sizes[x], i))
-    return bins
+            fills.append(size)
+        if free > size:
+            insort(room, (free - size, i))
+    return bins, fills
 
 
-def fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, int]:
+def fitness(packing: Packing) -> tuple[int, int]:
     """Fewer bins, then more in the fuller ones: the larger the better."""
-    return -len(bins), sum(sum(map(sizes.__getitem__, b)) ** 2 for b in bins)
+    return -len(packing[1]), sum([f * f for f in packing[1]])
 
 
-def cross(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, draw: random.Random) -> list[list[int]]:
+def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, draw: random.Random) -> Packing:
     """Well-filled bins of b, then a's bins without a piece of those, then the pieces left over by best fit."""
-    filled = sorted(range(len(b)), key=lambda i: -sum(map(sizes.__getitem__, b[i])))[: max(1, len(b) * 3 // 4)]
-    given = [b[i] for i in filled if draw.random() < 0.5] or [b[filled[0]]]
-    taken = set(chain.from_iterable(given))
-    kept = [x for x in a if taken.isdisjoint(x)]
-    inside = taken.union(*kept) if kept else taken
-    loose = sorted((x for x in range(len(sizes)) if x not in inside), key=lambda x: (-sizes[x], x))
-    return best_fit(loose, sizes, capacity, [list(x) for x in chain(given, kept)])
+    filled = sorted(range(len(b[1])), key=b[1].__getitem__, reverse=True)[: max(1, len(b[1]) * 3 // 4)]
+    given = [i for i in filled if draw.random() < 0.5] or filled[:1]
+    taken = set(chain.from_iterable(b[0][i] for i in given))
+    kept = [i for i, x in enumerate(a[0]) if taken.isdisjoint(x)]
+    kept_set = set(kept)
+    loose = [x for i, own in enumerate(a[0]) if i not in kept_set for x in own if x not in taken]
+    loose.sort(key=lambda x: (-sizes[x], x))
+    return best_fit(loose, sizes, capacity, ([b[0][i] for i in given] + [a[0][i] for i in kept], [b[1][i] for i in given] + [a[1][i] for i in kept]))
 
 
-def shaken(bins: list[list[int]], sizes: list[int], capacity: int, draw: random.Random) -> list[list[int]]:
+def shaken(packing: Packing, sizes: list[int], capacity: int, draw: random.Random) -> Packing:
     """Mutation: the emptiest bins, and some others, are taken apart, and their pieces put back in a shuffled order."""
-    order = sorted(range(len(bins)), key=lambda i: sum(map(sizes.__getitem__, bins[i])))
+    bins, fills = packing
+    order = sorted(range(len(bins)), key=fills.__getitem__)
     gone = set(order[: 1 + len(bins) // 50]) | {i for i in order if draw.random() < 0.03}
     loose = [x for i in sorted(gone) for x in bins[i]]
     loose.sort(key=lambda x: -sizes[x] * draw.uniform(0.8, 1.0))
-    return best_fit(loose, sizes, capacity, [list(x) for i, x in enumerate(bins) if i not in gone])
-
-
-def evolve(sizes: list[int], capacity: int, seed: str, start: list[list[list[int]]]) -> list[list[int]]:
-    """The best packing of an island after GENERATIONS, from those that `start` brings along and new ones."""
-    draw, n = random.Random(seed), len(sizes)
-    people = [(fitness(p, sizes), p) for p in start]
-    total = sum(sizes)
-    ideal = -(-total // capacity), (total // capacity) * capacity**2 + (total % capacity) ** 2
-    top = (-ideal[0], ideal[1])
-    spread = 0.0 if not start else 0.3
-    while len(people) < POPULATION:
+    kept = [i for i in range(len(bins)) if i not in gone]
+    return best_fit(loose, sizes, capacity, ([bins[i] for i in kept], [fills[i] for i in kept]))
+
+
+def evolve(sizes: list[int], capacity: int, seed: str, start: list[list[list[int]]]) -> Packing:
+    """The best packing of an island after GENERATIONS, from those that `start` brings along, as bins, and new ones."""
+    draw, n, total = random.Random(seed), len(sizes), sum(sizes)
+    brought = [(p, [sum(map(sizes.__getitem__, b)) for b in p]) for p in start]
+    people = [(fitness(p), p) for p in brought]
+    top = (-(-(-total // capacity)),)  # no packing has fewer bins
+    spread = 0.3 if start else 0.0
+    while len(people) < POPULATION and (not people or people[-1][0] < top):
         order = sorted(range(n), key=lambda x: (-sizes[x] * draw.uniform(1 - spread, 1.0), x))
-        p = best_fit(order, sizes, capacity, [])
-        people.append((fitness(p, sizes), p))
-        if people[-1][0] >= top:
-            break
+        p = best_fit(order, sizes, capacity)
+        people.append((fitness(p), p))
         spread += 0.1
     for _ in range(GENERATIONS):
         people.sort(key=lambda x: x[0], reverse=True)
+        del people[POPULATION:]
         if people[0][0] >= top or n < 2:
             break
         for _ in range(CHILDREN):
@@ -184,9 +240,7 @@ def evolve(sizes: list[int], capacity: int, seed: str, start: list[list[list[int
             child = cross(people[a][1], people[b][1], sizes, capacity, draw) if a != b else people[a][1]
             if a == b or draw.random() < 0.5:
                 child = shaken(child, sizes, capacity, draw)
-            people.append((fitness(child, sizes), child))
-        people.sort(key=lambda x: x[0], reverse=True)
-        del people[POPULATION:]
+            people.append((fitness(child), child))
     return max(people, key=lambda x: x[0])[1]
 
 
@@ -215,8 +269,8 @@ def _epoch(df: DataFrame, capacity: int, salt: str, tasks: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 found = evolve(r["sizes"], capacity, f"{salt}/{r['block']}/{r['island']}", [_bins(g) for g in r["guests"] or [] if g])
-                bins, n = _numbers(found, len(r["sizes"])), len(found)
-                row = {**{k: [r[k]] for k in ("block", "island", "items", "sizes")}, "bins": [bins], "n_bins": [n], "fit": [float(fitness(found, r["sizes"])[1])]}
+                bins, n = _numbers(found[0], len(r["sizes"])), len(found[0])
+                row = {**{k: [r[k]] for k in ("block", "island", "items", "sizes")}, "bins": [bins], "n_bins": [n], "fit": [float(fitness(found)[1])]}
                 yield pa.RecordBatch.from_pydict(row, schema)
 
     kinds = {"block": pa.int64(), "island": pa.int32(), "items": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "bins": pa.list_(pa.int32()), "n_bins": pa.int32(), "fit": pa.float64()}

@@ -4,10 +4,11 @@ Features of a text: its hashed words (lower-cased, split at white space) by thei
 structure statistics, and its length as metadata. The score is the logistic of
 w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^2], linear in the number of features.
 
-Training runs on the driver over a sample of labelled rows of bounded size (`sample_docs`, documented
-bound, chosen by a hash of the id); their features are computed on the executors from whole texts.
+Training runs on the driver over a sample of labelled rows of bounded size, chosen by a hash of the id: about
+`sample_docs` rows and `sample_entries` features, two documented bounds, so very long texts are fewer in it. Their
+features are computed on the executors from whole texts.
 
-Defined cases: a null text counts as empty; an empty text has structure features only and still gets
+Defined cases: a row with a null id is scored like any other, teaches nothing and is held out by no fold; a null text counts as empty; an empty text has structure features only and still gets
 a score; ids labelled more than once take their highest label; an id on several rows teaches by one of its texts
 (the one with the smallest hash); null labels teach nothing; without
 labels the score is 0.5; repeated rows are treated alike; extra columns are dropped.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lists, pieces
+from .common import column, lists, pieces, stash
 
 BUCKETS = 1 << 14
 RANK = 8
@@ -94,12 +95,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logit(at, x, first), -40, 40)))
 
 
-def fit(at: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> Machine:
-    """Full-batch Adam on the log loss.
+def slopes(par: np.ndarray, w0: float, at: np.ndarray, x: np.ndarray, square: np.ndarray, first: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of the mean log loss by par (row f is factor f, the last one w), and by each row's logit.
 
     One factor at a time, so that no array is larger than the entries: with s_f the sum of v_if x_i over a row,
     the gradient of v_if is the sum of g x_i s_f over rows less v_if times the sum of g x_i^2.
     """
+    n = par.shape[1]
+    s = [np.add.reduceat(p[at] * x, first) for p in par[:-1]]
+    z = w0 + np.add.reduceat(par[-1][at] * x, first) + 0.5 * (sum(v * v for v in s) - np.add.reduceat((par[:-1] ** 2).sum(0)[at] * square, first))
+    g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
+    own = np.bincount(at, np.repeat(g, size) * square, n)
+    factors = [np.bincount(at, np.repeat(g * v, size) * x, n) - p * own for v, p in zip(s, par, strict=False)]
+    return np.stack([*factors, np.bincount(at, np.repeat(g, size) * x, n)]), g
+
+
+def fit(at: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> Machine:
+    """Full-batch Adam on the log loss."""
     n = BUCKETS + STATS
     # Row f of par is factor f; the last one is w.
     par = np.vstack([np.random.default_rng(seed).normal(0, 0.05, (n, RANK)).T, np.zeros(n)])
@@ -108,11 +120,7 @@ def fit(at: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps:
     one, two = np.zeros_like(par), np.zeros_like(par)
     b1 = b2 = 0.0
     for t in range(1, steps + 1):
-        s = [np.add.reduceat(p[at] * x, first) for p in par[:RANK]]
-        z = w0 + np.add.reduceat(par[RANK][at] * x, first) + 0.5 * (sum(v * v for v in s) - np.add.reduceat((par[:RANK] ** 2).sum(0)[at] * square, first))
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        own = np.bincount(at, np.repeat(g, size) * square, n)
-        grad = np.stack([np.bincount(at, np.repeat(g * v, size) * x, n) - p * own for v, p in zip(s, par, strict=False)] + [np.bincount(at, np.repeat(g, size) * x, n)])
+        grad, g = slopes(par, w0, at, x, square, first, size, y)
         grad += decay * par
         one = 0.9 * one + 0.1 * grad
         two = 0.99 * two + 0.01 * grad * grad
@@ -122,14 +130,20 @@ def fit(at: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps:
     return Machine(w0, par[RANK].copy(), np.ascontiguousarray(par[:RANK].T))
 
 
-def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 4000) -> Machine:
-    """From about `sample_docs` labelled rows; `df` and `labels` are already without the held-out ones."""
+def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 4000, sample_entries: int = 16_000_000) -> Machine:
+    """From about `sample_docs` labelled rows with about `sample_entries` features; `df` and `labels` are already without the held-out ones."""
     labels = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     many = labels.count()
     draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_003)) / 1_000_003.0
     labels = labels.where(draw < min(1.0, sample_docs / max(many, 1)))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labels, "id")
     rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row an id, so the bound holds
+    rows = stash(rows, "quality-sample")
+    # A text has at most as many different words as half its length, and as there are buckets.
+    entries = F.least(F.coalesce(F.length("text"), F.lit(0)) / 2 + 1, F.lit(float(BUCKETS))) + STATS
+    most = rows.agg(F.coalesce(F.sum(entries), F.lit(0.0))).first()[0]
+    if most > sample_entries:
+        rows = rows.where(F.pmod(F.xxhash64("id", F.lit("entries")), F.lit(1_000_003)) / 1_000_003.0 < sample_entries / most)
 
     def run(batches):
         for b in pieces(batches, chars=PIECE_CHARS):

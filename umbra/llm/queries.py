@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, ann, bpe, html, jaccard, langid, licenses, mixing, packing, pii, quality, topk, whitening
-from .common import crc_fold, table
+from .common import crc_fold, held_out, table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(crc_fold() != 0))
-    return langid.predict(docs, model, keep=[(crc_fold() == 0).alias("held_out")])
+    return langid.predict(docs, model, keep=[held_out().alias("held_out")])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = quality.learn(docs.where(crc_fold() != 0), labels.where(crc_fold() != 0))
-    scored = quality.score(docs, machine, keep=[(crc_fold() == 0).alias("held_out")])
+    scored = quality.score(docs, machine, keep=[held_out().alias("held_out")])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

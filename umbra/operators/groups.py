@@ -53,6 +53,31 @@ def running(df: DataFrame, by: list[str], order: list, name: str, weight: Column
     return out.drop(*keys, *grouped, "__w", "__p", "__q", "__before", "__next")
 
 
+def carried(df: DataFrame, order: list[str], mark: str, name: str) -> DataFrame:
+    """df with the last non-null `mark` of the rows up to this one, in a total order: sorted by ranges, carried over their borders."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    cut = stash(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    ends = cut.where(F.col(mark).isNotNull()).groupBy("__p").agg(F.max_by(mark, F.struct(*order)).alias("__end"))  # a row a range
+    every = df.sparkSession.range(parts).select(F.col("id").cast("int").alias("__q")).join(ends, F.col("__q") == F.col("__p"), "left").drop("__p")
+    before = F.last("__end", ignorenulls=True).over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1))
+    before = every.withColumn("__before", before).select("__q", "__before")
+    own = F.last(F.col(mark), ignorenulls=True).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn(name, own).join(F.broadcast(before), F.col("__p") == F.col("__q"), "left").withColumn(name, F.coalesce(name, "__before")).drop("__p", "__q", "__before")
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], col: str, share: float, name: str) -> DataFrame:
+    """By group: the exact quantile by linear interpolation, null without values. Values are counted and ranked by ranges; no group is held whole."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("__c"))
+    ranked = annotate(running(counts, by, [col], "__upto", F.col("__c")), by, F.sum("__c").alias("__all"))
+    at = (F.col("__all") - 1) * share
+    low, high = F.floor(at) + 1, F.ceil(at) + 1
+    has = lambda rank: F.when((rank <= F.col("__upto")) & (rank > F.col("__upto") - F.col("__c")), F.col(col))
+    pair = ranked.groupBy(*by).agg(F.max(has(low)).alias("__l"), F.max(has(high)).alias("__h"), F.max(at - F.floor(at)).alias("__f"))
+    found = pair.select(*by, (F.col("__l") + (F.col("__h") - F.col("__l")) * F.col("__f")).alias(name))
+    groups = df.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)]).distinct()
+    return groups.join(found, same(found, groups, by), "left").select(*[F.col(f"__b{i}").alias(c) for i, c in enumerate(by)], name)
+
+
 def quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
     """Exact quantiles by linear interpolation: values are counted, ranked by ranges, and those at the ranks asked for are fetched."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))

@@ -67,11 +67,13 @@ def shift_dates(df: DataFrame, col: str, unit: str, days: int, salt: str) -> Dat
     return df.withColumn(col, F.col(col) - F.make_dt_interval(n))
 
 
-def add_noise(df: DataFrame, col: str, sigma: float, key: str, salt: str, draw=draws.uniform) -> DataFrame:
-    return df.withColumn(col, F.col(col) + sigma * draws.normal(draw(salt + "a", key), draw(salt + "b", key)))
+def add_noise(df: DataFrame, col: str, sigma: float, key: str, salt: str, draw=draws.fresh) -> DataFrame:
+    """Normal noise on each value; nulls stay null."""
+    noisy = df.withColumns({"__u": draw(salt + "a", key), "__v": draw(salt + "b", key)})
+    return noisy.withColumn(col, F.col(col) + sigma * draws.normal(F.col("__u"), F.col("__v"))).drop("__u", "__v")
 
 
-def pram(df: DataFrame, col: str, matrix: dict[str, dict[str, float]], key: str, salt: str, draw=draws.uniform) -> DataFrame:
+def pram(df: DataFrame, col: str, matrix: dict[str, dict[str, float]], key: str, salt: str, draw=draws.fresh) -> DataFrame:
     """Post-randomization: a value becomes another one with the probability that its row of the matrix gives; values without a row stay."""
     new, u = F.col(col), F.col("__u")
     for value, row in matrix.items():
@@ -104,10 +106,12 @@ def normalize(df: DataFrame, col: str, how: str = "minmax", within: list[str] =
     return out.withColumn(col, F.when(width != 0, (F.col(col) - F.col("__lo")) / width)).drop("__lo", "__hi")
 
 
-def noise_vector(df: DataFrame, col: str, bound: float, sigma: float, key: str, salt: str) -> DataFrame:
-    """Vectors scaled to a norm of at most `bound`, plus normal noise on each component, hash-derived."""
-    v = F.col(col).cast("array<double>")
+def noise_vector(df: DataFrame, col: str, bound: float, sigma: float, key: str, salt: str, draw=draws.fresh) -> DataFrame:
+    """Vectors scaled to a norm of at most `bound`, plus normal noise on each component; null vectors and components stay null."""
+    v, many = F.col(col).cast("array<double>"), draws.many(draw)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     scale = F.when(norm > bound, bound / norm).otherwise(1.0)
-    u = lambda s, i: draws.uniform(salt + s, key, i)
-    return df.withColumn(col, F.transform(v, lambda x, i: x * scale + sigma * draws.normal(u("a", i), u("b", i))))
+    size = F.greatest(F.size(F.coalesce(col, F.array())), F.lit(0))
+    noisy = df.withColumns({"__u": many(salt + "a", size, key), "__v": many(salt + "b", size, key)})
+    noise = lambda i: draws.normal(F.get("__u", i), F.get("__v", i))
+    return noisy.withColumn(col, F.transform(v, lambda x, i: x * scale + sigma * noise(i))).drop("__u", "__v")

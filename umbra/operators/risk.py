@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import small, stash
-from .groups import annotate, same
+from .groups import annotate, carried, running, same
 
 
 def class_size(df: DataFrame, qi: list[str], name: str = "k") -> DataFrame:
@@ -39,6 +39,24 @@ def reidentification_risk(df: DataFrame, qi: list[str]) -> DataFrame:
     return c.agg((1 / F.min("k")).alias("max_risk"), (F.count("*") / F.sum("k")).alias("avg_risk"))
 
 
+def journalist_risk(df: DataFrame, population: DataFrame, qi: list[str]) -> DataFrame:
+    """(max_risk, avg_risk, n_unique, n_population_unique, n_unknown): of a sample whose rows are known to be in a population.
+
+    A row's risk is one over its class's size in the population; the mean is over the sample's rows. n_unique counts
+    rows alone in the sample, n_population_unique those that are also alone in the population. Rows whose class the
+    population lacks, or holds fewer rows of than the sample, count with the sample's size, and in n_unknown. Nulls are values.
+    """
+    c = k_map(df, population, qi).withColumn("__k", F.greatest("k", "k_population"))
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("k"))), F.lit(0)).cast("bigint")
+    return c.agg(
+        F.max(1 / F.col("__k")).alias("max_risk"),
+        (F.sum(F.col("k") / F.col("__k")) / F.sum("k")).alias("avg_risk"),
+        rows(F.col("k") == 1).alias("n_unique"),
+        rows((F.col("k") == 1) & (F.col("k_population") == 1)).alias("n_population_unique"),
+        rows(F.col("k_population") < F.col("k")).alias("n_unknown"),
+    )
+
+
 def is_k_anonymous(df: DataFrame, qi: list[str], k: int) -> bool:
     return classes(df, qi).where(F.col("k") < k).limit(1).count() == 0
 
@@ -126,33 +144,57 @@ def l_diversity(df: DataFrame, qi: list[str], sensitive: str, kind: str = "disti
     return ranked.withColumn("safe", F.col("r1") < c * F.col("tail")).drop("r1", "tail")
 
 
-def t_closeness(df: DataFrame, qi: list[str], sensitive: str, ordered: bool = False, values: int = 10_000) -> DataFrame:
-    """By class: distance `t` of the sensitive value's distribution to the whole table's; a null value is a value.
+def t_closeness(df: DataFrame, qi: list[str], sensitive: str, ordered: bool = False) -> DataFrame:
+    """By class: distance `t` of the sensitive value's distribution to the whole table's; a null value is a value, the least one.
+
+    Categorical: half the sum of absolute differences; values that a class lacks add their whole share. Ordered: the
+    sum of absolute cumulative differences over all m values, over m - 1. No class is joined with values that it lacks.
 
-    Categorical: half the sum of absolute differences; values that a class lacks add their whole share. Ordered:
-    absolute cumulative differences over m-1, summed over the list of all values, of which there may be `values`
-    at most (bin them first). No class is joined with values that it lacks.
+    Ordered: between two values that a class holds, its own cumulative share stays at some c while the whole's, Q, rises,
+    so the sum of |c - Q| over that gap is a difference of prefix sums of Q on either side of where Q passes c. Values
+    are ranked by ranges and those places found by a join on ranges, so there may be any number of values.
     """
     counts = df.groupBy(*qi, F.col(sensitive).alias("__s")).agg(F.count("*").alias("n"))
     whole = stash(df.groupBy(F.col(sensitive).alias("__v")).agg(F.count("*").alias("q")), "values")
-    total = whole.agg(F.sum("q").alias("__t"))
+    total = whole.agg(F.sum("q").alias("__t"), F.count("*").alias("__m"))
     if not ordered:
         whole = small(whole).join(F.broadcast(total)).select("__v", (F.col("q") / F.col("__t")).alias("q"))  # one row of `total`
         size = annotate(counts, qi, F.sum("n").alias("k"))
         each = size.join(whole, F.col("__s").eqNullSafe(F.col("__v")))
         return each.groupBy(*qi).agg(((F.sum(F.abs(F.col("n") / F.col("k") - F.col("q"))) + 1 - F.sum("q")) / 2).alias("t"))
-    listed = whole.orderBy(F.col("__v").asc_nulls_first()).limit(values + 1).collect()
-    if len(listed) > values:
-        raise ValueError(f"more than {values} values of {sensitive}")
-    share, upto = [], 0
-    for r in listed:
-        upto += r["q"]
-        share.append(upto)
-    whole = df.sparkSession.createDataFrame([(r["__v"], i) for i, r in enumerate(listed)], whole.select("__v", F.lit(0).alias("i")).schema)
-    one = df.sparkSession.createDataFrame([([x / upto for x in share],)], "q array<double>")
-    each = counts.join(F.broadcast(whole), F.col("__s").eqNullSafe(F.col("__v"))).groupBy(*qi).agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("own"), F.sum("n").alias("k"))
-    start = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0.0).alias("d"))
-    have = lambda a, i: a["p"] + F.coalesce(F.try_element_at("own", i), F.lit(0))
-    step = lambda a, i: F.struct(have(a, i).alias("p"), (a["d"] + F.abs(have(a, i) / F.col("k") - F.element_at("q", i + 1))).alias("d"))
-    far = F.aggregate(F.sequence(F.lit(0), F.size("q") - 1), start, step, lambda a: a["d"])
-    return each.join(F.broadcast(one)).select(*qi, (far / F.greatest(F.size("q") - 1, F.lit(1))).alias("t"))
+    at = whole.withColumn("__null", F.col("__v").isNotNull())
+    # place i from 1; upto: rows of the whole up to it; area: the sum of `upto` over all places up to it.
+    ranked = running(running(at, [], ["__null", "__v"], "upto", F.col("q")), [], ["upto"], "i")
+    ranked = stash(running(ranked, [], ["upto"], "area", F.col("upto").cast("decimal(38,0)")).select("__v", "i", "upto", "area"), "ranked")
+    own = annotate(counts, qi, F.sum("n").alias("k")).join(small(ranked), F.col("__s").eqNullSafe(F.col("__v"))).drop("__v", "__s")
+    stretch = running(own, qi, ["i"], "have", F.col("n"), after="end")
+    # A stretch (class, have, from place i up to end - 1), and the one before the class's first value, of share 0.
+    before = stretch.where("have = n and i > 1").withColumns({"have": F.lit(0).cast("long"), "end": F.col("i"), "i": F.lit(1).cast("long")})
+    stretch = stretch.unionByName(before).join(F.broadcast(total)).withColumn("end", F.coalesce("end", F.col("__m") + 1))
+    # The whole's share is at most have / k up to the last place with upto <= have * total / k.
+    cut = F.call_function("div", F.col("have").cast("decimal(19,0)") * F.col("__t").cast("decimal(19,0)"), F.col("k").cast("decimal(19,0)"))
+    stretch = stretch.withColumn("cut", cut.cast("long"))
+    return _stretches(stretch, ranked, qi)
+
+
+def _stretches(stretch: DataFrame, ranked: DataFrame, qi: list[str]) -> DataFrame:
+    """The sum over all stretches of |have / k - upto / total| over their places, over m - 1, by class."""
+    keys = [f"__g{i}" for i in range(len(qi))]
+    names = dict(zip(keys, qi, strict=True))
+    s = stretch.select(*[F.col(c).alias(g) for g, c in names.items()], "have", "k", "__t", "__m", "i", "end", "cut")
+    # Areas at three places: before the stretch, at its end, and where the whole passes the class's share.
+    by_place = small(ranked.select(F.col("i").alias("__i"), F.col("area").alias("__a")))
+    start = s.join(by_place, F.col("i") - 1 == F.col("__i"), "left").withColumn("a0", F.coalesce("__a", F.lit(0))).drop("__i", "__a")
+    both = start.join(by_place, F.col("end") - 1 == F.col("__i"), "left").withColumn("a2", F.coalesce("__a", F.lit(0))).drop("__i", "__a")
+    marks = ranked.select(F.col("upto").alias("__at"), F.struct("i", "area").alias("__mark"), F.lit(0).alias("__side"), F.lit(0).cast("long").alias("__tie"))
+    asked = both.select(F.col("cut").alias("__at"), F.struct(*both.columns).alias("__row"), F.lit(1).alias("__side"), F.xxhash64(*keys, "i").alias("__tie"))
+    placed = carried(marks.unionByName(asked, allowMissingColumns=True), ["__at", "__side", "__tie"], "__mark", "__found").where("__side = 1")
+    p = placed.select("__row.*", F.coalesce("__found.i", F.lit(0)).alias("ci"), F.coalesce("__found.area", F.lit(0)).alias("ca"))
+    inside = F.col("ci").between(F.col("i"), F.col("end") - 1)
+    ci = F.when(inside, F.col("ci")).when(F.col("ci") < F.col("i"), F.col("i") - 1).otherwise(F.col("end") - 1)
+    ca = F.when(inside, F.col("ca")).when(F.col("ci") < F.col("i"), F.col("a0")).otherwise(F.col("a2"))
+    c = F.col("have") / F.col("k")
+    low = c * (ci - F.col("i") + 1) - (ca - F.col("a0")).cast("double") / F.col("__t")
+    high = (F.col("a2") - ca).cast("double") / F.col("__t") - c * (F.col("end") - 1 - ci)
+    out = p.withColumn("__d", low + high).groupBy(*keys).agg((F.sum("__d") / F.greatest(F.max("__m") - 1, F.lit(1))).alias("t"))
+    return out.select(*[F.col(g).alias(c) for g, c in names.items()], "t")

@@ -39,9 +39,17 @@ def valid_cards(df: DataFrame, id_col: str, col: str) -> DataFrame:
     return find_pii(df, id_col, col, ["card"]).where(F.call_function("luhn_check", F.col("value")))
 
 
-def generalize_json(df: DataFrame, col: str, path: str, name: str, expr) -> DataFrame:
-    """The object with one field, generalized: expr maps the field's text to a column."""
-    return df.withColumn(col, F.to_json(F.struct(expr(F.get_json_object(col, path)).alias(name))))
+def generalize_json(df: DataFrame, col: str, path: str, name: str, expr, keep: bool = False) -> DataFrame:
+    """The object's field `name`, at `path`, generalized: expr maps its text to a column. Other fields are dropped, or kept as they are.
+
+    Null and malformed objects stay null; with `keep`, an object that lacks the field stays as it is, but for white space and the order of its fields.
+    """
+    new = expr(F.get_json_object(col, path))
+    if not keep:
+        return df.withColumn(col, F.to_json(F.struct(new.alias(name))))
+    old = F.from_json(col, "map<string,variant>")
+    own = F.map_concat(F.map_filter(old, lambda k, _: k != name), F.create_map(F.lit(name), new.cast("variant")))
+    return df.withColumn(col, F.to_json(F.when(F.map_contains_key(old, name), own).otherwise(old)))
 
 
 def strip_html(df: DataFrame, col: str) -> DataFrame:

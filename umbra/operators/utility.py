@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyed
+from ..sources.io import stash
+from .groups import annotate
 
 
 def hashed_intersection(left: DataFrame, right: DataFrame, col: str, key: bytes) -> DataFrame:
@@ -19,9 +24,9 @@ def qgrams(col: str | Column, q: int) -> Column:
     return F.when(F.length(c) >= q, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(c, i, q)))).otherwise(F.array(c))
 
 
-def bloom_encode(df: DataFrame, col: str, q: int, bits: int, hashes: int, salt: str) -> DataFrame:
-    """Column `bloom`: the sorted set bits of the value's q-grams."""
-    bit = lambda g, i: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}{i}"), g)), 1, 7), 16, 10).cast("bigint"), F.lit(bits)).cast("int")
+def bloom_encode(df: DataFrame, col: str, q: int, bits: int, hashes: int, key: bytes) -> DataFrame:
+    """Column `bloom`: the sorted set bits of the value's q-grams, by keyed hashes."""
+    bit = lambda g, i: F.pmod(F.conv(F.substring(keyed.hmac(F.concat(F.lit(f"{i}|"), g), key), 1, 7), 16, 10).cast("bigint"), F.lit(bits)).cast("int")
     return df.withColumn("bloom", F.array_sort(F.array_distinct(F.flatten(F.transform(qgrams(col, q), lambda g: F.array(*[bit(g, i) for i in range(hashes)]))))))
 
 
@@ -35,9 +40,9 @@ def block(df: DataFrame, col: str, q: int, bands: int, salt: str = "block") -> D
     return df.select("*", F.posexplode(F.array(*least)).alias("band", "key"))
 
 
-def link(df: DataFrame, id_col: str, col: str, q: int, bands: int, bits: int, hashes: int, salt: str = "b") -> DataFrame:
-    """(a, b, dice): Dice similarity of the encodings of each pair of rows that share a block; a < b."""
-    own = bloom_encode(df.select(F.col(id_col).alias("id"), F.col(col).alias("__x")), "__x", q, bits, hashes, salt)
+def link(df: DataFrame, id_col: str, col: str, q: int, bands: int, bits: int, hashes: int, key: bytes) -> DataFrame:
+    """(a, b, dice): Dice similarity of the encodings of each pair of rows that share a block; a < b. For few rows: see lsh_link."""
+    own = bloom_encode(df.select(F.col(id_col).alias("id"), F.col(col).alias("__x")), "__x", q, bits, hashes, key)
     blocks = block(own.select("id", "__x"), "__x", q, bands).select("id", "band", "key")
     left, right = blocks.withColumnRenamed("id", "a"), blocks.withColumnRenamed("id", "b")
     pairs = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
@@ -45,6 +50,50 @@ def link(df: DataFrame, id_col: str, col: str, q: int, bands: int, bits: int, ha
     return pairs.join(x, "a").join(y, "b").select("a", "b", dice(F.col("x"), F.col("y")).alias("dice"))
 
 
+def lsh_blocks(encoded: DataFrame, bits: int, tables: int, sample: int, most: int, key: bytes, step: int = 2) -> DataFrame:
+    """(id, table, key) of (id, bloom): Hamming blocks of at most `most` rows, whose filters agree on some sampled bits.
+
+    Each table samples bits in a keyed order of its own, those first that at least one row in a hundred differs in from
+    the others. Blocks are counted, and those with more than `most` rows are divided by `step` further bits, again
+    and again: different filters part in the end. The driver sees a count for each bit.
+    """
+    n = encoded.count()
+    shares = {r["b"]: r["n"] / n for r in encoded.select(F.explode("bloom").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
+    parts = lambda b: min(shares.get(b, 0.0), 1 - shares.get(b, 0.0)) >= 0.01
+    order = [sorted(range(bits), key=lambda b: (not parts(b), hashlib.sha256(key + f"{t}|{b}".encode()).digest())) for t in range(tables)]
+    has = lambda b: F.when(F.array_contains("bloom", b), "1").otherwise("0")
+    text = lambda lo, hi: F.element_at(F.array(*[F.concat(*[has(b) for b in o[lo:hi]]) for o in order]), F.col("table") + 1)
+    all_ = encoded.withColumn("table", F.explode(F.array(*map(F.lit, range(tables)))))
+    open_, done, at = all_.withColumn("key", text(0, sample)), [], sample
+    while True:
+        open_ = stash(annotate(open_, ["table", "key"], F.count("*").alias("__n")), "blocks")
+        done.append(open_.where((F.col("__n") <= most) & (F.col("__n") > 1)).select("id", "table", "key"))
+        open_ = open_.where(F.col("__n") > most)
+        if at >= bits or not open_.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+        open_ = open_.drop("__n").withColumn("key", F.concat("key", text(at, at + step)))
+        at += step
+
+
+def lsh_link(df: DataFrame, id_col: str, col: str, q: int, bits: int, hashes: int, key: bytes, least: float, tables: int = 24, sample: int = 6, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, dice) of classes with Dice similarity of at least `least`, and the members (id, class) of each class.
+
+    A class is all rows with one encoding, named by its least id; nulls are in no class. Candidates share one of the blocks of
+    lsh_blocks: `tables` times the classes times half of `most` at most, not all pairs. Pairs that share no block are
+    missed; tests/test_linkage.py measures how many.
+    """
+    own = bloom_encode(df.select(F.col(id_col).alias("id"), F.col(col).alias("__x")).where("__x is not null"), "__x", q, bits, hashes, key)
+    own = stash(own.select("id", "bloom"), "encoded")
+    classes = stash(own.groupBy("bloom").agg(F.min("id").alias("id")), "classes")
+    members = own.join(classes.withColumnRenamed("id", "class"), "bloom").select("id", "class")
+    blocks = lsh_blocks(classes, bits, tables, sample, most, key)
+    left, right = blocks.withColumnRenamed("id", "a"), blocks.withColumnRenamed("id", "b")
+    pairs = left.join(right, ["table", "key"]).where("a < b").select("a", "b").distinct()
+    x, y = classes.select(F.col("id").alias("a"), F.col("bloom").alias("x")), classes.select(F.col("id").alias("b"), F.col("bloom").alias("y"))
+    found = pairs.join(x, "a").join(y, "b").select("a", "b", dice(F.col("x"), F.col("y")).alias("dice"))
+    return found.where(F.col("dice") >= least), members
+
+
 def _hashed(salt: str):
     return lambda g: F.substring(F.md5(F.concat(F.lit(salt), g)), 1, 12)
 

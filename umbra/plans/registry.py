@@ -6,11 +6,12 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import draws, keyed
-from ..operators import dp, identifiers, quasi, risk, text, utility
+from ..functions import draws, fpe, keyed, strings
+from ..operators import asof, dp, groups, identifiers, quasi, risk, text, utility
 from ..sources import io
 from ..streaming import ops
 
@@ -161,6 +162,22 @@ def b7_asof_join(t):
     return e.withColumn("last_purchase", F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("event_type = 'view'").select("event_id", "last_purchase")
 
 
+@query("""SELECT e.event_id, o.o_orderkey, o.d AS ordered FROM events AS e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate + INTERVAL 9131 DAY AS d, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) AS o
+ON e.user_id = o.o_custkey AND e.ts >= o.d""")
+def b7_asof_join_tables(t):
+    """The last order of an event's user, dates moved by 25 years into the events' time: two tables, sorted by ranges."""
+    orders = t("orders").select("o_custkey", "o_orderkey", (F.col("o_orderdate") + F.expr("interval 9131 days")).alias("ordered"))
+    out = asof.asof_join(t("events").select("event_id", "user_id", "ts"), orders, {"user_id": "o_custkey"}, ("ts", "ordered"), "o_orderkey")
+    return out.select("event_id", "o_orderkey", "ordered")
+
+
+@query("""SELECT event_id, CASE WHEN ts - d <= INTERVAL 90 DAY THEN o_orderkey END AS o_orderkey FROM (SELECT e.event_id, e.ts, o.o_orderkey, o.d FROM events AS e ASOF LEFT JOIN
+(SELECT o_custkey, o_orderdate + INTERVAL 9131 DAY AS d, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) AS o ON e.user_id = o.o_custkey AND e.ts >= o.d)""")
+def b7_asof_join_tolerance(t):
+    orders = t("orders").select("o_custkey", "o_orderkey", (F.col("o_orderdate") + F.expr("interval 9131 days")).alias("ordered"))
+    return asof.asof_join(t("events").select("event_id", "user_id", "ts"), orders, {"user_id": "o_custkey"}, ("ts", "ordered"), "o_orderkey", F.expr("interval 90 days")).select("event_id", "o_orderkey")
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY 1, 2")
 def b8_group_aggregate(t):
     return t("lineitem").where("l_shipdate <= timestamp_ntz '2000-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r(F.sum("l_quantity"), 2).alias("qty"), r(F.avg("l_discount")).alias("disc"))
@@ -212,7 +229,8 @@ def b15_set_operations(t):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def b16_percentile(t):
-    return t("events").groupBy("event_type").agg(r(F.percentile("value", 0.9)).alias("p90"))
+    """By counts and ranks: no group's values are held at once."""
+    return groups.grouped_quantiles(t("events"), ["event_type"], "value", 0.9, "p90").withColumn("p90", r("p90"))
 
 
 NEAR = "SELECT event_type, count(DISTINCT user_id) AS users, true AS count_ok, true AS hll_ok, true AS theta_ok FROM events GROUP BY 1"
@@ -323,6 +341,28 @@ def c7_tokenize(t):
     return identifiers.tokenize(c, "c_name", identifiers.new_vault(c, "c_name", KEY))
 
 
+@query("SELECT count(DISTINCT c_name) AS n, count(DISTINCT c_name) AS n_tokens, 1::bigint AS least, count(DISTINCT c_name) AS most, count(*) AS n_rows, true AS kept FROM customer")
+def c7_stored_vault(t):
+    """Two runs, the first over a third of the customers: tokens without gaps, each once, and the first run's kept."""
+    c = t("customer").select("c_custkey", "c_name")
+    vault = identifiers.Vault(t.spark, io.scratch(t.spark, "vault"), KEY)
+    first = vault.grow(c.where("c_custkey % 3 = 0"), "c_name", "1").withColumnRenamed("token", "old")
+    whole = vault.grow(c, "c_name", "2")
+    rows = identifiers.tokenize(c, "c_name", whole).agg(F.count("c_name").alias("n_rows"))
+    kept = first.join(whole, "value", "left").agg(F.min(F.coalesce(F.col("old") == F.col("token"), F.lit(False))).alias("kept"))
+    counts = whole.agg(F.countDistinct("value").alias("n"), F.countDistinct("token").alias("n_tokens"), F.min("token").alias("least"), F.max("token").alias("most"))
+    return counts.join(F.broadcast(rows)).join(F.broadcast(kept))  # a row each
+
+
+@query("SELECT c_custkey, c_name, true AS same_form, true AS hidden FROM customer")
+def c8_format_preserving(t):
+    """The digits of a name encrypted and decrypted: its form stays, and on the whole table no two names become one."""
+    cipher = fpe.FF1(bytes(range(32)), b"c_name")
+    c = t("customer").select("c_custkey", F.col("c_name").alias("plain"), cipher.encrypt("c_name").alias("sealed"))
+    form = lambda x: F.regexp_replace(x, "[0-9]", "9")
+    return c.select("c_custkey", cipher.decrypt("sealed").alias("c_name"), (form("plain") == form("sealed")).alias("same_form"), (F.col("plain") != F.col("sealed")).alias("hidden"))
+
+
 # D. Free text
 
 
@@ -358,6 +398,14 @@ def d8_generalize_json(t):
     return text.generalize_json(t("events"), "props", "$.k", "k", lambda c: quasi.bin_(c.cast("double"), 10)).select("event_id", "props")
 
 
+@query("SELECT doc_id, lang, n // 1000 * 1000 AS n_chars FROM (SELECT doc_id, lang, n_chars AS n FROM documents)")
+def d8_generalize_json_keep(t):
+    """One field of an object of several, the others as they are."""
+    rows = t("documents").select("doc_id", F.to_json(F.struct("lang", "n_chars")).alias("o"))
+    out = text.generalize_json(rows, "o", "$.n_chars", "n_chars", lambda c: quasi.bin_(c.cast("double"), 1000), keep=True)
+    return out.select("doc_id", F.get_json_object("o", "$.lang").alias("lang"), F.get_json_object("o", "$.n_chars").cast("bigint").alias("n_chars"))
+
+
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \n\t]+', ' ', 'g')) AS html FROM pages")
 def d9_strip_html(t):
     return text.strip_html(t("pages"), "html").select("page_id", "html")
@@ -417,7 +465,7 @@ def e9_shift_dates(t):
 
 @query(f"SELECT c_custkey, round(c_acctbal + 100 * (sqrt(-2 * ln({u_sql('na', 'c_custkey')})) * cos(2 * pi() * {u_sql('nb', 'c_custkey')})), 5) AS bal FROM customer")
 def e10_add_noise(t):
-    return quasi.add_noise(t("customer"), "c_acctbal", 100.0, "c_custkey", "n").select("c_custkey", r("c_acctbal", 5).alias("bal"))
+    return quasi.add_noise(t("customer"), "c_acctbal", 100.0, "c_custkey", "n", draws.uniform).select("c_custkey", r("c_acctbal", 5).alias("bal"))
 
 
 PRAM = {"F": {"F": 0.8, "O": 0.15, "P": 0.05}, "O": {"F": 0.1, "O": 0.8, "P": 0.1}, "P": {"F": 0.3, "O": 0.2, "P": 0.5}}
@@ -426,7 +474,7 @@ PRAM_SQL = " ".join(f"WHEN '{v}' THEN CASE WHEN u < {row['F']!r}::double THEN 'F
 
 @query(f"SELECT o_orderkey, CASE o_orderstatus {PRAM_SQL} END AS s FROM (SELECT *, {u_sql('p', 'o_orderkey')} AS u FROM orders)")
 def e11_pram(t):
-    return quasi.pram(t("orders"), "o_orderstatus", PRAM, "o_orderkey", "p").select("o_orderkey", F.col("o_orderstatus").alias("s"))
+    return quasi.pram(t("orders"), "o_orderstatus", PRAM, "o_orderkey", "p", draws.uniform).select("o_orderkey", F.col("o_orderstatus").alias("s"))
 
 
 @query(f"SELECT c_custkey, CASE WHEN count(*) OVER (PARTITION BY r_name, c_mktsegment, bal) >= 20 THEN bal END AS bal FROM {CUST}")
@@ -458,7 +506,7 @@ def e16_vector_norm(t):
 @query(f"""SELECT vec_id, i, CASE WHEN x = 0 THEN 0::double ELSE x END AS x FROM (SELECT vec_id, i::int AS i, round(x * least(1, 1 / norm) + 0.05 * (sqrt(-2 * ln({u_sql('va', 'vec_id', 'i')})) * cos(2 * pi() * {u_sql('vb', 'vec_id', 'i')})), 5) AS x
 FROM (SELECT vec_id, unnest(embedding)::double AS x, unnest(range(len(embedding))) AS i, sqrt(list_sum([x::double * x::double FOR x IN embedding])) AS norm FROM embeddings))""")
 def e16_noise_vector(t):
-    noisy = quasi.noise_vector(t("embeddings"), "embedding", 1.0, 0.05, "vec_id", "v")
+    noisy = quasi.noise_vector(t("embeddings"), "embedding", 1.0, 0.05, "vec_id", "v", draws.uniform)
     return noisy.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", r("x", 5)).withColumn("x", F.when(F.col("x") == 0, 0.0).otherwise(F.col("x")))  # no -0.0
 
 
@@ -495,6 +543,16 @@ def f5_reidentification_risk(t):
     return risk.reidentification_risk(customers(t), QI).select(r("max_risk").alias("max_risk"), r("avg_risk").alias("avg_risk"))
 
 
+FINE = "(SELECT n_name, c_mktsegment, bal, count(*) FILTER (c_custkey % 3 = 0) AS k, count(*) AS n FROM {} GROUP BY 1, 2, 3 HAVING k > 0)".format(CUST)
+
+
+@query(f"SELECT round(max(1 / n), 6) AS max_risk, round(sum(k / n) / sum(k), 6) AS avg_risk, coalesce(sum(k) FILTER (k = 1), 0)::bigint AS n_unique, coalesce(sum(k) FILTER (k = 1 AND n = 1), 0)::bigint AS n_population_unique, 0::bigint AS n_unknown FROM {FINE}")
+def f5_journalist_risk(t):
+    c = customers(t)
+    out = risk.journalist_risk(c.where("c_custkey % 3 = 0"), c, ["n_name", "c_mktsegment", "bal"])
+    return out.withColumns({"max_risk": r("max_risk"), "avg_risk": r("avg_risk")})
+
+
 @query(f"SELECT min(k) >= 5 AS safe FROM (SELECT count(*) AS k FROM {CUST} GROUP BY r_name, c_mktsegment, bal)")
 def g1_k_anonymity_check(t):
     return t.spark.createDataFrame([(risk.is_k_anonymous(customers(t), QI, 5),)], "safe boolean")
@@ -526,11 +584,19 @@ def g3_full_domain(t):
 
 @query("SELECT true AS safe, true AS apart, count(*) AS n_rows FROM customer")
 def g4_mondrian(t):
-    """Parts hold 10 rows or more, and no two parts overlap in their boxes (counted by box corners); see also tests/test_mondrian.py."""
+    """Parts hold 10 rows or more, and the two halves of every split lie apart on some quasi-identifier; see also tests/test_mondrian.py."""
     parts = risk.mondrian(t("customer"), ["c_nationkey", "c_acctbal"], 10)
-    box = parts.groupBy("part").agg(F.count("*").alias("k"), F.min("c_nationkey").alias("a"), F.max("c_nationkey").alias("b"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
-    inside = t("customer").join(F.broadcast(box), (F.col("c_nationkey").between(F.col("a"), F.col("b"))) & F.col("c_acctbal").between(F.col("lo"), F.col("hi"))).count()
-    return box.agg((F.min("k") >= 10).alias("safe"), (F.sum("k") == inside).alias("apart"), F.sum("k").alias("n_rows"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("c_nationkey", "c_acctbal") for f in (F.min, F.max)]
+    leaves = parts.groupBy("part").agg(F.count("*").alias("k"), *ends)
+    # Each part's box belongs to all halves it came from: a row for each prefix of its path, whose length is log(parts).
+    up = leaves.withColumn("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.substr("part", F.lit(1), i))))
+    box = up.where("length(path) > 1").groupBy("path").agg(*[g(f"{f}_{c}").alias(f"{f}_{c}") for c in ("c_nationkey", "c_acctbal") for f, g in (("min", F.min), ("max", F.max))])
+    side = F.right("path", F.lit(1))
+    both = box.groupBy(F.expr("left(path, length(path) - 1)").alias("of")).agg(*[F.max(F.when(side == s, F.col(x))).alias(f"{x}_{s}") for x in box.columns[1:] for s in ("0", "1")])
+    split = F.col("max_c_nationkey_0") < F.col("min_c_nationkey_1")
+    split = split | (F.col("max_c_acctbal_0") < F.col("min_c_acctbal_1"))
+    apart = both.agg(F.coalesce(F.min(split), F.lit(True))).first()[0]
+    return leaves.agg((F.min("k") >= 10).alias("safe"), F.lit(apart).alias("apart"), F.sum("k").alias("n_rows"))
 
 
 BY = "(SELECT r_name, bal, c_mktsegment, count(*) AS n FROM {} GROUP BY 1, 2, 3)".format(CUST)
@@ -623,8 +689,8 @@ def h9_select_partitions(t):
 
 @query(f"SELECT round((avg(CASE WHEN CASE WHEN u < 0.75 THEN value > 100 ELSE v < 0.5 END THEN 1.0::double ELSE 0.0::double END) - 0.125::double) / 0.75::double, 6) AS share FROM (SELECT *, {u_sql('w1', 'event_id')} AS u, {u_sql('w2', 'event_id')} AS v FROM events)")
 def h10_randomized_response(t):
-    said = dp.warner(F.col("value") > 100, 0.75, draws.uniform("w1", "event_id"), draws.uniform("w2", "event_id"))
-    return t("events").agg(r((F.avg(F.when(said, 1.0).otherwise(0.0)) - 0.125) / 0.75).alias("share"))
+    said = dp.randomized_response(t("events").select("event_id", (F.col("value") > 100).alias("high")), "high", 0.75, "event_id", draw=draws.uniform, ledger=dp.Ledger(2.0))
+    return said.agg(r((F.avg(F.when(F.col("high"), 1.0).otherwise(0.0)) - 0.125) / 0.75).alias("share"))
 
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -650,7 +716,28 @@ FLIP = 1 / (1 + math.exp(0.5))
 @query(f"""SELECT event_type, sum(CASE WHEN (u < {FLIP!r}::double) <> own THEN 1 ELSE 0 END)::bigint AS bits FROM (SELECT event_type, {u_sql('bloom', 'event_id', 'b')} AS u,
 list_contains([('0x' || substr(md5('bloom' || i || event_type), 1, 7))::bigint % 32 FOR i IN [0, 1]], b) AS own FROM (SELECT event_id, event_type, unnest(range(32)) AS b FROM events)) GROUP BY 1""")
 def h12_bloom_reports(t):
-    return dp.bloom_report(t("events"), "event_type", 32, 2, 2.0, "event_id").groupBy("event_type").agg(F.sum(F.aggregate("report", F.lit(0), lambda a, x: a + x)).alias("bits"))
+    return dp.bloom_report(t("events"), "event_type", 32, 2, 2.0, "event_id", draw=draws.uniform).groupBy("event_type").agg(F.sum(F.aggregate("report", F.lit(0), lambda a, x: a + x)).alias("bits"))
+
+
+BITS = f"""(SELECT b, sum(CASE WHEN (u < {FLIP!r}::double) <> own THEN 1 ELSE 0 END) AS c, count(*) AS n FROM (SELECT b, {u_sql('bloom', 'event_id', 'b')} AS u,
+list_contains([('0x' || substr(md5('bloom' || i || event_type), 1, 7))::bigint % 32 FOR i IN [0, 1]], b) AS own FROM (SELECT event_id, event_type, unnest(range(32)) AS b FROM events)) GROUP BY 1)"""
+
+
+def _bloom(t) -> DataFrame:
+    return dp.bloom_report(t("events"), "event_type", 32, 2, 2.0, "event_id", draw=draws.uniform)
+
+
+@query(f"SELECT b::int AS bit, round((c - {FLIP!r}::double * n) / {(1 - 2 * FLIP)!r}::double, 4) AS estimate, n FROM {BITS}")
+def h12_debiased_bits(t):
+    return dp.debiased_bits(_bloom(t), 32, 2, 2.0).withColumn("estimate", r("estimate", 4))
+
+
+@query("SELECT event_type AS value, count(*) AS n, true AS near FROM events GROUP BY 1")
+def h12_bloom_estimates(t):
+    """Counts decoded from the reports, each within four standard errors of the exact one."""
+    found = dp.estimate_bloom(_bloom(t), TYPES, 32, 2, 2.0)
+    exact = t("events").groupBy(F.col("event_type").alias("value")).agg(F.count("*").alias("n"))
+    return exact.join(F.broadcast(found), "value").select("value", "n", (F.abs(F.col("estimate") - F.col("n")) <= 4 * F.col("error")).alias("near"))
 
 
 P8 = _keep(2.0, 8)
@@ -659,12 +746,12 @@ CELLS = f"(SELECT event_id, CASE WHEN u < {P8!r}::double THEN c ELSE (c + floor(
 
 @query(f"SELECT event_id, cell FROM {CELLS}")
 def h13_local_hashing(t):
-    return dp.local_hash_report(t("events"), "event_type", 2.0, "event_id").select("event_id", "cell")
+    return dp.local_hash_report(t("events"), "event_type", 2.0, "event_id", draw=draws.uniform).select("event_id", "cell")
 
 
 @query(f"SELECT v AS value, round((count(*) FILTER (floor({u_sql('olhh', 'event_id', 'v')} * 8) = cell) - count(*) / 8) / {P8 - 1 / 8!r}::double, 4) AS estimate FROM {CELLS}, (SELECT unnest({TYPE_LIST}) AS v) GROUP BY 1")
 def h13_hashed_estimates(t):
-    return dp.estimate_hashed(dp.local_hash_report(t("events"), "event_type", 2.0, "event_id"), TYPES, 2.0).withColumn("estimate", r("estimate", 4))
+    return dp.estimate_hashed(dp.local_hash_report(t("events"), "event_type", 2.0, "event_id", draw=draws.uniform), TYPES, 2.0).withColumn("estimate", r("estimate", 4))
 
 
 # I. Linkage and utility
@@ -683,13 +770,29 @@ def _blocks(table: str, key: str, x: str, q: int) -> str:
     return f"(SELECT {key}, b::int AS band, list_min([substr(md5('block' || b || g), 1, 12) FOR g IN {_grams(x, q)}]) AS key FROM {table}, (SELECT unnest(range(4)) AS b))"
 
 
-BLOOM = f"(SELECT n_name, list_distinct(flatten([[('0x' || substr(md5('b' || i || g), 1, 7))::bigint % 256 FOR i IN [0, 1]] FOR g IN {_grams('n_name', 2)}])) AS x FROM nation)"
+def _bits(table: str, key: str, x: str, q: int, bits: int) -> str:
+    return f"(SELECT {key}, list_distinct(flatten([[('0x' || substr({hmac_sql("i || '|' || g")}, 1, 7))::bigint % {bits} FOR i IN [0, 1]] FOR g IN {_grams(x, q)}])) AS x FROM {table})"
+
+
+BLOOM = _bits("nation", "n_name", "n_name", 2, 256)
 
 
 @query(f"""SELECT a, b, round(2 * len(list_intersect(l.x, r.x)) / (len(l.x) + len(r.x)), 6) AS dice FROM (SELECT DISTINCT p.n_name AS a, q.n_name AS b FROM {_blocks('nation', 'n_name', 'n_name', 2)} AS p
 JOIN {_blocks('nation', 'n_name', 'n_name', 2)} AS q ON p.band = q.band AND p.key = q.key AND p.n_name < q.n_name) JOIN {BLOOM} AS l ON l.n_name = a JOIN {BLOOM} AS r ON r.n_name = b""")
 def i2_bloom_dice(t):
-    return utility.link(t("nation"), "n_name", "n_name", 2, 4, 256, 2).withColumn("dice", r("dice"))
+    return utility.link(t("nation"), "n_name", "n_name", 2, 4, 256, 2, KEY).withColumn("dice", r("dice"))
+
+
+@query(f"""SELECT a, b, round(dice, 6) AS dice FROM (SELECT l.c_custkey AS a, r.c_custkey AS b, 2 * len(list_intersect(l.x, r.x)) / (len(l.x) + len(r.x)) AS dice FROM {_bits('customer', 'c_custkey', 'c_name', 2, 512)} AS l
+JOIN {_bits('customer', 'c_custkey', 'c_name', 2, 512)} AS r ON l.c_custkey < r.c_custkey) WHERE dice >= 0.96""")
+def i2_lsh_link(t):
+    """Names that are alike, by Hamming blocks: rows of pairs, equal encodings by their classes; at this similarity no pair of these names is missed."""
+    found, members = utility.lsh_link(t("customer"), "c_custkey", "c_name", 2, 512, 2, KEY, 0.96)
+    members = io.stash(members, "members")
+    one, two = (members.select(F.col("id").alias(n), F.col("class").alias(c)) for n, c in (("i", "a"), ("j", "b")))
+    apart = found.join(one, "a").join(two, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "dice")
+    alike = members.select(F.col("id").alias("a"), "class").join(members.select(F.col("id").alias("b"), "class"), "class").where("a < b").select("a", "b", F.lit(1.0).alias("dice"))
+    return apart.unionByName(alike).withColumn("dice", r("dice"))
 
 
 @query(f"SELECT s_suppkey, band, key FROM {_blocks('supplier', 's_suppkey', 's_name', 3)}")
@@ -725,9 +828,9 @@ def stream(t, name: str = "events", cols: tuple[str, ...] = ("event_id", "ts", "
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in cols else s
 
 
-def done(t, df: DataFrame, mode: str = "append") -> DataFrame:
+def done(t, df: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFrame:
     out = io.scratch(t.spark, "stream")
-    io.release_stream(df, out, io.scratch(t.spark, "state"), mode)
+    io.release_stream(df, out, io.scratch(t.spark, "state"), mode, rocksdb)
     return t.spark.read.schema(df.schema).parquet(out).select(*df.columns)
 
 
@@ -745,6 +848,18 @@ def j2_tumbling_window(t):
     return _plain(done(t, ops.windowed_counts(stream(t), "ts", "1 hour", by=("event_type",)), "complete"))
 
 
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::timestamp AS window_start, time_bucket(INTERVAL 1 HOUR, ts)::timestamp + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def j2_update_window(t):
+    """Four batches, out of order: each writes the windows it changed, and the last state of each window counts."""
+    files = io.scratch(t.spark, "arrivals")
+    t("events").select("event_type", F.col("ts").cast("timestamp").alias("ts")).repartition(4, F.xxhash64("event_id")).write.parquet(files)
+    s = io.read_stream(t.spark, files, t.spark.read.parquet(files).schema, maxFilesPerTrigger=1)
+    counts = ops.windowed_counts(s, "ts", "1 hour", watermark="60 days", by=("event_type",))
+    out = io.scratch(t.spark, "stream")
+    io.release_stream(counts, out, io.scratch(t.spark, "state"), "update")
+    return _plain(io.latest(t.spark, out, counts.schema, ["window_start", "window_end", "event_type"]))
+
+
 @query("SELECT w::timestamp AS window_start, w::timestamp + INTERVAL 2 HOUR AS window_end, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1, 2")
 def j3_sliding_window(t):
     return _plain(done(t, ops.windowed_counts(stream(t), "ts", "2 hours", "1 hour"), "complete"))
@@ -777,8 +892,20 @@ def j7_j8_bound_contributions(t):
 
 @query("SELECT event_id FROM events WHERE (event_type, floor(value / 50)) IN (SELECT (event_type, floor(value / 50)) FROM events GROUP BY event_type, floor(value / 50) HAVING count(DISTINCT user_id) >= 20)")
 def j9_stream_k_anonymity(t):
+    """A delay longer than the stream: classes of 20 users in all."""
     s = stream(t).withColumn("bin", F.floor(F.col("value") / 50))
-    return done(t, ops.stream_k_anonymize(s, ["event_type", "bin"], "user_id", 20, "ts", "60 days").select("event_id"))
+    return done(t, ops.stream_k_anonymize(s, ["event_type", "bin"], "user_id", 20, "ts", "60 days").select("event_id"), rocksdb=True)
+
+
+HELD = "(SELECT *, floor(value / 100) AS bin FROM events)"
+
+
+@query(f"""SELECT event_id FROM {HELD} AS e JOIN (SELECT event_type, bin, min(ts) AS opened FROM (SELECT a.event_type, a.bin, a.event_id, a.ts, count(DISTINCT b.user_id) AS users FROM {HELD} AS a JOIN {HELD} AS b
+ON a.event_type = b.event_type AND a.bin = b.bin AND b.ts BETWEEN a.ts - INTERVAL 2 DAY AND a.ts GROUP BY 1, 2, 3, 4) WHERE users >= 8 GROUP BY 1, 2) AS o USING (event_type, bin) WHERE e.ts >= o.opened - INTERVAL 2 DAY""")
+def j9_stream_k_anonymity_delay(t):
+    """A delay of two days: a class opens with the first window that holds 8 users, and what is older is suppressed."""
+    s = stream(t).withColumn("bin", F.floor(F.col("value") / 100))
+    return done(t, ops.stream_k_anonymize(s, ["event_type", "bin"], "user_id", 8, "ts", "2 days").select("event_id"), rocksdb=True)
 
 
 def _tree(bits: int = 6) -> str:
@@ -793,7 +920,15 @@ FROM (SELECT DISTINCT event_type FROM events) AS k, (SELECT unnest(range(31)) AS
 def j10_continual_count(t):
     """Days since the release began, each released once, when the watermark has passed its end."""
     s = stream(t).select("event_type", "ts")
-    return done(t, ops.continual_count(s, "event_type", "ts", "2024-01-01", "1 day", 31, 1.0, noise=ops.derived_noise("tree"))).withColumn("noisy_count", r("noisy_count", 5))
+    out = ops.continual_count(s, "event_type", "ts", "2024-01-01", "1 day", 31, 1.0, noise=ops.derived_noise("tree"), ledger=dp.Ledger(1.0))
+    return done(t, out, rocksdb=True).withColumn("noisy_count", r("noisy_count", 5))
+
+
+@query("SELECT event_type, CASE WHEN ts < TIMESTAMP '2024-01-05' THEN 'early' ELSE 'late' END AS reason, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-05' OR ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2")
+def j10_outside_horizon(t):
+    """The side output of a count over ten days: what it leaves out, counted."""
+    bad = ops.outside(stream(t).select("event_type", "ts"), "ts", "2024-01-05", "1 day", 10)
+    return done(t, bad.groupBy("event_type", "reason").agg(F.count("*").alias("n")), "complete")
 
 
 # K. UDF surface
@@ -816,6 +951,45 @@ def k2_pandas_udf(t):
     return t("part").select(F.col("p_name").alias("part_name")).distinct().withColumn("word", plain(F.concat("part_name", F.lit(" Ünïté"))))
 
 
+@query("SELECT c_custkey, s.s_suppkey FROM customer JOIN (SELECT s_nationkey, s_suppkey FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) <= 2) AS s ON c_nationkey = s.s_nationkey")
+def k1_sql_table_function(t):
+    """A parametrized view: the two largest suppliers of a nation, by customer."""
+    t("supplier").createOrReplaceTempView("umbra_supplier")
+    t("customer").createOrReplaceTempView("umbra_customer")
+    t.spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION umbra_largest(nation INT) RETURNS TABLE (s_suppkey BIGINT)
+RETURN SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r FROM umbra_supplier WHERE s_nationkey = nation) WHERE r <= 2""")
+    return t.spark.sql("SELECT c_custkey, s_suppkey FROM umbra_customer, LATERAL umbra_largest(c_nationkey)")
+
+
+PAIRS = "(SELECT DISTINCT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part)"
+
+
+def _pairs(t) -> DataFrame:
+    return t("part").select(F.split("p_name", " ")[0].alias("a"), F.split("p_name", " ")[1].alias("b")).distinct()
+
+
+@query(f"SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS alike FROM {PAIRS} WHERE a IS NOT NULL AND b IS NOT NULL")
+def k2_arrow_udf(t):
+    """Jaro-Winkler similarity, which Spark has no function for, on Arrow arrays."""
+
+    @F.arrow_udf("double")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([strings.jaro_winkler(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+    return _pairs(t).where("a is not null and b is not null").withColumn("alike", r(alike("a", "b")))
+
+
+@query(f"SELECT a, b, damerau_levenshtein(a, b)::bigint AS edits FROM {PAIRS} WHERE a IS NOT NULL AND b IS NOT NULL")
+def k4_map_in_pandas(t):
+    """Edits with transpositions, which Spark's levenshtein does not count as one."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(edits=[strings.edits(x, y) for x, y in zip(pdf.a, pdf.b, strict=True)])
+
+    return _pairs(t).where("a is not null and b is not null").mapInPandas(run, "a string, b string, edits long")
+
+
 @query("SELECT c_nationkey, round(mad(c_acctbal), 4) AS spread FROM customer GROUP BY 1")
 def k3_grouped_agg_udf(t):
     """The median absolute deviation, which Spark has no aggregate for."""

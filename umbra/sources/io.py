@@ -70,16 +70,40 @@ def release(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[
         w.partitionBy(*partition_by).save(path)
 
 
-def release_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+#: Of Spark, by name: the state store that transformWithState needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def release_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append", rocksdb: bool = False):
     """Run what is available to Parquet and stop.
 
     A batch is a folder of its own, batch=<n>, overwritten when it is tried again, so a retry repeats no row. In
-    complete mode the last result replaces the one before.
+    complete mode the last result replaces the one before. In update mode a batch holds the rows that it changed:
+    read them by `latest`.
     """
 
     def save(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={n}")
 
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+    conf, key = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    if rocksdb:
+        conf.set(key, ROCKSDB)
+    try:
+        q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+    finally:
+        if rocksdb:
+            conf.unset(key) if before is None else conf.set(key, before)
     q.awaitTermination()
     return q
+
+
+def latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """What an update-mode stream has written up to now: each key's row of its last batch. Nulls are a key."""
+    from pyspark.sql import functions as F
+
+    names = [f.name for f in schema]
+    rest = [c for c in names if c not in keys]
+    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in names else schema).option("basePath", path).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__row"))
+    return last.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in names if c != "batch"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -43,52 +45,92 @@ def sorted_chunks(chunks: Iterator[pd.DataFrame], order: list[str]) -> list[pd.D
     return [pd.concat(parts).sort_values(order)] if parts else []
 
 
-def stream_k_anonymize(df: DataFrame, qi: list[str], unit: str, k: int, event_time: str, max_delay: str, watermark: str = "1 hour") -> DataFrame:
-    """A class's rows are held until k different units came within max_delay, then released; later rows pass at once.
+def _blob(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    Rows held longer than max_delay of event time are suppressed: a class's state is the rows, of fewer than k
-    units, of its last max_delay, or a flag. Rows come out in the order of event time; null times are suppressed.
-    """
-    columns, schema = df.columns, df.schema
-    delay = pd.Timedelta(max_delay)
 
-    def run(key, chunks: Iterator[pd.DataFrame], state: GroupState):
-        open_, held = state.get if state.exists else (False, None)
-        if state.hasTimedOut:
-            state.remove()  # closed, and all rows held are too old
-            return
-        parts = [c[columns] for c in chunks]
-        if not open_:
-            if held is not None:
-                with pa.ipc.open_stream(held) as r:
-                    parts.insert(0, r.read_pandas()[columns])
-            rows = pd.concat(parts).dropna(subset=[event_time]).sort_values(event_time, kind="stable")
-            times, units = rows[event_time].tolist(), rows[unit].tolist()
-            first, seen = 0, {}
-            for i, (t, u) in enumerate(zip(times, units, strict=True)):
-                seen[u] = seen.get(u, 0) + 1
-                while times[first] < t - delay:
-                    seen[units[first]] -= 1
-                    if not seen[units[first]]:
-                        del seen[units[first]]
-                    first += 1
-                if len(seen) >= k:
-                    open_ = True
-                    break
-            parts = [rows.iloc[first:]]
-        if open_:
-            state.update((True, None))
+def _rows(blob: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(blob) as r:
+        return r.read_pandas()
+
+
+def _ms(t: pd.Timestamp) -> int:
+    return int(t.timestamp() * 1000) + 1
+
+
+class _Hold(StatefulProcessor):
+    """State of a class: a flag once it is open, else a list with an entry for each batch that brought rows: (the last time in it, its rows)."""
+
+    def __init__(self, columns: list[str], unit: str, k: int, event_time: str, delay: pd.Timedelta):
+        self.columns, self.unit, self.k, self.event_time, self.delay = columns, unit, k, event_time, delay
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "open boolean")
+        self.held = handle.getListState("held", "last long, rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [c[self.columns] for c in rows]
+        if self.open.exists():
             yield from parts
-        elif len(parts[0]):
-            sink = pa.BufferOutputStream()
-            table = pa.Table.from_pandas(parts[0], preserve_index=False)
-            with pa.ipc.new_stream(sink, table.schema) as w:
-                w.write_table(table)
-            state.update((False, sink.getvalue().to_pybytes()))
-            end = int((parts[0][event_time].max() + delay).timestamp() * 1000) + 1
-            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+            return
+        new = pd.concat(parts).dropna(subset=[self.event_time])
+        if not len(new):
+            return
+        old = list(self.held.get()) if self.held.exists() else []
+        all_ = pd.concat([*[_rows(bytes(r[1]))[self.columns] for r in old], new]).sort_values(self.event_time, kind="stable")
+        first = self._opens(all_[self.event_time].tolist(), all_[self.unit].tolist())
+        self._cancel()
+        if first is not None:
+            self.open.update((True,))
+            if old:
+                self.held.clear()
+            yield all_.iloc[first:]
+            return
+        self.held.appendValue((_ms(new[self.event_time].max()), _blob(new)))  # what is held already stays as it is
+        end = _ms(all_[self.event_time].max() + self.delay)
+        self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def _opens(self, times: list, units: list) -> int | None:
+        """Where the first window of max_delay that holds k units begins."""
+        first, seen = 0, {}
+        for t, u in zip(times, units, strict=True):
+            seen[u] = seen.get(u, 0) + 1
+            while times[first] < t - self.delay:
+                seen[units[first]] -= 1
+                if not seen[units[first]]:
+                    del seen[units[first]]
+                first += 1
+            if len(seen) >= self.k:
+                return first
+        return None
+
+    def _cancel(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """All rows held are too old."""
+        self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_k_anonymize(df: DataFrame, qi: list[str], unit: str, k: int, event_time: str, max_delay: str, watermark: str = "1 hour") -> DataFrame:
+    """A class's rows are held until k different units came within max_delay, then released; later rows pass at once.
 
-    return df.withWatermark(event_time, watermark).groupBy(*qi).applyInPandasWithState(run, schema, "open boolean, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    Rows held longer than max_delay of event time are suppressed: when the class opens, or by a timer max_delay after its
+    last row. Rows come out in the order of event time; null times are suppressed. Held rows are list state, to which a batch adds
+    its own; nothing is rewritten. Needs RocksDB state: run it by `io.release_stream(..., rocksdb=True)`.
+    """
+    hold = _Hold(df.columns, unit, k, event_time, pd.Timedelta(max_delay))
+    return df.withWatermark(event_time, watermark).groupBy(*qi).transformWithStateInPandas(hold, df.schema, "append", "eventTime")
 
 
 def derived_noise(salt: str):
@@ -104,49 +146,83 @@ def fresh_noise(key: str, level: int, index: int) -> float:
     return (int.from_bytes(os.urandom(7), "little") >> 3) / 2.0**53 + 2.0**-54
 
 
-def continual_count(df: DataFrame, by: str, event_time: str, start: str, interval: str, horizon: int, epsilon: float, watermark: str = "1 hour", noise=fresh_noise) -> DataFrame:
-    """Running count after each step 0..horizon-1 by the binary tree mechanism: (by, step, noisy_count).
+def step_of(event_time: str, start: str, interval: str) -> Column:
+    """The number of the interval since start (UTC) that a time lies in; null for a null time."""
+    ms = F.unix_millis(F.col(event_time)) - F.lit(pd.Timestamp(start).value // 10**6)
+    return F.floor(ms / F.lit(pd.Timedelta(interval).value // 10**6)).cast("long")
 
-    Step t is the t-th interval from start (UTC). A step is released once, when the watermark has passed its end: its
-    count is the sum of the tree nodes that cover [0, t], each with Laplace noise of scale levels/epsilon
-    that is drawn once and kept while the node is in use, so the state is log(horizon) draws and the
-    counts of open steps. Rows of steps already released are too late and not counted; null times and times
-    outside the horizon raise an error. Values of `by` must be public.
-    """
-    import math
 
-    levels = math.ceil(math.log2(max(horizon, 2))) + 1
-    scale, origin, width = levels / epsilon, pd.Timestamp(start).value // 10**6, pd.Timedelta(interval).value // 10**6
+def outside(df: DataFrame, event_time: str, start: str, interval: str, horizon: int) -> DataFrame:
+    """The rows that continual_count leaves out: null times and times outside the horizon, with a column `reason`. A stream of their own, to be counted or kept."""
+    step = step_of(event_time, start, interval)
+    reason = F.when(step.isNull(), "null").when(step < 0, "early").when(step >= horizon, "late")
+    return df.withColumn("reason", reason).where("reason is not null")
 
-    def laplace(u: float) -> float:
-        return -scale * math.copysign(1, u - 0.5) * math.log(1 - 2 * abs(u - 0.5))
 
-    def run(key, chunks: Iterator[pd.DataFrame], state: GroupState):
-        next_, total, steps, counts, nodes, draws_ = state.get if state.exists else (0, 0, [], [], [], [])
-        waiting, active = dict(zip(steps, counts, strict=True)), dict(zip(nodes, draws_, strict=True))
-        if not state.hasTimedOut:
-            for pdf in chunks:
-                at = pdf[event_time]
-                step = (at.dropna().astype("datetime64[ns]").astype("int64") // 10**6 - origin) // width
-                if len(step) < len(at) or not step.between(0, horizon - 1).all():
-                    raise ValueError(f"{event_time}: null or outside 0..{horizon - 1}")
-                for s, n in step.value_counts().items():
-                    if s >= next_:
-                        waiting[int(s)] = waiting.get(int(s), 0) + int(n)
-        mark, rows = state.getCurrentWatermarkMs(), []
-        while next_ < horizon and origin + (next_ + 1) * width <= mark:
-            total += waiting.pop(next_, 0)
+class _Tree(StatefulProcessor):
+    """State of a key: the next step, the count so far, and the draws of the tree nodes in use, log(horizon) of them."""
+
+    def __init__(self, by: str, origin: int, width: int, horizon: int, epsilon: float, noise):
+        self.by, self.origin, self.width, self.horizon, self.noise = by, origin, width, horizon, noise
+        self.scale = (math.ceil(math.log2(max(horizon, 2))) + 1) / epsilon
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next int, total long, nodes array<int>, draws array<double>")
+        self.waiting = handle.getMapState("waiting", "step long", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for s, n in zip(pdf["step"].tolist(), pdf["n"].tolist(), strict=True):  # a row for each step
+                self.waiting.updateValue((s,), (n,))
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def _laplace(self, u: float) -> float:
+        return -self.scale * math.copysign(1, u - 0.5) * math.log(1 - 2 * abs(u - 0.5))
+
+    def _release(self, key, mark: int) -> Iterator[pd.DataFrame]:
+        next_, total, nodes, draws_ = self.at.get() if self.at.exists() else (0, 0, [], [])
+        active, rows = dict(zip(nodes, draws_, strict=True)), []
+        while next_ < self.horizon and self.origin + (next_ + 1) * self.width <= mark:
+            if self.waiting.containsKey((next_,)):
+                total += self.waiting.getValue((next_,))[0]
+                self.waiting.removeKey((next_,))
             end = next_ + 1
             level = (end & -end).bit_length() - 1
-            active = {n: d for n, d in active.items() if n > level} | {level: laplace(noise(str(key[0]), level, (end >> level) - 1))}
+            active = {n: d for n, d in active.items() if n > level} | {level: self._laplace(self.noise(str(key[0]), level, (end >> level) - 1))}
             rows.append((key[0], next_, total + sum(active[n] for n in sorted(active))))
             next_ += 1
-        state.update((next_, total, list(waiting), list(waiting.values()), list(active), list(active.values())))
-        if next_ < horizon:
-            state.setTimeoutTimestamp(max(origin + (next_ + 1) * width, mark + 1))
+        self.at.update((next_, total, list(active), list(active.values())))
+        if next_ < self.horizon:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(max(self.origin + (next_ + 1) * self.width, mark + 1))
         if rows:
-            yield pd.DataFrame(rows, columns=[by, "step", "noisy_count"])
+            yield pd.DataFrame(rows, columns=[self.by, "step", "noisy_count"])
+
+    def close(self) -> None:
+        pass
 
-    kind = dict(df.dtypes)[by]
-    own = df.withWatermark(event_time, watermark).groupBy(by)
-    return own.applyInPandasWithState(run, f"`{by}` {kind}, step int, noisy_count double", "next int, total long, steps array<long>, counts array<long>, nodes array<int>, draws array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+def continual_count(df: DataFrame, by: str, event_time: str, start: str, interval: str, horizon: int, epsilon: float, watermark: str = "1 hour", noise=fresh_noise, ledger=None, name: str = "continual") -> DataFrame:
+    """Running count after each step 0..horizon-1 by the binary tree mechanism: (by, step, noisy_count).
+
+    Step t is the t-th interval from start (UTC). A step is released once, when the watermark has passed its end: its
+    count is the sum of the tree nodes that cover [0, t], each with Laplace noise of scale levels/epsilon
+    that is drawn once and kept while the node is in use. Two stateful operators: events are counted by key and
+    step, partly before the shuffle, and the Python state gets a row for each of these counts, not for each event. Rows of steps already
+    released are too late and not counted; null times and times outside the horizon are left out: see `outside`. Values of `by`
+    must be public. Charges epsilon to the ledger for the whole stream. Needs RocksDB state: `io.release_stream(..., rocksdb=True)`.
+    """
+    if ledger:
+        ledger.spend(name, epsilon)
+    origin, width = pd.Timestamp(start).value // 10**6, pd.Timedelta(interval).value // 10**6
+    inside = df.withWatermark(event_time, watermark).where(step_of(event_time, start, interval).between(0, horizon - 1))
+    window = F.window(event_time, f"{width} milliseconds", startTime=f"{origin % width} milliseconds")
+    counts = inside.groupBy(window, F.col(by)).agg(F.count("*").alias("n"))
+    steps = counts.select(by, F.window_time("window").alias("__at"), "n").withColumn("step", step_of("__at", start, interval))
+    tree = _Tree(by, origin, width, horizon, epsilon, noise)
+    return steps.groupBy(by).transformWithStateInPandas(tree, f"`{by}` {dict(df.dtypes)[by]}, step int, noisy_count double", "append", "eventTime")
