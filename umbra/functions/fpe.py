@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,40 +50,54 @@ class FF1:
         return self._replace(F.col(col) if isinstance(col, str) else col, reversed(range(ROUNDS)), True)
 
     def _replace(self, col: Column, rounds, back: bool) -> Column:
-        chars = F.filter(F.split(col, ""), lambda c: c != "")
+        rounds = list(rounds)
         inside = lambda c: F.instr(F.lit(self.alphabet), c) > 0
-        own = F.filter(chars, inside)
-        new = self._cipher(own, list(rounds), back)
-        # The k-th numeral goes where the k-th numeral was.
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(chars), F.lit(1)) - 1), lambda i: inside(F.get(chars, i)))
-        put = F.transform(chars, lambda c, i: F.when(inside(c), F.get(new, (F.array_position(places, i) - 1).cast("int"))).otherwise(c))
-        return F.when(F.size(own).between(self.least, self.most), F.array_join(put, ""))
+
+        def put(chars: Column, own: Column) -> Column:
+            """The k-th numeral goes where the k-th numeral was."""
+            places = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: inside(F.get(chars, i)))
+            at = lambda places, i: (F.array_position(places, i) - 1).cast("int")
+            swap = lambda new, places: F.transform(chars, lambda c, i: F.when(inside(c), F.get(new, at(places, i))).otherwise(c))
+            return F.array_join(_let(self._cipher(own, rounds, back), lambda new: _let(places, lambda places: swap(new, places))), "")
+
+        chars = F.filter(F.split(col, ""), lambda c: c != "")
+        fits = lambda own: F.size(own).between(self.least, self.most)
+        return _let(chars, lambda chars: _let(F.filter(chars, inside), lambda own: F.when(fits(own), put(chars, own))))
 
     def _by_length(self, values: list, kind: str, n: Column) -> Column:
         """A constant that depends on the number of numerals."""
         return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), n - self.least)
 
     def _cipher(self, numerals: Column, rounds: list[int], back: bool) -> Column:
+        """The numerals after the rounds; what depends on their number alone is looked up once a value."""
         radix, lengths = len(self.alphabet), range(self.least, self.most + 1)
-        n = F.size(numerals)
-        digit = lambda c: F.instr(F.lit(self.alphabet), c) - 1
-        number = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, c: a * radix + digit(c))
-        u = F.floor(n / 2).cast("int")
-        v = n - u
-        size_u, size_v = (self._by_length([radix ** _halves(k)[i] for k in lengths], "decimal(19,0)", n) for i in (0, 1))
         width = [_number_bytes(k, radix) for k in lengths]
         head = [bytes([1, 2, 1, *radix.to_bytes(3, "big"), 10, _halves(k)[0] % 256, *k.to_bytes(4, "big"), *len(self.tweak).to_bytes(4, "big")]) for k in lengths]
         # P, the tweak and the zeros before the round's number, by length.
         fixed = [(p + self.tweak + bytes((-len(self.tweak) - b - 1) % 16)).hex() for p, b in zip(head, width, strict=True)]
-        first, count, blocks = self._by_length(fixed, "string", n), self._by_length(width, "int", n), self._by_length([(len(f) // 2 + 1 + b) // 16 for f, b in zip(fixed, width, strict=True)], "int", n)
-        taken = self._by_length([4 * math.ceil(b / 4) + 4 for b in width], "int", n)  # 4 to 12 bytes: one AES block
+        by_length = {
+            "first": ("string", fixed), "count": ("int", width),
+            "blocks": ("int", [(len(f) // 2 + 1 + b) // 16 for f, b in zip(fixed, width, strict=True)]),
+            "taken": ("int", [4 * math.ceil(b / 4) + 4 for b in width]),  # 4 to 12 bytes: one AES block
+        } | {f"size_{h}": ("decimal(19,0)", [radix ** _halves(k)[i] for k in lengths]) for i, h in enumerate("uv")}
+        n = F.size(numerals)
+        own = F.struct(n.alias("n"), F.floor(n / 2).cast("int").alias("u"), *[self._by_length(v, kind, n).alias(k) for k, (kind, v) in by_length.items()])
+        return _let(own, lambda own: self._rounds(numerals, own, rounds, back))
+
+    def _rounds(self, numerals: Column, own: Column, rounds: list[int], back: bool) -> Column:
+        radix = len(self.alphabet)
+        digit = lambda c: F.instr(F.lit(self.alphabet), c) - 1
+        number = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, c: a * radix + digit(c))
+        n, u, size_u, size_v, count = own["n"], own["u"], own["size_u"], own["size_v"], own["count"]
+        v = n - u
 
         def draw(half: Column, i: Column, size: Column) -> Column:
             """The round's number, modulo `size`."""
-            text = F.concat(first, F.lpad(F.hex(i), 2, "0"), F.lpad(F.hex(half.cast("long")), 2 * count, F.lit("0")))
+            text = F.concat(own["first"], F.lpad(F.hex(i), 2, "0"), F.lpad(F.hex(half.cast("long")), 2 * count, F.lit("0")))
             sealed = F.aes_encrypt(F.unhex(text), F.unhex(F.lit(self.key.hex())), F.lit("CBC"), F.lit("DEFAULT"), F.unhex(F.lit("00" * 16)))
-            block = F.substr(sealed, 16 * blocks + 1, taken)  # the vector comes first, so this is the last block but the padding's
-            words = F.transform(F.sequence(F.lit(0), (taken / 4).cast("int") - 1), lambda k: F.conv(F.hex(F.substr(block, 4 * k + 1, F.lit(4))), 16, 10).cast("decimal(19,0)"))
+            block = F.substr(sealed, 16 * own["blocks"] + 1, own["taken"])  # the vector comes first, so this is the last block but the padding's
+            word = lambda block, k: F.conv(F.hex(F.substr(block, 4 * k + 1, F.lit(4))), 16, 10).cast("decimal(19,0)")
+            words = _let(block, lambda block: F.transform(F.sequence(F.lit(0), (own["taken"] / 4).cast("int") - 1), lambda k: word(block, k)))
             return F.aggregate(words, F.lit(0).cast("decimal(38,0)"), lambda a, w: ((a * F.lit(2**32).cast("decimal(10,0)") + w) % size).cast("decimal(38,0)"))
 
         whole = lambda x: x.cast("decimal(38,0)")
@@ -103,4 +118,9 @@ class FF1:
             return F.aggregate(F.sequence(F.lit(1), m), empty, peel, lambda a: a["s"])
 
         end = F.aggregate(F.array(*map(F.lit, rounds)), start, step)
-        return F.transform(F.array(end), lambda e: F.concat(spelled(e["a"], u), spelled(e["b"], v)))[0]
+        return _let(end, lambda e: F.concat(spelled(e["a"], u), spelled(e["b"], v)))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where `value` is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
