@@ -56,3 +56,52 @@ def test_likeness_of_strings():
     assert [edits(*p) for p in (("ca", "abc"), ("ab", "ba"), ("", "abc"), ("kitten", "sitting"), (None, "x"))] == [2, 1, 3, 3, None]
     assert round(jaro_winkler("martha", "marhta"), 4) == 0.9611 and round(jaro_winkler("dixon", "dicksonx"), 4) == 0.8133
     assert jaro_winkler("", "") == 1.0 and jaro_winkler("", "a") == 0.0 and jaro_winkler(None, "a") is None and jaro_winkler("ab", "xy") == 0.0
+
+
+def brute(df, id_col, col, q, bits, least):
+    own = {r["id"]: frozenset(r["bloom"]) for r in utility.bloom_encode(df.select(F.col(id_col).alias("id"), F.col(col).alias("x")).where("x is not null"), "x", q, bits, 2, KEY).collect()}
+    classes = {}
+    for i, x in sorted(own.items()):
+        classes.setdefault(x, i)
+    pairs = {(min(i, j), max(i, j)): 2 * len(x & y) / (len(x) + len(y)) for (x, i), (y, j) in combinations(classes.items(), 2)}
+    return {p: d for p, d in pairs.items() if d >= least}
+
+
+def test_no_pair_is_missed(spark):
+    """Of names that share most letters, and of texts of any length; blocks in parts or whole."""
+    names = io.read(spark, "/root/testdata/sf0.001", "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("n"))
+    words = ["anna", "bert", "carl maria", "d'or", "von und zu", "meier", "müller", "smith-jones", "", "x"]
+    texts = [(i, " ".join(words[(i * k * k + i // 7) % len(words)] for k in range(1, 2 + i % 6))) for i in range(160)] + [(900, None), (901, "ab" * 50), (902, "abcdefghijklmnopqrstuvwxyz" * 2), (903, "abcdefghijklmnopqrstuvwxy")]
+    for df, least in ((names, 0.9), (names, 0.75), (spark.createDataFrame(texts, "id long, n string"), 0.8)):
+        want = brute(df, "id", "n", 2, 200, least)
+        for most in (4096, 5):
+            got = [tuple(r) for r in utility.lsh_link(df, "id", "n", 2, 200, 2, KEY, least, most)[0].collect()]
+            assert len(got) == len(want) > 50 and {(a, b): d for a, b, d in got} == want
+
+
+def test_covering_tables_cover():
+    """Whatever few bits differ, some table holds none of them; more tables than one are needed."""
+    for radius in (1, 2, 3, 4, 6):
+        tables = [set(t) for t in utility.covering_tables(16, radius, KEY)]
+        for r in range(1, radius + 1):
+            assert all(any(t.isdisjoint(d) for t in tables) for d in combinations(range(16), r))
+
+
+def test_sizes_of_similar_sets_are_in_one_level_or_the_next():
+    for least in (0.5, 0.8, 0.96, 1.0):
+        of = {n: i for i, (low, high) in enumerate(utility._levels(300, least)) for n in range(low, high + 1)}
+        assert sorted(of) == list(range(1, 301))
+        assert all(of[b] - of[a] <= 1 for a in of for b in of if b >= a and 2 * a / (a + b) >= least)
+
+
+def test_pairs_of_rows_by_their_classes(spark):
+    """1500 names at 0.9: the pairs of classes with their members, and the members of one class, are all pairs of rows."""
+    df = io.read(spark, "/root/testdata/sf0.01", "customer")
+    own = encodings(df, 512)
+    want = {(a, b) for (a, x), (b, y) in combinations(sorted(own.items()), 2) if 2 * len(x & y) / (len(x) + len(y)) >= 0.9}
+    pairs, members = utility.lsh_link(df, "c_custkey", "c_name", 2, 512, 2, KEY, 0.9)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["class"], []).append(r["id"])
+    got = [(min(i, j), max(i, j)) for r in pairs.collect() for i in of[r["a"]] for j in of[r["b"]]] + [p for m in of.values() for p in combinations(sorted(m), 2)]
+    assert len(got) == len(want) and set(got) == want

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyed
-from ..sources.io import stash
+from ..sources.io import small, spread, stash
 from .groups import annotate
 
+#: Bits that two filters may differ in where they are compared; for more, the bits are dealt to parts.
+NEAR = 3
+
 
 def hashed_intersection(left: DataFrame, right: DataFrame, col: str, key: bytes) -> DataFrame:
     """Keyed hashes that both sides hold (not a cryptographic protocol)."""
@@ -55,7 +58,8 @@ def lsh_blocks(encoded: DataFrame, bits: int, tables: int, sample: int, most: in
 
     Each table samples bits in a keyed order of its own, those first that at least one row in a hundred differs in from
     the others. Blocks are counted, and those with more than `most` rows are divided by `step` further bits, again
-    and again: different filters part in the end. The driver sees a count for each bit.
+    and again: different filters part in the end. The driver sees a count for each bit. Similar filters may share no block, and
+    rounds are many where filters differ in few bits; lsh_link misses no pair.
     """
     n = encoded.count()
     shares = {r["b"]: r["n"] / n for r in encoded.select(F.explode("bloom").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
@@ -75,23 +79,75 @@ def lsh_blocks(encoded: DataFrame, bits: int, tables: int, sample: int, most: in
         at += step
 
 
-def lsh_link(df: DataFrame, id_col: str, col: str, q: int, bits: int, hashes: int, key: bytes, least: float, tables: int = 24, sample: int = 6, most: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, dice) of classes with Dice similarity of at least `least`, and the members (id, class) of each class.
+def covering_tables(bits: int, radius: int, key: bytes) -> list[list[int]]:
+    """Sets of bits, of which any two filters that differ in at most `radius` bits agree in one: LSH without false negatives (Pagh).
+
+    The bits are dealt to parts, in one of which the filters differ in at most NEAR bits, say r. Inside a part each bit draws a
+    vector of r + 1 binary digits. Some vector that is not zero is orthogonal to those of the r bits or fewer that differ,
+    so the filters agree in all bits whose vectors are not orthogonal to it: a table for each vector, 2^(r+1) - 1.
+    """
+    parts = radius // (NEAR + 1) + 1
+    r = radius // parts
+    drawn = [int.from_bytes(hashlib.sha256(key + f"cover{radius}|{b}".encode()).digest()[:8]) for b in range(bits)]
+    part, vector = [d % parts for d in drawn], [d >> 32 & (1 << r + 1) - 1 for d in drawn]
+    return [[b for b in range(bits) if part[b] == p and (vector[b] & v).bit_count() % 2] for p in range(parts) for v in range(1, 1 << r + 1)]
+
+
+def _levels(bits: int, least: float) -> list[tuple[int, int]]:
+    """Ranges of sizes; sets of Dice similarity `least` have their sizes in one or in neighbouring ranges."""
+    out, low = [], 1
+    while low <= bits:
+        out.append((low, min(bits, int(low * (2 - least) / least + 1e-9))))
+        low = out[-1][1] + 1
+    return out
+
 
-    A class is all rows with one encoding, named by its least id; nulls are in no class. Candidates share one of the blocks of
-    lsh_blocks: `tables` times the classes times half of `most` at most, not all pairs. Pairs that share no block are
-    missed; tests/test_linkage.py measures how many.
+def lsh_link(df: DataFrame, id_col: str, col: str, q: int, bits: int, hashes: int, key: bytes, least: float, most: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """All pairs (a, b, dice) of classes with Dice similarity of at least `least` (above 0), and the members (id, class) of each class.
+
+    A class is all rows with one encoding, named by its least id; nulls are in no class. Similar filters have similar
+    sizes and so a bound on the bits they differ in; they share a block of covering_tables, one for each range of
+    sizes. No pair is missed. A block of more than `most` classes is compared in parts, as tasks of their own.
     """
-    own = bloom_encode(df.select(F.col(id_col).alias("id"), F.col(col).alias("__x")).where("__x is not null"), "__x", q, bits, hashes, key)
+    own = bloom_encode(spread(df.select(F.col(id_col).alias("id"), F.col(col).alias("__x")).where("__x is not null")), "__x", q, bits, hashes, key)
     own = stash(own.select("id", "bloom"), "encoded")
-    classes = stash(own.groupBy("bloom").agg(F.min("id").alias("id")), "classes")
-    members = own.join(classes.withColumnRenamed("id", "class"), "bloom").select("id", "class")
-    blocks = lsh_blocks(classes, bits, tables, sample, most, key)
-    left, right = blocks.withColumnRenamed("id", "a"), blocks.withColumnRenamed("id", "b")
-    pairs = left.join(right, ["table", "key"]).where("a < b").select("a", "b").distinct()
-    x, y = classes.select(F.col("id").alias("a"), F.col("bloom").alias("x")), classes.select(F.col("id").alias("b"), F.col("bloom").alias("y"))
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", dice(F.col("x"), F.col("y")).alias("dice"))
-    return found.where(F.col("dice") >= least), members
+    word = lambda k: F.aggregate("bloom", F.lit(0).cast("long"), lambda a, b: F.when(F.floor(b / 64) == k, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b - 64 * k))).otherwise(a))
+    words = [f"w{k}" for k in range(-(-bits // 64))]
+    classes = own.groupBy("bloom").agg(F.min("id").alias("id")).select("id", "bloom", F.size("bloom").alias("n"), *[word(k).alias(w) for k, w in enumerate(words)])
+    classes = stash(classes, "classes")
+    members = own.join(classes.select("bloom", F.col("id").alias("class")), "bloom").select("id", "class")
+    blocks = _blocks(classes.drop("bloom"), words, bits, least, key)
+    big = blocks.groupBy("level", "table", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > most)
+    big = small(stash(big.select("level", "table", "key", F.ceil(F.col("rows") / most).cast("int").alias("cells")), "large-blocks"))
+    blocks = blocks.join(big, ["level", "table", "key"], "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    left = blocks.where("own").withColumn("cell", F.pmod(F.xxhash64("id"), "cells").cast("int")).drop("own", "cells")
+    right = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    right = right.withColumnsRenamed({c: f"{c}_" for c in ["id", "n", *words]})
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in words])
+    both = F.col("n") + F.col("n_")
+    dice = (both - apart) / both
+    found = left.join(right, ["level", "table", "key", "cell"]).where((~F.col("own") | (F.col("id") < F.col("id_"))) & (dice >= least))
+    return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"), dice.alias("dice")).distinct(), members
+
+
+def _blocks(classes: DataFrame, words: list[str], bits: int, least: float, key: bytes) -> DataFrame:
+    """(id, n, words, level, own, table, key): a class in the tables of its own level, and in those of the next for larger partners."""
+    levels, spark = _levels(bits, least), classes.sparkSession
+    of = {n: i for i, (low, high) in enumerate(levels) for n in range(low, high + 1)}
+    sizes = {r["n"] for r in classes.select("n").distinct().collect()}  # `bits` at most
+    top = {i: max(n for n in sizes if of[n] == i) for i in {of[n] for n in sizes}}
+    places = [(n, i, i == of[n]) for n in sorted(sizes) for i in (of[n], of[n] + 1) if i in top]
+    masks = []
+    for i, n in top.items():
+        radius = min(bits, int((1 - least) * 2 * n + 1e-9))
+        for t, chosen in enumerate(covering_tables(bits, radius, key) if radius else []):  # 0: only equal filters, a class
+            values = [sum(1 << b - 64 * k for b in chosen if b // 64 == k) for k in range(len(words))]
+            masks.append((i, t, *[v - (1 << 64) if v >> 63 else v for v in values]))
+    kinds = ", ".join(f"m{k} long" for k in range(len(words)))
+    placed = spark.createDataFrame(places, "n int, level int, own boolean")
+    masks = spark.createDataFrame(masks, f"level int, table int, {kinds}")
+    out = classes.join(F.broadcast(placed), "n").join(F.broadcast(masks), "level")
+    return out.withColumn("key", F.xxhash64(*[F.col(w).bitwiseAND(F.col(f"m{k}")) for k, w in enumerate(words)])).drop(*[f"m{k}" for k in range(len(words))])
 
 
 def _hashed(salt: str):
