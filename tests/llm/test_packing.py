@@ -6,6 +6,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from umbra.llm import packing
@@ -127,3 +128,19 @@ def test_plain_letters_are_split_as_the_tokenizer_does():
     assert len(letters) > 500
     every = [x for c in letters for x in (c, f"a{c}b", f"1{c}{c}'S", f"{c}!{c}")]
     assert words._ids(every) == words._whole(every)
+
+
+def test_blocks_that_best_fit_settles_are_not_evolved(spark, monkeypatch):
+    """Halves fill sequences to the last token: each block is packed once, and a task takes several blocks."""
+    seen, epoch, deal = [], packing._epoch, type(spark.range(0)).repartition
+    monkeypatch.setattr(packing, "_epoch", lambda df, *a: (seen.append(df.count()), epoch(df, *a))[1])
+    tasks = []
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *c: (tasks.append(n), deal(self, n, *c))[1])
+    monkeypatch.setattr(packing, "BLOCK", 4)
+    n = 4 * 400
+    placed = packing.place(spark.range(n).select(F.col("id").alias("item"), F.lit(8).cast("long").alias("length")), 8 * 2)
+    assert placed.count() == n
+    assert seen[0] <= 400 and max(tasks) <= 400 // packing.TASK_ROWS
+    odd = sum(x % 2 for x in (r["count"] for r in spark.range(n).groupBy(F.pmod(F.xxhash64(F.lit("pack0"), "id"), F.lit(400))).count().collect()))
+    got = placed.groupBy("sequence_id").count().groupBy("count").count().collect()
+    assert odd and {r["count"] for r in got} <= {1, 2} and sum(seen) < 2 * 400

@@ -1,7 +1,8 @@
 """Best-fit packing by a grouping genetic algorithm on islands (operator 13).
 
 Documents are tokenized and cut into pieces of at most `capacity` tokens; a full piece is a sequence of its own.
-The others are dealt out to blocks of about BLOCK pieces by hash. For a block, ISLANDS islands, a row each, evolve
+The others are dealt out to blocks of about BLOCK pieces by hash. A block that best fit, largest first, packs into as few
+sequences as its tokens allow is done. For each other block, ISLANDS islands, a row each, evolve
 populations of packings of their own: crossover injects whole well-filled bins of one parent into the other, takes
 out the bins that hold one of their pieces a second time, and puts the pieces that lost their bin back by best fit,
 largest first. Then each island's elite migrates to the next island of its block, which evolves it along with its
@@ -26,6 +27,7 @@ import random
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterable
 from functools import reduce
 from itertools import chain
 
@@ -50,6 +52,8 @@ BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS, CHILDREN = 2048, 3, 2, 6, 4, 3
 FILLED = 0.99
 #: Rounds over such sequences: each has to save one, so few are run.
 ROUNDS = 6
+#: Blocks or islands that a task takes: starting a task costs as much as some of them.
+TASK_ROWS = 16
 
 
 #: Words of these letters need no look at Unicode's tables, of which libraries have different editions.
@@ -170,7 +174,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
 Packing = tuple[list[list[int]], list[int]]
 
 
-def best_fit(order: list[int], sizes: list[int], capacity: int, packing: Packing = ((), ())) -> Packing:
+def best_fit(order: Iterable[int], sizes: list[int], capacity: int, packing: Packing = ((), ())) -> Packing:
     """The pieces, in this order, each into the fullest bin that still takes it, else into a new one."""
     bins, fills = [list(b) for b in packing[0]], list(packing[1])
     room = sorted((capacity - f, i) for i, f in enumerate(fills) if f < capacity)
@@ -259,21 +263,29 @@ def _bins(numbers: list[int]) -> list[list[int]]:
     return out
 
 
-ISLAND = "block long, island int, items array<long>, sizes array<int>, bins array<int>, n_bins int, fit double"
+ISLAND = "block long, island int, items array<long>, sizes array<int>, bins array<int>, n_bins int, least int, fit double"
 
 
-def _epoch(df: DataFrame, capacity: int, salt: str, tasks: int) -> DataFrame:
-    """Rows (block, island, items, sizes, guests: packings to begin with), evolved: an island a row."""
+def _epoch(df: DataFrame, rows: int, capacity: int, salt: str | None = None) -> DataFrame:
+    """Rows (block, island, items, sizes, guests: packings to begin with), evolved: an island a row. Without `salt`, best fit alone.
+
+    `least` is what no packing falls short of.
+    """
+    tasks = min(rows, max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                found = evolve(r["sizes"], capacity, f"{salt}/{r['block']}/{r['island']}", [_bins(g) for g in r["guests"] or [] if g])
-                bins, n = _numbers(found[0], len(r["sizes"])), len(found[0])
-                row = {**{k: [r[k]] for k in ("block", "island", "items", "sizes")}, "bins": [bins], "n_bins": [n], "fit": [float(fitness(found)[1])]}
+                sizes = r["sizes"]
+                if salt is None:
+                    found = best_fit(range(len(sizes)), sizes, capacity)  # largest first as they stand
+                else:
+                    found = evolve(sizes, capacity, f"{salt}/{r['block']}/{r['island']}", [_bins(g) for g in r["guests"] or [] if g])
+                own = {"bins": _numbers(found[0], len(sizes)), "n_bins": len(found[0]), "least": -(-sum(sizes) // capacity), "fit": float(fitness(found)[1])}
+                row = {k: [v] for k, v in ({k: r[k] for k in ("block", "island", "items", "sizes")} | own).items()}
                 yield pa.RecordBatch.from_pydict(row, schema)
 
-    kinds = {"block": pa.int64(), "island": pa.int32(), "items": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "bins": pa.list_(pa.int32()), "n_bins": pa.int32(), "fit": pa.float64()}
+    kinds = {"block": pa.int64(), "island": pa.int32(), "items": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "bins": pa.list_(pa.int32()), "n_bins": pa.int32(), "least": pa.int32(), "fit": pa.float64()}
     schema = pa.schema(list(kinds.items()))
     return stash(df.repartition(tasks, "block", "island").mapInArrow(run, ISLAND), "islands")
 
@@ -281,17 +293,23 @@ def _epoch(df: DataFrame, capacity: int, salt: str, tasks: int) -> DataFrame:
 def _round(items: DataFrame, count: int, capacity: int, salt: str) -> DataFrame:
     """(block, items, sizes, bins) of the best packing of each block of (item, length)."""
     blocks = max(1, -(-count // BLOCK))
-    tasks = min(blocks * ISLANDS, max(200, items.sparkSession.sparkContext.defaultParallelism * 4))
     dealt = items.select("item", F.col("length").cast("int").alias("length"), F.pmod(F.xxhash64(F.lit(salt), "item"), F.lit(blocks)).alias("block"))
     own = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("length", "item")), False).alias("x"))  # about BLOCK items a row
-    own = own.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("x.item").alias("items"), F.col("x.length").alias("sizes"))
-    found = _epoch(own.withColumn("guests", F.array().cast("array<array<int>>")), capacity, f"{salt}/0", tasks)
+    own = own.select("block", F.lit(0).alias("island"), F.col("x.item").alias("items"), F.col("x.length").alias("sizes"))
+    plain = _epoch(own, blocks, capacity)
+    done = plain.where("n_bins <= least").select("block", "items", "sizes", "bins")
+    open_ = plain.where("n_bins > least").select("block", "items", "sizes")
+    rows = open_.count() * ISLANDS
+    if not rows:
+        return done
+    own = open_.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "items", "sizes")
+    found = _epoch(own.withColumn("guests", F.array().cast("array<array<int>>")), rows, capacity, f"{salt}/0")
     for e in range(1, EPOCHS):
         elite = found.select(F.col("block").alias("__b"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("__i"), F.col("bins").alias("guest"))
         mixed = found.join(elite, (F.col("block") == F.col("__b")) & (F.col("island") == F.col("__i")))
-        found = _epoch(mixed.select("block", "island", "items", "sizes", F.array("bins", "guest").alias("guests")), capacity, f"{salt}/{e}", tasks)
+        found = _epoch(mixed.select("block", "island", "items", "sizes", F.array("bins", "guest").alias("guests")), rows, capacity, f"{salt}/{e}")
     best = F.min_by(F.struct("items", "sizes", "bins"), F.struct("n_bins", -F.col("fit"), "island"))
-    return found.groupBy("block").agg(best.alias("b")).select("block", "b.*")
+    return done.unionByName(found.groupBy("block").agg(best.alias("b")).select("block", "b.*"))
 
 
 def _packed(rest: DataFrame, count: int, capacity: int, salt: str, r: int) -> DataFrame:
